@@ -43,11 +43,13 @@ def hit_events(hits: DataFrame, population: DataFrame, block_size: int, kinds: t
         F.col("result").alias("content_id"),
         kind_list.alias("kinds"),
     )
-    one_per_kind = restrict(relevant, population, block_size).withColumn("kind", F.explode("kinds"))
     container = F.when(
         F.col("kind").isin(*CLICK_KINDS), fn.normalise_container(F.col("container"))
     ).otherwise(F.col("container"))
-    return one_per_kind.withColumn("container", container).select("kind", *EVENT).distinct()
+    one_per_kind = restrict(relevant, population, block_size).withColumn("kind", F.explode("kinds"))
+    # With the destination, these columns include all keys of the join: its partitioning serves both.
+    events = one_per_kind.withColumn("container", container).select("destination", "kind", *EVENT)
+    return events.distinct().drop("destination")
 
 
 def standard_clicks(hits: DataFrame, population: DataFrame, block_size: int, exclude_titles: bool) -> DataFrame:
@@ -79,7 +81,7 @@ def first_deeplink(url_events: DataFrame, population: DataFrame, block_size: int
     users = population.select("destination", *RAW_VISIT, "wide", "hid").distinct()
     first = (
         earliest.join(users, ["destination", *RAW_VISIT])
-        .groupBy(*RAW_VISIT)
+        .groupBy("destination", *RAW_VISIT)
         .agg(F.min(F.struct("link.event_position", "hid", "link.url", "wide")).alias("link"))
     )
     return first.select(*RAW_VISIT, "link.*").select(

@@ -72,11 +72,12 @@ def _nearest_left(rows: DataFrame) -> DataFrame:
             F.col("right").alias("right"),
         ),
     )
-    return (
-        rows.withColumn("before", F.last(left_at, ignorenulls=True).over(forward))
-        .withColumn("right_before", F.max(right_here).over(forward))
-        .withColumn("best", F.coalesce(F.min(pair).over(slot), F.col("best")))
-    )
+    return rows.withColumns(
+        {
+            "before": F.last(left_at, ignorenulls=True).over(forward),
+            "right_before": F.max(right_here).over(forward),
+        }
+    ).withColumn("best", F.coalesce(F.min(pair).over(slot), F.col("best")))
 
 
 def _nearest_right(rows: DataFrame) -> DataFrame:
@@ -152,10 +153,8 @@ def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: boo
     """
     left_type, right_type = (rows.schema[x].dataType.simpleString() for x in ("left", "right"))
     best_type = f"struct<distance:bigint,left:{left_type},right:{right_type}>"
-    rows = (
-        rows.withColumn("edge", F.lit(INSIDE))
-        .withColumn("seen_right", F.lit(False))
-        .withColumn("best", F.lit(None).cast(best_type))
+    rows = rows.withColumns(
+        {"edge": F.lit(INSIDE), "seen_right": F.lit(False), "best": F.lit(None).cast(best_type)}
     )
     if has_wide:
         wide = rows.filter(F.col("wide"))
@@ -181,9 +180,7 @@ def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: boo
     backward_only = ~matched & F.coalesce("right_before", F.lit(False))
     slot = Window.partitionBy(*GROUP, "matched", "position").orderBy("pair")
     ranked = (
-        lefts.withColumn("matched", matched)
-        .withColumn("backward_only", backward_only)
-        .withColumn("pair", F.when(matched, pair))
+        lefts.withColumns({"matched": matched, "backward_only": backward_only, "pair": F.when(matched, pair)})
         .withColumn("rank", F.row_number().over(slot))
         .filter(~F.col("matched") | (F.col("rank") == 1))
     )
@@ -330,6 +327,8 @@ def enrich(linked: DataFrame, population: DataFrame, block_size: int, has_wide:
     else:
         users = users.withColumn("block", F.lit(0).cast("long"))
     joined = rows.join(users, [*key, "block"], "left")
-    return joined.withColumn("start_flag", fn.flag_to_int(F.col("content_attribute"), c.START_ATTRIBUTE)).withColumn(
-        "watched_flag", fn.flag_to_int(F.col("watched_flag"), c.COMPLETE_ATTRIBUTE)
-    ).select(*FINAL, *[x for x in attributes if x == "exp_group"])
+    flags = {
+        "start_flag": fn.flag_to_int(F.col("content_attribute"), c.START_ATTRIBUTE),
+        "watched_flag": fn.flag_to_int(F.col("watched_flag"), c.COMPLETE_ATTRIBUTE),
+    }
+    return joined.withColumns(flags).select(*FINAL, *[x for x in attributes if x == "exp_group"])

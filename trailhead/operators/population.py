@@ -76,17 +76,21 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
     visits = (
         visit_blocks(inputs.hits, inputs.url_events, settings.block_size)
         .join(audiences, [*RAW_VISIT, "destination"])
-        .withColumn("wide", F.max("block").over(per_visit) > 0)
-        .withColumn("in_hits", F.max("in_hits").over(per_visit))
+        .withColumns(
+            {
+                "wide": F.max("block").over(per_visit) > 0,
+                "in_hits": F.max("in_hits").over(per_visit),
+                "week": fn.week_of(F.col("dt")),
+            }
+        )
         .filter(F.col("in_hits") == 1)
         .drop("in_hits")
-        .withColumn("week", fn.week_of(F.col("dt")))
     )
     with_platform = spread_join(
         visits,
         _platforms(inputs.activity),
         on=["dt", "visit_id"],
-        hot=hot_keys(inputs.visits, ["dt", "visit_id"], settings.hot_rows),
+        hot=hot_keys(audiences, ["dt", "visit_id"], settings.hot_rows),
         hot_on=["dt", "visit_id"],
         spread_by=["cookie_id", "hid", "block"],
         salts=settings.salts,
@@ -100,12 +104,13 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
         with_platform,
         users,
         on=["hid", "week"],
-        hot=hot_keys(inputs.visits, ["audience_id"], settings.hot_rows).withColumnRenamed("audience_id", "hid"),
+        hot=hot_keys(audiences, ["hid"], settings.hot_rows),
         hot_on=["hid"],
         spread_by=["dt", "cookie_id", "visit_id", "block"],
         salts=settings.salts,
     )
-    return joined.drop("week").distinct()
+    # The week stays in until rows are distinct: the join's partitioning on it then serves both.
+    return joined.distinct().drop("week")
 
 
 def _every_week(users: DataFrame, visits: DataFrame) -> DataFrame:

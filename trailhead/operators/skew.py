@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import materialise
+
 SALT = "_salt"
 
 
 def block_of(position: Column, size: int) -> Column:
     """Slice of a visit an event position falls into; a missing position counts as the first."""
-    return F.greatest(F.lit(0), F.coalesce(F.floor(position / F.lit(size)), F.lit(0))).cast("long")
+    return F.greatest(F.lit(0), F.coalesce(F.call_function("div", position, F.lit(size)), F.lit(0))).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame:
-    """Keys with more than `more_than` rows, and their row count `hot_n`.
+def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame | None:
+    """Keys with more than `more_than` rows and their row count `hot_n`; None if there are none.
 
-    There are fewer than rows / more_than of them, which bounds the size of the result.
+    There are fewer than rows / more_than of them, which bounds the size of the result. It is written
+    once, because both sides of a join look keys up in it.
     """
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"))
-    return counts.filter(F.col("hot_n") > more_than)
+    hot = counts.filter(F.col("hot_n") > more_than)
+    return materialise(hot, "hot") if hot.head(1) else None
 
 
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     hot_on: list[str],
     spread_by: list[str],
     salts: int,
@@ -36,6 +40,8 @@ def spread_join(
     Rows of a hot key on the left get a salt from `spread_by`; on the right they are repeated once
     per salt. Other keys are joined as usual, so the cost of repeating is limited to hot keys.
     """
+    if hot is None:
+        return left.join(right, on, "inner")
     marked = F.broadcast(hot.select(*hot_on, F.lit(True).alias("_hot")))
     left_salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(0).cast("int")
     right_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
