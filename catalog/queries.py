@@ -41,16 +41,16 @@ class _Run:
     @property
     def raw(self):
         """Scoped inputs for a query that reads the hits only a few times."""
-        return dt.driver_inputs(self.spark, self.folder).scoped(SETTINGS)
+        return dt.driver_inputs(self.spark, self.folder, SETTINGS).scoped(SETTINGS)
 
     @property
     def staged(self):
-        return dt.driver_inputs(self.spark, self.folder, stage=True).scoped(SETTINGS)
+        return dt.driver_inputs(self.spark, self.folder, SETTINGS, stage=True).scoped(SETTINGS)
 
     @property
     def prepared(self) -> at.Prepared:
         if self._prepared is None:
-            self._prepared = at.prepare(dt.driver_inputs(self.spark, self.folder, stage=True), SETTINGS)
+            self._prepared = at.prepare(dt.driver_inputs(self.spark, self.folder, SETTINGS, stage=True), SETTINGS)
         return self._prepared
 
     @property
@@ -73,12 +73,12 @@ class _Run:
 
     @property
     def impressions(self) -> DataFrame:
-        hits = dt.driver_inputs(self.spark, self.folder).scoped(SETTINGS).hits
+        hits = self.raw.hits
         return pop.module_impressions(hits, self.prepared.population, SIZE)
 
     @property
     def all_page_journeys(self) -> DataFrame:
-        return dt.page_journeys(self.spark, self.folder)
+        return dt.page_journeys(self.spark, self.folder, SETTINGS)
 
     @property
     def page_journeys(self) -> DataFrame:
@@ -88,7 +88,7 @@ class _Run:
         return sq.extract_hops(self.page_journeys, pattern)
 
     def outcomes(self, hops: DataFrame, label: str) -> DataFrame:
-        return sq.hop_outcomes(hops, dt.content_outcomes(self.spark, self.folder), label)
+        return sq.hop_outcomes(hops, dt.content_outcomes(self.spark, self.folder, SETTINGS), label)
 
     @property
     def sources(self) -> dict[str, DataFrame]:
@@ -132,7 +132,7 @@ def module_impressions(spark, folder):
 
 @_query
 def catalogue_snapshot_rows(spark, folder):
-    return catalogue_snapshot(dt.driver_inputs(spark, folder).catalogue)
+    return catalogue_snapshot(dt.driver_inputs(spark, folder, SETTINGS).catalogue)
 
 
 @_query
