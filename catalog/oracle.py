@@ -185,8 +185,8 @@ for _side in "ab":
     FROM (SELECT {CLICK_COLUMNS}, series_id, brand_id, 'start' AS kind FROM starts
       UNION ALL SELECT {CLICK_COLUMNS}, NULL, NULL, kind FROM clicks_{_side}) t"""
     CTES[f"candidates_{_side}"] = f"""SELECT a.dt, a.cookie_id, a.hid, a.visit_id,
-      a.event_position AS click_event_position, a.attribute, a.container, a.placement, a.content_id AS click_id, a.kind,
-      s.attribute AS s_attribute, s.container AS s_container, s.placement AS s_placement,
+      a.event_position AS click_event_position, a.attribute, a.container, a.placement, a.content_id AS click_id, a.ordinal, s.ordinal AS s_ordinal,
+      s.attribute AS s_attribute, s.placement AS s_placement,
       s.content_id AS content_id, s.event_position AS s_position,
       coalesce(s.event_position - a.event_position, 0) AS distance
     FROM (SELECT * FROM timeline_{_side} WHERE kind <> 'start') a
@@ -195,8 +195,7 @@ for _side in "ab":
           AND a.content_id IN (s.series_id, s.brand_id))))
         OR (a.content_id = '{c.UNKNOWN}' AND a.ordinal = s.ordinal - 1))
     WHERE coalesce(s.event_position - a.event_position, 0) >= 0"""
-    _order = """distance, attribute NULLS FIRST, container NULLS FIRST, placement NULLS FIRST,
-        click_id NULLS FIRST, s_container NULLS FIRST, s_placement NULLS FIRST, content_id NULLS FIRST, kind"""
+    _order = "distance, ordinal DESC, s_ordinal"
     CTES[f"ranked_{_side}"] = f"""SELECT *,
       CASE WHEN s_position IS NULL THEN 1 ELSE row_number() OVER (
         PARTITION BY {V}, click_event_position, (s_position IS NULL) ORDER BY {_order}) END AS per_click,

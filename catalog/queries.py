@@ -23,6 +23,13 @@ SETTINGS = dt.SETTINGS
 SIZE = SETTINGS.block_size
 CLICK = ["dt", "cookie_id", "hid", "visit_id", "event_position", "container", "attribute", "placement", "content_id"]
 
+FAMILIES = {
+    "rec_direct": sq.RECOMMENDATIONS_DIRECT,
+    "rec_via": sq.RECOMMENDATIONS_VIA_TITLE,
+    "watch_direct": sq.WATCHING_DIRECT,
+    "watch_via": sq.WATCHING_VIA_TITLE,
+}
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -84,21 +91,19 @@ class _Run:
     def page_journeys(self) -> DataFrame:
         return scoped(self.all_page_journeys, SETTINGS)
 
-    def hops(self, pattern: sq.HopPattern) -> DataFrame:
-        return sq.extract_hops(self.page_journeys, pattern)
+    def hops(self, patterns) -> DataFrame:
+        return sq.extract_hops(self.page_journeys, patterns)
 
     def outcomes(self, hops: DataFrame, label: str) -> DataFrame:
         return sq.hop_outcomes(hops, dt.content_outcomes(self.spark, self.folder, SETTINGS), label)
 
     @property
     def sources(self) -> dict[str, DataFrame]:
-        journeys = self.page_journeys
-        rec = [sq.extract_hops(journeys, p) for p in (sq.RECOMMENDATIONS_VIA_TITLE, sq.RECOMMENDATIONS_DIRECT)]
-        watch = [sq.extract_hops(journeys, p) for p in (sq.WATCHING_VIA_TITLE, sq.WATCHING_DIRECT)]
+        hops = self.hops(FAMILIES)
         keeping = self.keeping
         return {
-            "recommendations_page": sq.all_hops(*rec),
-            "watching_page": sq.all_hops(*watch),
+            "recommendations_page": hops.filter(F.col("family").isin("rec_direct", "rec_via")),
+            "watching_page": hops.filter(F.col("family").isin("watch_direct", "watch_via")),
             "title_page_cta": reports.cta_users(keeping, self.clicks),
             "end_of_playback": reports.playback_users(keeping),
             "homepage_modules": reports.homepage_module_users(self.skipping),
@@ -423,15 +428,8 @@ def hops_watching_via_title(spark, folder):
 @_query
 def hop_counts(spark, folder):
     """Visits per round of the search, for all four patterns."""
-    run = _Run(spark, folder)
-    families = {
-        "rec_direct": sq.RECOMMENDATIONS_DIRECT,
-        "rec_via": sq.RECOMMENDATIONS_VIA_TITLE,
-        "watch_direct": sq.WATCHING_DIRECT,
-        "watch_via": sq.WATCHING_VIA_TITLE,
-    }
-    tagged = [run.hops(p).select(F.lit(name).alias("family"), "hop", "visit_id") for name, p in families.items()]
-    return sq.all_hops(*tagged).groupBy("family", "hop").agg(F.count("visit_id").alias("num_visits"))
+    hops = _Run(spark, folder).hops(FAMILIES)
+    return hops.groupBy("family", "hop").agg(F.count("visit_id").alias("num_visits"))
 
 
 @_query
@@ -446,20 +444,22 @@ def hop_outcomes_watching(spark, folder):
     return run.outcomes(run.hops(sq.WATCHING_DIRECT), c.WATCHING_PAGE)
 
 
-def _hop_funnel(name: str, label: str, *patterns: sq.HopPattern) -> None:
+def _hop_funnel(name: str, label: str, *families: str) -> None:
+    patterns = {x: FAMILIES[x] for x in families}
+
     def query(spark, folder):
         run = _Run(spark, folder)
-        return reports.hop_funnel(run.outcomes(sq.all_hops(*[run.hops(p) for p in patterns]), label))
+        return reports.hop_funnel(run.outcomes(run.hops(patterns), label))
 
     _REGISTRY[name] = query
 
 
-_hop_funnel("hop_funnel", "rec_page", sq.RECOMMENDATIONS_DIRECT)
-_hop_funnel("hop_funnel_via_title", "rec_page", sq.RECOMMENDATIONS_VIA_TITLE)
-_hop_funnel("hop_funnel_all", "rec_page", sq.RECOMMENDATIONS_VIA_TITLE, sq.RECOMMENDATIONS_DIRECT)
-_hop_funnel("hop_funnel_watching", c.WATCHING_PAGE, sq.WATCHING_DIRECT)
-_hop_funnel("hop_funnel_watching_via_title", c.WATCHING_PAGE, sq.WATCHING_VIA_TITLE)
-_hop_funnel("hop_funnel_watching_all", c.WATCHING_PAGE, sq.WATCHING_VIA_TITLE, sq.WATCHING_DIRECT)
+_hop_funnel("hop_funnel", "rec_page", "rec_direct")
+_hop_funnel("hop_funnel_via_title", "rec_page", "rec_via")
+_hop_funnel("hop_funnel_all", "rec_page", "rec_via", "rec_direct")
+_hop_funnel("hop_funnel_watching", c.WATCHING_PAGE, "watch_direct")
+_hop_funnel("hop_funnel_watching_via_title", c.WATCHING_PAGE, "watch_via")
+_hop_funnel("hop_funnel_watching_all", c.WATCHING_PAGE, "watch_via", "watch_direct")
 
 
 # Reach

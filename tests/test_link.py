@@ -59,12 +59,10 @@ def run(spark, events, block_size=10_000, drop_backward_only=True):
 def expected(events):
     timeline = [e for e in events if e["kind"] != "complete"]
     brute.ordinals(timeline)
-    tie = lambda e: brute._key(e["attribute"], e["container"], e["placement"], e["content_id"])
-    stie = lambda e: brute._key(e["container"], e["attribute"], e["placement"], e["content_id"])
     linked = brute.link(
         [e for e in timeline if e["kind"] != "start"],
         [e for e in timeline if e["kind"] == "start"],
-        brute.click_start_match, "position", "position", tie, stie,
+        brute.click_start_match, "position", "position", lambda e: -e["ordinal"], lambda e: e["ordinal"],
     )
     lefts = [
         dict(visit=c["visit"], click=c, start=s, start_position=s["position"] if s else None,
@@ -75,7 +73,7 @@ def expected(events):
         lefts,
         [e for e in events if e["kind"] == "complete"],
         lambda left, right: left["content_id"] is not None and left["content_id"] == right["content_id"],
-        "start_position", "position", lambda left: (), tie,
+        "start_position", "position", lambda left: 0, lambda e: e["position"],
     )
     return sorted(
         (

@@ -120,8 +120,9 @@ def test_outcomes(spark):
         ],
         "dt string, visit_id string, content_id string, page_count int, start_flag string, watched_flag string",
     )
-    direct = sq.extract_hops(df, sq.WATCHING_DIRECT)
-    rows = sq.hop_outcomes(sq.all_hops(direct, direct), facts, "watching_page").collect()
+    twice = sq.extract_hops(df, {"a": sq.WATCHING_DIRECT, "b": sq.WATCHING_DIRECT})
+    assert twice.count() == 4 and twice.filter("family = 'a'").count() == 2
+    rows = sq.hop_outcomes(twice, facts, "watching_page").collect()
     assert sorted((r.visit_id, r.start_flag, r.watched_flag) for r in rows) == [("a", 1, 1), ("b", 0, 0)]
 
 

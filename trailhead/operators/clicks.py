@@ -119,14 +119,10 @@ def all_clicks(events: DataFrame, exclude_titles: bool) -> DataFrame:
 
 def series_lookup(catalogue: DataFrame) -> DataFrame:
     """Series and brand of each episode."""
-    return (
-        catalogue.filter(F.col("episode_id").isNotNull())
-        .select(
-            F.col("episode_id").alias("content_id"),
-            F.coalesce("series_id", F.lit(c.UNKNOWN)).alias("series_id"),
-            F.coalesce("brand_id", F.lit(c.UNKNOWN)).alias("brand_id"),
-        )
-        .distinct()
+    return catalogue.filter(F.col("episode_id").isNotNull()).select(
+        F.col("episode_id").alias("content_id"),
+        F.coalesce("series_id", F.lit(c.UNKNOWN)).alias("series_id"),
+        F.coalesce("brand_id", F.lit(c.UNKNOWN)).alias("brand_id"),
     )
 
 

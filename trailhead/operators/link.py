@@ -5,7 +5,7 @@ and the right one is not earlier. A pair is kept if each is the other's nearest
 pass, so a left event that loses its right event is not matched again.
 
 Candidates are never listed as pairs. Left and right events are put in one stream, and for each match
-key a running `last` finds the nearest event on the other side: n log n in the size of a visit. The
+key one ordered scan finds the nearest event on the other side: n log n in the size of a visit. The
 stream is cut into the blocks of the population, so a visit of any size is spread over many tasks; for
 the few visits with more than one block, rows at the edges of each block carry the nearest event of the
 blocks before and after it.
@@ -20,7 +20,8 @@ from .. import config as c
 from ..functions import classify as fn
 from .skew import block_of, number_rows
 
-USER_VISIT = ["dt", "cookie_id", "hid", "visit_id"]
+# The most selective column first: sorts compare it first.
+USER_VISIT = ["visit_id", "hid", "cookie_id", "dt"]
 GROUP = [*USER_VISIT, "wide", "block"]
 
 # Places of a row within its block: carried in from earlier blocks, ordinary, carried in from later ones.
@@ -43,56 +44,35 @@ def timeline_ordinals(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
     return number_rows(timeline.repartition(*USER_VISIT, "block"), USER_VISIT, "block", None, order, "ordinal")
 
 
-def _up_to_here(*order: Column):
-    return (
-        Window.partitionBy(*GROUP, "key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+# One scan per match key: by position, left events before right ones at the same position.
+SCAN = f"""PARTITION BY {", ".join(GROUP)}, key ORDER BY edge, position, is_right, tie"""
+RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def _nearest_left(rows: DataFrame) -> DataFrame:
-    """For each right event: the nearest left event before it, and the best such pair of its slot.
+def _scan(rows: DataFrame) -> DataFrame:
+    """Nearest events on the other side.
 
-    A slot is all that happens at one position. Among equal distances the smallest left and then the
-    smallest right event wins, here and in `_nearest_right`, so both sides agree on ties.
+    `before`        for a right event, the last left event up to it
+    `right_before`  whether any right event came earlier
+    `after`         for a left event, the next right event
+    `pair`          for a right event, how it compares as a partner of `before`
     """
-    forward = _up_to_here(
-        F.col("edge"), F.col("position"), F.col("is_right"), F.col("left").desc(), F.col("right").asc()
-    )
-    slot = Window.partitionBy(*GROUP, "is_right", "edge", "position")
-    left_at = F.when(
-        (F.col("edge") == BEFORE) | ((F.col("edge") == INSIDE) & ~F.col("is_right")),
-        F.when(F.col("left").isNotNull(), F.struct("position", "left")),
+    left_here = f"edge = {BEFORE} AND tie IS NOT NULL OR edge = {INSIDE} AND NOT is_right"
+    right_here = f"edge = {BEFORE} AND seen_right OR edge = {INSIDE} AND is_right"
+    scanned = rows.selectExpr(
+        "*",
+        f"last(CASE WHEN {left_here} THEN struct(position, tie) END, true) OVER ({SCAN} {RUNNING}) AS before",
+        f"max({right_here}) OVER ({SCAN} {RUNNING}) AS right_before",
+        f"lead(CASE WHEN is_right AND edge <> {BEFORE} THEN struct(position, tie, right) END) IGNORE NULLS "
+        f"OVER ({SCAN}) AS after",
     )
-    right_here = (F.col("edge") == BEFORE) & F.col("seen_right") | (F.col("edge") == INSIDE) & F.col("is_right")
-    pair = F.when(
-        F.col("is_right") & (F.col("edge") == INSIDE) & F.col("before").isNotNull(),
-        F.struct(
-            (F.col("position") - F.col("before.position")).alias("distance"),
-            F.col("before.left").alias("left"),
-            F.col("right").alias("right"),
-        ),
+    return scanned.filter(F.col("edge") != BEFORE).selectExpr(
+        *[x for x in rows.columns if x != "pair"],
+        "right_before",
+        "after",
+        f"CASE WHEN edge = {AFTER} THEN pair WHEN is_right AND before IS NOT NULL THEN "
+        "struct(position - before.position AS distance, -before.tie AS later_left, tie AS right) END AS pair",
     )
-    return rows.withColumns(
-        {
-            "before": F.last(left_at, ignorenulls=True).over(forward),
-            "right_before": F.max(right_here).over(forward),
-        }
-    ).withColumn("best", F.coalesce(F.min(pair).over(slot), F.col("best")))
-
-
-def _nearest_right(rows: DataFrame) -> DataFrame:
-    """For each left event: the nearest right event after it, and that event's best pair."""
-    backward = _up_to_here(
-        F.col("edge").desc(),
-        F.col("position").desc(),
-        F.col("is_right").desc(),
-        F.col("left").asc(),
-        F.col("right").desc(),
-    )
-    right_at = F.when(
-        F.col("is_right") & F.col("edge").isin(INSIDE, AFTER), F.struct("position", "right", "best")
-    )
-    return rows.withColumn("after", F.last(right_at, ignorenulls=True).over(backward))
 
 
 def _carried_from_earlier(wide: DataFrame) -> DataFrame:
@@ -102,98 +82,98 @@ def _carried_from_earlier(wide: DataFrame) -> DataFrame:
         .orderBy("block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    backwards = F.when(~F.col("is_right"), F.struct((-F.col("position")).alias("minus"), F.col("left")))
+    last_left = F.max(F.when(~F.col("is_right"), F.struct("position", "tie")))
     return (
         wide.groupBy(*GROUP, "key")
-        .agg(F.min(backwards).alias("last_left"), F.max("is_right").alias("has_right"))
-        .withColumn("carried", F.last("last_left", ignorenulls=True).over(across))
-        .withColumn("seen_right", F.max("has_right").over(across))
+        .agg(last_left.alias("last_left"), F.max("is_right").alias("has_right"))
+        .withColumns(
+            {
+                "carried": F.last("last_left", ignorenulls=True).over(across),
+                "seen_right": F.coalesce(F.max("has_right").over(across), F.lit(False)),
+            }
+        )
         .filter(F.col("carried").isNotNull() | F.col("seen_right"))
         .select(
-            *GROUP,
-            "key",
-            (-F.col("carried.minus")).alias("position"),
-            F.lit(False).alias("is_right"),
-            F.col("carried.left").alias("left"),
-            F.lit(BEFORE).alias("edge"),
-            "seen_right",
+            *GROUP, "key", F.lit(BEFORE).alias("edge"), F.lit(False).alias("is_right"), "seen_right", "carried.*"
         )
     )
 
 
-def _carried_from_later(resolved: DataFrame) -> DataFrame:
-    """For each block and key: the first right event of later blocks, with its best pair."""
+def _carried_from_later(scanned: DataFrame) -> DataFrame:
+    """For each block and key: the first right event of later blocks, with the best pair of its slot."""
     across = (
         Window.partitionBy(*USER_VISIT, "wide", "key")
         .orderBy(F.col("block").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    right = F.when(F.col("is_right"), F.struct("position", "right", "best"))
+    slot = Window.partitionBy(*GROUP, "is_right", "position")
+    first_right = F.min(F.when(F.col("is_right"), F.struct("position", "tie", "right", "pair")))
     return (
-        resolved.filter(F.col("edge") == INSIDE)
+        scanned.withColumn("pair", F.min("pair").over(slot))
         .groupBy(*GROUP, "key")
-        .agg(F.min(right).alias("first_right"))
+        .agg(first_right.alias("first_right"))
         .withColumn("carried", F.last("first_right", ignorenulls=True).over(across))
         .filter(F.col("carried").isNotNull())
-        .select(*GROUP, "key", F.lit(True).alias("is_right"), F.lit(AFTER).alias("edge"), "carried.*")
+        .select(*GROUP, "key", F.lit(AFTER).alias("edge"), F.lit(True).alias("is_right"), "carried.*")
     )
 
 
 def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: bool = True) -> DataFrame:
     """Left rows with their linked right row.
 
-    `rows`: the columns of GROUP, position, key, is_right, and the structs left and right, one of them
-    NULL; a right event has one row per match key. The structs also decide ties. With `has_wide=False`
-    every visit is known to be one block, and `rows` must be partitioned by visit and block.
+    `rows`: the columns of GROUP, position, key, is_right, tie, and the structs left and right, one of
+    them NULL; a right event has one row per match key. Among events at one position, `tie` orders them
+    in time: at equal distance the later left and the earlier right event are nearest. With
+    `has_wide=False` every visit is known to be one block, and `rows` must be partitioned by visit and block.
     Result: visit columns, wide, position, left, and of the linked event right_position and right.
 
     * A left event whose candidates are all earlier is dropped (unless `drop_backward_only` is False).
     * Of several left events at one position that have candidates, one is kept.
     * Every other left event is kept, linked or not.
     """
-    left_type, right_type = (rows.schema[x].dataType.simpleString() for x in ("left", "right"))
-    best_type = f"struct<distance:bigint,left:{left_type},right:{right_type}>"
-    rows = rows.withColumns(
-        {"edge": F.lit(INSIDE), "seen_right": F.lit(False), "best": F.lit(None).cast(best_type)}
+    rows = rows.selectExpr(
+        "*",
+        f"{INSIDE} AS edge",
+        "false AS seen_right",
+        "CAST(NULL AS struct<distance:bigint,later_left:bigint,right:bigint>) AS pair",
     )
     if has_wide:
         wide = rows.filter(F.col("wide"))
         earlier = _carried_from_earlier(wide)
-        resolved = _nearest_left(
-            wide.unionByName(earlier, allowMissingColumns=True).repartition(*USER_VISIT, "block")
-        )
-        later = _carried_from_later(resolved)
+        scanned = _scan(wide.unionByName(earlier, allowMissingColumns=True).repartition(*USER_VISIT, "block"))
+        later = _carried_from_later(scanned)
         rows = (
             rows.unionByName(earlier, allowMissingColumns=True)
             .unionByName(later, allowMissingColumns=True)
             .repartition(*USER_VISIT, "block")
         )
-    scanned = _nearest_right(_nearest_left(rows))
-    lefts = scanned.filter((F.col("edge") == INSIDE) & ~F.col("is_right"))
-
-    pair = F.struct(
-        (F.col("after.position") - F.col("position")).alias("distance"),
-        F.col("left").alias("left"),
-        F.col("after.right").alias("right"),
-    )
-    matched = F.col("after").isNotNull()
-    backward_only = ~matched & F.coalesce("right_before", F.lit(False))
-    slot = Window.partitionBy(*GROUP, "matched", "position").orderBy("pair")
-    ranked = (
-        lefts.withColumns({"matched": matched, "backward_only": backward_only, "pair": F.when(matched, pair)})
-        .withColumn("rank", F.row_number().over(slot))
-        .filter(~F.col("matched") | (F.col("rank") == 1))
+    group = ", ".join(GROUP)
+    # A slot is all that happens at one position. Left events look their partner's slot up.
+    resolved = (
+        _scan(rows)
+        .selectExpr("*", "CASE WHEN is_right THEN position ELSE after.position END AS slot")
+        .selectExpr("*", f"min(pair) OVER (PARTITION BY {group}, slot) AS best")
+        .filter((F.col("edge") == INSIDE) & ~F.col("is_right"))
+        .selectExpr(
+            "*",
+            "CASE WHEN after IS NOT NULL THEN "
+            "struct(after.position - position AS distance, -tie AS later_left, after.tie AS right) END AS own",
+        )
+        .selectExpr(
+            "*", f"row_number() OVER (PARTITION BY {group}, position, own IS NULL ORDER BY own) AS place"
+        )
     )
+    kept = resolved.filter("own IS NULL OR place = 1")
     if drop_backward_only:
-        ranked = ranked.filter(~F.col("backward_only"))
-    linked = F.col("matched") & F.col("pair").eqNullSafe(F.col("after.best"))
-    return ranked.select(
+        kept = kept.filter("own IS NOT NULL OR NOT coalesce(right_before, false)")
+    linked = "CASE WHEN own IS NOT NULL AND own <=> best THEN"
+    return kept.selectExpr(
         *USER_VISIT,
         "wide",
         "position",
         "left",
-        F.when(linked, F.col("after.position")).alias("right_position"),
-        F.when(linked, F.col("after.right")).alias("right"),
+        f"{linked} after.position END AS right_position",
+        f"{linked} after.right END AS right",
     )
 
 
@@ -227,6 +207,7 @@ def link_clicks_to_starts(
         F.col("event_position").alias("position"),
         F.explode(F.when(is_right, start_keys(ordinal)).otherwise(F.array(click_keys(ordinal)))).alias("key"),
         is_right.alias("is_right"),
+        ordinal.alias("tie"),
         F.when(~is_right, event).alias("left"),
         F.when(is_right, event).alias("right"),
     )
@@ -263,6 +244,7 @@ def link_starts_to_completes(
         started.alias("position"),
         F.col("content_id").alias("key"),
         F.lit(False).alias("is_right"),
+        F.col("click_event_position").alias("tie"),
         F.struct(*carried).alias("left"),
     )
     right = completes.filter(F.col("content_id").isNotNull()).select(
@@ -270,7 +252,8 @@ def link_starts_to_completes(
         F.col("event_position").alias("position"),
         F.col("content_id").alias("key"),
         F.lit(True).alias("is_right"),
-        F.struct("attribute", "container", "placement", "content_id").alias("right"),
+        F.col("event_position").alias("tie"),
+        F.struct("attribute").alias("right"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
     if not has_wide:

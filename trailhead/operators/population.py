@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import DateWindow, Settings
 from ..functions import classify as fn
+from ..sources.stages import materialise
 from ..sources.tables import Inputs
 from .skew import block_of, hot_keys, spread_join
 
@@ -33,7 +34,7 @@ def user_weeks(
     arms: DataFrame | None = None,
     keep_unsegmented: bool = False,
 ) -> DataFrame:
-    """One row per user and week: age range, frequency band and, if given, the experiment arm.
+    """Age range, frequency band and, if given, the experiment arm per user and week (not yet distinct).
 
     A user with no frequency row for a week is dropped unless `keep_unsegmented`; their `week` is then NULL.
     """
@@ -47,7 +48,13 @@ def user_weeks(
     out = users.join(bands, "hid", "left" if keep_unsegmented else "inner")
     if arms is not None:
         out = out.join(arms, "hid", "left").withColumn("exp_group", F.coalesce("exp_group", F.lit("unknown")))
-    return out.distinct()
+    return out
+
+
+def in_weeks(weekly_frequency: DataFrame, window: DateWindow) -> DataFrame:
+    """The weeks that overlap the window; the table holds all of history."""
+    first, last = fn.week_of(F.lit(window.first)), fn.week_of(F.lit(window.last))
+    return weekly_frequency.filter(F.col("date_of_segmentation").between(first, last))
 
 
 def visit_blocks(hits: DataFrame, url_events: DataFrame, block_size: int) -> DataFrame:
@@ -72,10 +79,10 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
     """
     inputs = inputs.scoped(settings)
     audiences = inputs.visits.select("destination", *RAW_VISIT, F.col("audience_id").alias("hid")).distinct()
-    per_visit = Window.partitionBy(*RAW_VISIT, "destination")
+    per_visit = Window.partitionBy("destination", *RAW_VISIT)
     visits = (
         visit_blocks(inputs.hits, inputs.url_events, settings.block_size)
-        .join(audiences, [*RAW_VISIT, "destination"])
+        .join(audiences, ["destination", *RAW_VISIT])
         .withColumns(
             {
                 "wide": F.max("block").over(per_visit) > 0,
@@ -83,20 +90,25 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
                 "week": fn.week_of(F.col("dt")),
             }
         )
-        .filter(F.col("in_hits") == 1)
+        .filter((F.col("in_hits") == 1) & F.col("hid").isNotNull())
         .drop("in_hits")
     )
+    # Written once: the two checks for hot keys and the joins then start from visits, not from hits.
+    visits = materialise(visits, "visits")
     with_platform = spread_join(
         visits,
         _platforms(inputs.activity),
         on=["dt", "visit_id"],
-        hot=hot_keys(audiences, ["dt", "visit_id"], settings.hot_rows),
+        hot=hot_keys(visits, ["dt", "visit_id"], settings.hot_rows),
         hot_on=["dt", "visit_id"],
         spread_by=["cookie_id", "hid", "block"],
         salts=settings.salts,
     )
     users = user_weeks(
-        inputs.profile, inputs.weekly_frequency, inputs.arm_assignments, settings.keep_unsegmented
+        inputs.profile,
+        in_weeks(inputs.weekly_frequency, settings.window),
+        inputs.arm_assignments,
+        settings.keep_unsegmented,
     )
     if settings.keep_unsegmented:
         users = _every_week(users, with_platform)
@@ -104,7 +116,7 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
         with_platform,
         users,
         on=["hid", "week"],
-        hot=hot_keys(audiences, ["hid"], settings.hot_rows),
+        hot=hot_keys(visits, ["hid"], settings.hot_rows),
         hot_on=["hid"],
         spread_by=["dt", "cookie_id", "visit_id", "block"],
         salts=settings.salts,

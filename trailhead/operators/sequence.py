@@ -92,59 +92,61 @@ def eligible(journeys: DataFrame) -> DataFrame:
 
 
 def extract_hops(
-    journeys: DataFrame, pattern: HopPattern, mode: str = "exact", limit: int | None = None
+    journeys: DataFrame,
+    patterns: HopPattern | dict[str, HopPattern],
+    mode: str = "exact",
+    limit: int | None = None,
 ) -> DataFrame:
     """One row per hop: hop number, entry page, content page and content id.
 
+    Several named patterns are searched in the same pass; the name is then in the column `family`.
     `exact` reports true page numbers and the id at the content page. `compat` reports what chopping the
     strings hop by hop yields, where from the second hop on pages and ids may be off, and where a hop to
     the last page reports the previous id. `limit` keeps a sample of the visits; the default is all.
     """
     if mode not in ("exact", "compat"):
         raise ValueError(f"unknown mode: {mode}")
+    named = patterns if isinstance(patterns, dict) else {"": patterns}
     visits = eligible(journeys) if limit is None else eligible(journeys).limit(limit)
-    pages = tokens(F.col(pattern.sequence))
-    found = F.slice(match_positions(pages, pattern), 1, pattern.max_hops)
-    hops = visits.select(
-        "app_type",
-        "dt",
-        "visit_id",
-        "hid",
-        tokens(F.col("content_id_sequence")).alias("ids"),
-        found.alias("found"),
-        F.posexplode(found).alias("before", "at"),
-    )
-    entry, content, content_id = (_exact if mode == "exact" else _compat)(pattern)
-    return hops.select(
-        "app_type",
-        "dt",
-        "visit_id",
-        "hid",
-        (F.col("before") + 1).alias("hop"),
-        entry.cast("int").alias("entry_page_num"),
-        content.cast("int").alias("content_page_num"),
-        content_id.alias("content_id"),
-    )
+    found = F.concat(*[_hops_of(pattern, name, mode) for name, pattern in named.items()])
+    hops = visits.select("app_type", "dt", "visit_id", "hid", F.inline(found))
+    return hops if isinstance(patterns, dict) else hops.drop("family")
 
 
-def _exact(pattern: HopPattern) -> tuple[Column, Column, Column]:
-    at, ids = F.col("at"), F.col("ids")
+def _hops_of(pattern: HopPattern, name: str, mode: str) -> Column:
+    """Array of the hops of one visit."""
+    ids = tokens(F.col("content_id_sequence"))
+    found = F.slice(match_positions(tokens(F.col(pattern.sequence)), pattern), 1, pattern.max_hops)
+    describe = _exact if mode == "exact" else _compat
+
+    def hop(at: Column, before: Column) -> Column:
+        entry, content, content_id = describe(pattern, ids, found, at, before)
+        return F.struct(
+            F.lit(name).alias("family"),
+            (before + 1).alias("hop"),
+            entry.cast("int").alias("entry_page_num"),
+            content.cast("int").alias("content_page_num"),
+            content_id.alias("content_id"),
+        )
+
+    return F.transform(found, hop)
+
+
+def _exact(pattern: HopPattern, ids: Column, found: Column, at: Column, before: Column):
     return at, at + pattern.distance, _at(ids, at + pattern.distance)
 
 
-def _compat(pattern: HopPattern) -> tuple[Column, Column, Column]:
-    ids, before = F.col("ids"), F.col("before")
+def _compat(pattern: HopPattern, ids: Column, found: Column, at: Column, before: Column):
     drift = pattern.distance - pattern.consumed
 
     def token(at: Column, earlier: Column) -> Column:
         return at + pattern.distance + earlier * drift
 
-    at = F.col("at")
     entry = at - before * (pattern.consumed - 1)
     content = entry + (before + 1) * pattern.distance
     wanted = token(at, before)
     # Where the ids still left begin: at the previous hop's token, at first with the first id.
-    begin = F.when(before == 0, F.lit(1)).otherwise(token(_at(F.col("found"), before), before - 1))
+    begin = F.when(before == 0, F.lit(1)).otherwise(token(_at(found, before), before - 1))
     last_page = F.when(begin == F.size(ids), "").otherwise(_at(ids, begin))
     return entry, content, F.when(wanted >= F.size(ids), last_page).otherwise(_at(ids, wanted))
 
@@ -166,14 +168,6 @@ def hop_outcomes(hops: DataFrame, outcomes: DataFrame, label: str) -> DataFrame:
     )
 
 
-def all_hops(*families: DataFrame) -> DataFrame:
-    """Hops of several patterns together, such as direct and via a title page."""
-    out = families[0]
-    for other in families[1:]:
-        out = out.unionByName(other)
-    return out
-
-
 def count_occurrences(text: Column, pattern: str) -> Column:
     """Non-overlapping occurrences of a string."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit("")))

@@ -19,8 +19,11 @@ def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame | None
     """Keys with more than `more_than` rows and their row count `hot_n`; None if there are none.
 
     There are fewer than rows / more_than of them, which bounds the size of the result. It is written
-    once, because both sides of a join look keys up in it.
+    once, because both sides of a join look keys up in it. A table of no more than `more_than` rows
+    needs no look at its keys.
     """
+    if df.count() <= more_than:
+        return None
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"))
     hot = counts.filter(F.col("hot_n") > more_than)
     return materialise(hot, "hot") if hot.head(1) else None
@@ -53,15 +56,15 @@ def spread_join(
 def lookup_join(
     df: DataFrame, lookup: DataFrame, on: str, spread_by: list[str], max_rows: int, salts: int
 ) -> DataFrame:
-    """Left join to a lookup table on one column that may be dominated by a few popular values.
+    """Left join to the distinct rows of a lookup table, on a column that a few values may dominate.
 
     The lookup is broadcast if a count shows that it has at most `max_rows` rows. A larger one is
     repeated `salts` times and shuffled, and each value's rows (the missing value's too) are spread
     over the copies.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return df.join(F.broadcast(lookup), on, "left")
-    copies = lookup.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if lookup.count() <= max_rows:
+        return df.join(F.broadcast(lookup.distinct()), on, "left")
+    copies = lookup.distinct().withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     known = salted.filter(F.col(on).isNotNull()).join(copies, [on, SALT], "left")
     missing = salted.filter(F.col(on).isNull())

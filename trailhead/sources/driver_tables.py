@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as c
 from ..config import DateWindow, Settings
 from ..operators.skew import hot_keys, number_rows
+from ..schemas import INPUTS
 from .stages import materialise
 from .tables import Inputs
 
@@ -39,8 +40,25 @@ JOURNEY_NAMES = (c.HOME_PLACEMENT, "iplayer.tv.tleo.page", "iplayer.tv.episode.p
 JOURNEY_PAGES = ("home_page", c.TITLE_PAGE, c.EPISODE_PAGE, c.WATCHING_PAGE)
 
 
-def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _quoted(values) -> str:
+    return ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+
+
+def _pick(values, index: str) -> str:
+    return f"element_at(array({_quoted(values)}), cast({index} + 1 as int))"
+
+
+def _id(prefix: str, number: str) -> str:
+    return f"concat('{prefix}', lpad(cast({number} as string), 7, '0'))"
+
+
+EPISODE = _id("p", "k % 8")
+PLACEMENT = f"""CASE (k div 7) % 5
+    WHEN 1 THEN 'iplayer.tv.tleo.page'
+    WHEN 2 THEN concat('iplayer.tv.episode.', {EPISODE}, '.page')
+    WHEN 3 THEN CASE WHEN k % 2 = 0 THEN '{c.RECOMMENDATIONS_PAGE}' WHEN k % 13 = 0 THEN NULL
+        ELSE '{c.HOME_PLACEMENT}' END
+    ELSE '{c.HOME_PLACEMENT}' END"""
 
 
 # The columns used of each table. Declaring them saves a job that opens files to find out.
@@ -55,26 +73,22 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(COLUMNS[table]).parquet(f"{folder}/{table}.parquet")
 
 
-def _id(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 7, "0"))
-
-
 def _user_weeks(events: DataFrame) -> DataFrame:
     """Events with the columns all inputs share. A visit is all a user does in a week."""
-    user = F.col("user_id")
-    monday = F.to_date(F.date_trunc("week", F.col("ts")))
-    return (
-        events.withColumns(
-            {
-                "k": F.get_json_object("props", "$.k").cast("int"),
-                "monday": monday,
-                "dt": F.date_format(F.date_add(monday, (user % 7).cast("int")), "yyyyMMdd"),
-                "destination": F.when(user % 12 == 11, OTHER_PRODUCT).otherwise(c.PRODUCT),
-                "cookie_id": F.concat(F.lit("c"), user.cast("string")),
-                "hid": user.cast("string"),
-                "visit_id": F.concat_ws("-", user.cast("string"), F.date_format(monday, "yyyyMMdd")),
-            }
-        ).drop("props")
+    return events.selectExpr(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        "cast(get_json_object(props, '$.k') as int) AS k",
+        "to_date(date_trunc('week', ts)) AS monday",
+    ).selectExpr(
+        "*",
+        "date_format(date_add(monday, cast(user_id % 7 as int)), 'yyyyMMdd') AS dt",
+        f"CASE WHEN user_id % 12 = 11 THEN '{OTHER_PRODUCT}' ELSE '{c.PRODUCT}' END AS destination",
+        "concat('c', user_id) AS cookie_id",
+        "cast(user_id as string) AS hid",
+        "concat(user_id, '-', date_format(monday, 'yyyyMMdd')) AS visit_id",
     )
 
 
@@ -97,155 +111,103 @@ def _numbered(events: DataFrame, settings: Settings) -> DataFrame:
     return number_rows(sliced, keys, "slice", "big", order, "event_position").drop("slice", "big")
 
 
-def _episode(k: Column) -> Column:
-    return _id("p", k % 8)
-
-
-def _placement(k: Column) -> Column:
-    place = (k / 7).cast("int") % 5
-    return (
-        F.when(place == 1, "iplayer.tv.tleo.page")
-        .when(place == 2, F.concat(F.lit("iplayer.tv.episode."), _episode(k), F.lit(".page")))
-        .when((place == 3) & (k % 2 == 0), c.RECOMMENDATIONS_PAGE)
-        .when((place == 3) & (k % 13 == 0), F.lit(None))
-        .otherwise(c.HOME_PLACEMENT)
-    )
-
-
-def _click_target(k: Column) -> Column:
-    kind = (k / 20).cast("int")
-    return (
-        F.when(k == 98, "")
-        .when(k == 97, F.lit(None))
-        .when(kind == 4, c.UNKNOWN)
-        .when(kind == 3, _id("b", (k % 8 / 4).cast("int")))
-        .when(kind == 2, _id("s", (k % 8 / 2).cast("int")))
-        .otherwise(_episode(k))
+def _tracked(numbered: DataFrame) -> DataFrame:
+    """Numbered events with the columns of a tracking hit and, for sign-ups, the URL that led there."""
+    click = f"""CASE WHEN k % 10 < 6 THEN {_pick(STANDARD_ATTRIBUTES, "least(k % 10, 5)")}
+        WHEN k % 10 = 6 THEN {_pick(AUTOPLAY_ATTRIBUTES, "(k div 10) % 5")}
+        WHEN k % 10 = 7 THEN 'onward-journey-panel~select'
+        WHEN k % 10 = 8 THEN 'content-item~select-play'
+        ELSE 'navigation~select' END"""
+    target = f"""CASE WHEN k = 98 THEN '' WHEN k = 97 THEN NULL WHEN k div 20 = 4 THEN '{c.UNKNOWN}'
+        WHEN k div 20 = 3 THEN {_id("b", "(k % 8) div 4")} WHEN k div 20 = 2 THEN {_id("s", "(k % 8) div 2")}
+        ELSE {EPISODE} END"""
+    return numbered.selectExpr(
+        "*",
+        f"{_pick(CONTAINERS, 'k % 7')} AS container",
+        f"""CASE event_type WHEN 'click' THEN {click} WHEN 'view' THEN '{c.START_ATTRIBUTE}'
+            WHEN 'purchase' THEN '{c.COMPLETE_ATTRIBUTE}'
+            ELSE CASE WHEN k % 5 = 0 THEN 'onward-journey-panel~complete' ELSE 'module~impression' END END
+            AS attribute""",
+        f"""CASE WHEN event_type = 'error' AND k % 2 = 0 THEN '{c.HOME_PLACEMENT}' ELSE {PLACEMENT} END
+            AS placement""",
+        f"CASE WHEN event_type IN ('view', 'purchase') THEN {EPISODE} ELSE {target} END AS result",
+        "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS is_click",
+        "CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS is_impression",
+        f"""CASE k % 4
+            WHEN 0 THEN concat('https://host.example/b0abcdef/playback/', {EPISODE}, '?deeplink=1')
+            WHEN 1 THEN 'https://host.example/Playback/live?deeplink=1'
+            WHEN 2 THEN concat('https://host.example/title/', {EPISODE}, '?deeplink=1')
+            ELSE 'https://host.example/home' END AS url""",
     )
 
 
-def _attribute(event_type: Column, k: Column) -> Column:
-    turn = k % 10
-    click = (
-        F.when(turn < 6, _pick(STANDARD_ATTRIBUTES, F.least(turn, F.lit(5))))
-        .when(turn == 6, _pick(AUTOPLAY_ATTRIBUTES, (k / 10).cast("int") % 5))
-        .when(turn == 7, "onward-journey-panel~select")
-        .when(turn == 8, "content-item~select-play")
-        .otherwise("navigation~select")
-    )
-    return (
-        F.when(event_type == "click", click)
-        .when(event_type == "view", c.START_ATTRIBUTE)
-        .when(event_type == "purchase", c.COMPLETE_ATTRIBUTE)
-        .when(k % 5 == 0, "onward-journey-panel~complete")
-        .otherwise("module~impression")
-    )
+def _hits(tracked: DataFrame) -> DataFrame:
+    return tracked.filter("event_type <> 'signup'").select(*INPUTS["hits"].fieldNames())
 
 
-def _hits(numbered: DataFrame) -> DataFrame:
-    kind, k = F.col("event_type"), F.col("k")
-    return numbered.filter(kind != "signup").select(
-        "destination",
-        "dt",
-        "cookie_id",
-        "visit_id",
-        "event_position",
-        _pick(CONTAINERS, k % 7).alias("container"),
-        _attribute(kind, k).alias("attribute"),
-        F.when(kind == "error", F.when(k % 2 == 0, c.HOME_PLACEMENT).otherwise(_placement(k)))
-        .otherwise(_placement(k))
-        .alias("placement"),
-        F.when(kind.isin("view", "purchase"), _episode(k)).otherwise(_click_target(k)).alias("result"),
-        F.when(kind == "click", 1).otherwise(0).alias("is_click"),
-        F.when(kind == "click", 0).otherwise(1).alias("is_impression"),
-    )
+def _url_events(tracked: DataFrame) -> DataFrame:
+    return tracked.filter("event_type = 'signup'").select(*INPUTS["url_events"].fieldNames())
 
 
-def _url_events(numbered: DataFrame) -> DataFrame:
-    k = F.col("k")
-    url = (
-        F.when(
-            k % 4 == 0,
-            F.concat(F.lit("https://host.example/b0abcdef/playback/"), _episode(k), F.lit("?deeplink=1")),
-        )
-        .when(k % 4 == 1, "https://host.example/Playback/live?deeplink=1")
-        .when(k % 4 == 2, F.concat(F.lit("https://host.example/title/"), _episode(k), F.lit("?deeplink=1")))
-        .otherwise("https://host.example/home")
-    )
-    return numbered.filter(F.col("event_type") == "signup").select(
-        "destination", "dt", "cookie_id", "visit_id", "event_position", url.alias("url")
-    )
+def activity(weeks: DataFrame) -> DataFrame:
+    apps = _pick(("tv|Bigscreen-HTML|1", "tv|bigscreen-html|2", "web|responsive", c.MOBILE_APP), "user_id % 4")
+    return weeks.selectExpr("destination", "dt", "visit_id", f"CASE WHEN k % 10 <> 0 THEN {apps} END AS app_type")
 
 
-def activity(events: DataFrame) -> DataFrame:
-    app = F.when(F.col("k") % 10 == 0, F.lit(None)).otherwise(
-        _pick(("tv|Bigscreen-HTML|1", "tv|bigscreen-html|2", "web|responsive", c.MOBILE_APP), F.col("user_id") % 4)
-    )
-    return _user_weeks(events).select("destination", "dt", "visit_id", app.alias("app_type"))
-
-
-def visits(events: DataFrame) -> DataFrame:
-    signed_in = F.when(F.col("user_id") % 9 != 8, F.col("hid"))
-    return _user_weeks(events).select(
-        "destination", "dt", "cookie_id", "visit_id", signed_in.alias("audience_id")
+def visits(weeks: DataFrame) -> DataFrame:
+    return weeks.selectExpr(
+        "destination", "dt", "cookie_id", "visit_id", "CASE WHEN user_id % 9 <> 8 THEN hid END AS audience_id"
     )
 
 
 def profile(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    return customer.select(
-        key.cast("string").alias("hid"), F.when(key % 13 != 0, key % 60).cast("int").alias("age")
+    return customer.selectExpr(
+        "cast(c_custkey as string) AS hid", "cast(CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 60 END as int) AS age"
     )
 
 
 def weekly_frequency(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    mondays = F.expr("sequence(date'2023-12-25', date'2024-02-05', interval 7 days)")
-    return customer.filter(key % 11 != 10).select(
-        key.cast("string").alias("hid"),
-        _pick(("A. Daily", "C. Weekly", "D. Monthly", None), key % 4).alias("frequency_band"),
-        F.explode(mondays).alias("date_of_segmentation"),
+    return customer.filter("c_custkey % 11 <> 10").selectExpr(
+        "cast(c_custkey as string) AS hid",
+        f"{_pick(('A. Daily', 'C. Weekly', 'D. Monthly', None), 'c_custkey % 4')} AS frequency_band",
+        "explode(sequence(date'2023-12-25', date'2024-02-05', interval 7 days)) AS date_of_segmentation",
     )
 
 
 def catalogue(part: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    series, brand = (key / 2).cast("long"), (key / 4).cast("long")
-    return part.filter(key % 8 != 7).select(
-        F.col("p_brand").alias("master_brand_name"),
-        F.lower("p_brand").alias("master_brand_id"),
-        F.concat(F.lit("Brand "), brand).alias("brand_title"),
-        _id("b", brand).alias("brand_id"),
-        F.concat(F.lit("Series "), series).alias("series_title"),
-        F.when(key % 8 != 6, _id("s", series)).alias("series_id"),
-        _id("p", key).alias("episode_id"),
-        F.col("p_name").alias("episode_title"),
-        F.col("p_type").alias("genre"),
+    series, brand = "p_partkey div 2", "p_partkey div 4"
+    return part.filter("p_partkey % 8 <> 7").selectExpr(
+        "p_brand AS master_brand_name",
+        "lower(p_brand) AS master_brand_id",
+        f"concat('Brand ', {brand}) AS brand_title",
+        f"{_id('b', brand)} AS brand_id",
+        f"concat('Series ', {series}) AS series_title",
+        f"CASE WHEN p_partkey % 8 <> 6 THEN {_id('s', series)} END AS series_id",
+        f"{_id('p', 'p_partkey')} AS episode_id",
+        "p_name AS episode_title",
+        "p_type AS genre",
     )
 
 
 def arm_assignments(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    return customer.select(
-        key.cast("string").alias("hid"),
-        _pick(("control", "variation_1", "variation_2", "unknown"), (key / 3).cast("int") % 4).alias("exp_group"),
-    )
+    arms = _pick(("control", "variation_1", "variation_2", "unknown"), "(c_custkey div 3) % 4")
+    return customer.selectExpr("cast(c_custkey as string) AS hid", f"{arms} AS exp_group")
 
 
 def driver_inputs(
     spark: SparkSession, folder: str, settings: Settings = SETTINGS, stage: bool = False
 ) -> Inputs:
-    """All inputs of the journey builder. `stage` writes the numbered events once, for plans that read
+    """All inputs of the journey builder. `stage` writes the tracked events once, for plans that read
     hits or URL events more than once."""
     events, customer = _read(spark, folder, "events"), _read(spark, folder, "customer")
-    numbered = _numbered(events, settings)
+    tracked, weeks = _tracked(_numbered(events, settings)), _user_weeks(events)
     if stage:
-        numbered = materialise(numbered, "numbered")
+        tracked = weeks = materialise(tracked, "tracked")
     return Inputs(
-        hits=_hits(numbered),
-        activity=activity(events),
-        visits=visits(events),
-        url_events=_url_events(numbered),
+        hits=_hits(tracked),
+        activity=activity(weeks),
+        visits=visits(weeks),
+        url_events=_url_events(tracked),
         profile=profile(customer),
         weekly_frequency=weekly_frequency(customer),
         catalogue=catalogue(_read(spark, folder, "part")),
@@ -257,18 +219,17 @@ def _pages(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
     """Every event as a page view. A visit holds at most MOST_PAGES pages; longer user-weeks go on in
     a further visit, so a page sequence has a bounded length."""
     numbered = _numbered(_read(spark, folder, "events"), settings)
-    part = ((F.col("event_position") - 1) / MOST_PAGES).cast("long")
-    more = F.when(part > 0, F.concat(F.lit("-"), part)).otherwise("")
-    app = _pick(("tv-bigscreen-html", "tv-bigscreen-html", "web-responsive", c.MOBILE_APP), F.col("user_id") % 4)
-    return numbered.select(
+    part = f"(event_position - 1) div {MOST_PAGES}"
+    apps = _pick(("tv-bigscreen-html", "tv-bigscreen-html", "web-responsive", c.MOBILE_APP), "user_id % 4")
+    return numbered.selectExpr(
         "destination",
-        app.alias("app_type"),
+        f"{apps} AS app_type",
         "dt",
-        F.concat("visit_id", more).alias("visit_id"),
+        f"concat(visit_id, CASE WHEN {part} > 0 THEN concat('-', {part}) ELSE '' END) AS visit_id",
         "hid",
-        ((F.col("event_position") - 1) % MOST_PAGES + 1).cast("int").alias("page_count"),
-        (F.col("k") % 4).alias("page"),
-        _episode(F.col("k")).alias("content_id"),
+        f"cast((event_position - 1) % {MOST_PAGES} + 1 as int) AS page_count",
+        "k % 4 AS page",
+        f"{EPISODE} AS content_id",
         "event_type",
     )
 
@@ -276,38 +237,32 @@ def _pages(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
 def page_journeys(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
     """One row per visit with its pages as '|'-delimited strings."""
     visit = ["destination", "app_type", "dt", "visit_id", "hid"]
-    ordered = F.sort_array(F.collect_list(F.struct("page_count", "page", "content_id")))
+    pages = "sort_array(collect_list(struct(page_count, page, content_id))) AS pages"
     return (
         _pages(spark, folder, settings)
         .groupBy(*visit)
-        .agg(ordered.alias("pages"))
-        .select(
+        .agg(F.expr(pages))
+        .selectExpr(
             *visit,
-            F.array_join(F.transform("pages", lambda x: _pick(JOURNEY_NAMES, x["page"])), "|").alias(
-                "page_name_sequence"
-            ),
-            F.array_join(F.transform("pages", lambda x: _pick(JOURNEY_PAGES, x["page"])), "|").alias(
-                "page_sequence"
-            ),
-            F.array_join(F.transform("pages", lambda x: x["content_id"]), "|").alias("content_id_sequence"),
+            f"array_join(transform(pages, x -> {_pick(JOURNEY_NAMES, 'x.page')}), '|') AS page_name_sequence",
+            f"array_join(transform(pages, x -> {_pick(JOURNEY_PAGES, 'x.page')}), '|') AS page_sequence",
+            "array_join(pages.content_id, '|') AS content_id_sequence",
         )
     )
 
 
 def content_outcomes(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
     """Whether the content of each episode page was started and completed."""
-    kind = F.col("event_type")
     return (
         _pages(spark, folder, settings)
-        .filter(F.col("page") == 2)
-        .select(
+        .filter("page = 2")
+        .selectExpr(
             "dt",
             "visit_id",
             "content_id",
             "page_count",
-            F.when(kind.isin("click", "view", "purchase"), c.START_ATTRIBUTE)
-            .otherwise("no-start-flag")
-            .alias("start_flag"),
-            F.when(kind == "purchase", c.COMPLETE_ATTRIBUTE).otherwise("no-watched-flag").alias("watched_flag"),
+            f"""CASE WHEN event_type IN ('click', 'view', 'purchase') THEN '{c.START_ATTRIBUTE}'
+                ELSE 'no-start-flag' END AS start_flag""",
+            f"CASE WHEN event_type = 'purchase' THEN '{c.COMPLETE_ATTRIBUTE}' ELSE 'no-watched-flag' END AS watched_flag",
         )
     )
