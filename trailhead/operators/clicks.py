@@ -29,27 +29,26 @@ def _conditions() -> dict[str, Column]:
 def hit_events(hits: DataFrame, population: DataFrame, block_size: int, kinds: tuple[str, ...]) -> DataFrame:
     """Hits of the wanted kinds in the population's visits, one distinct row per event and kind.
 
-    The hits are read once for all kinds. A hit that is of two kinds gives two rows.
+    The hits are read once for all kinds. A hit that is of two kinds gives two rows. Copies of a hit are
+    removed before the join, so any number of them costs one row per map task.
     """
     wanted = {kind: cond for kind, cond in _conditions().items() if kind in kinds}
     kind_list = F.array_compact(F.array(*[F.when(cond, F.lit(kind)) for kind, cond in wanted.items()]))
-    relevant = hits.filter(fn.any_of(wanted.values())).select(
+    container = F.when(
+        F.col("kind").isin(*CLICK_KINDS), fn.normalise_container(F.col("container"))
+    ).otherwise(F.col("container"))
+    relevant = hits.filter(fn.any_of(wanted.values())).withColumn("kind", F.explode(kind_list))
+    distinct = relevant.select(
         "destination",
+        "kind",
         *RAW_VISIT,
         "event_position",
-        "container",
+        container.alias("container"),
         "attribute",
         "placement",
         F.col("result").alias("content_id"),
-        kind_list.alias("kinds"),
-    )
-    container = F.when(
-        F.col("kind").isin(*CLICK_KINDS), fn.normalise_container(F.col("container"))
-    ).otherwise(F.col("container"))
-    one_per_kind = restrict(relevant, population, block_size).withColumn("kind", F.explode("kinds"))
-    # With the destination, these columns include all keys of the join: its partitioning serves both.
-    events = one_per_kind.withColumn("container", container).select("destination", "kind", *EVENT)
-    return events.distinct().drop("destination")
+    ).distinct()
+    return restrict(distinct, population, block_size).select("kind", *EVENT)
 
 
 def standard_clicks(hits: DataFrame, population: DataFrame, block_size: int, exclude_titles: bool) -> DataFrame:

@@ -168,8 +168,10 @@ def module_impressions(hits: DataFrame, population: DataFrame, block_size: int)
         block_of(F.col("event_position"), block_size).alias("block"),
         fn.normalise_container(F.col("container")).alias("container"),
     )
+    # Distinct first: the many impressions of a visit are few blocks and containers.
     return (
-        shown.join(web.distinct(), ["destination", *RAW_VISIT, "block"])
+        shown.distinct()
+        .join(web.distinct(), ["destination", *RAW_VISIT, "block"])
         .select("dt", "cookie_id", "hid", "platform", "age_range", "visit_id", "container")
         .distinct()
     )
