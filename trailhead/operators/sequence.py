@@ -72,18 +72,18 @@ def _followed(pages: Column, at: Column, pattern: HopPattern) -> Column:
     return F.coalesce(result, F.lit(False))
 
 
-def match_positions(pages: Column, pattern: HopPattern) -> Column:
-    """1-based positions of the entry page in `pages` that start a hop."""
-    entries = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(pages), F.lit(1))),
-        lambda i: F.coalesce(_at(pages, i).isin(*pattern.entry), F.lit(False)),
-    )
-    if not pattern.guard:
-        return F.filter(entries, lambda i: _followed(pages, i, pattern))
-    first_miss = F.array_position(F.transform(entries, lambda i: _followed(pages, i, pattern)), False)
-    return F.when(first_miss == 0, entries).otherwise(
-        F.slice(entries, F.lit(1), F.greatest(first_miss - 1, F.lit(0)).cast("int"))
-    )
+def _entries(pages: Column, pattern: HopPattern) -> Column:
+    """1-based positions of the entry page."""
+    return F.array_compact(F.transform(pages, lambda page, i: F.when(page.isin(*pattern.entry), i + 1)))
+
+
+def _matches(pages: Column, entries: Column, pattern: HopPattern) -> Column:
+    """The first `max_hops` entry positions that start a hop."""
+    if pattern.guard:
+        first_miss = F.array_position(F.transform(entries, lambda i: _followed(pages, i, pattern)), False)
+        good = F.when(first_miss == 0, F.size(entries)).otherwise(first_miss - 1)
+        return F.slice(entries, F.lit(1), F.least(good, F.lit(pattern.max_hops)).cast("int"))
+    return F.slice(F.filter(entries, lambda i: _followed(pages, i, pattern)), 1, pattern.max_hops)
 
 
 def eligible(journeys: DataFrame) -> DataFrame:
@@ -108,45 +108,64 @@ def extract_hops(
         raise ValueError(f"unknown mode: {mode}")
     named = patterns if isinstance(patterns, dict) else {"": patterns}
     visits = eligible(journeys) if limit is None else eligible(journeys).limit(limit)
-    found = F.concat(*[_hops_of(pattern, name, mode) for name, pattern in named.items()])
-    hops = visits.select("app_type", "dt", "visit_id", "hid", F.inline(found))
+    visit = ["app_type", "dt", "visit_id", "hid"]
+    # Each array is a column of its own before it is searched, so it is made once per visit.
+    split = visits.select(
+        *visit,
+        tokens(F.col("content_id_sequence")).alias("ids"),
+        *[tokens(F.col(x)).alias(x) for x in sorted({p.sequence for p in named.values()})],
+    )
+    entered = split.withColumns({f"in_{n}": _entries(F.col(p.sequence), p) for n, p in enumerate(named.values())})
+    matched = entered.select(
+        *visit,
+        "ids",
+        *[_matches(F.col(p.sequence), F.col(f"in_{n}"), p).alias(f"at_{n}") for n, p in enumerate(named.values())],
+    )
+    found = [_described(name, p, F.col(f"at_{n}")) for n, (name, p) in enumerate(named.items())]
+    entry, content, content_id = _exact() if mode == "exact" else _compat()
+    hops = matched.select(*visit, "ids", F.inline(F.concat(*found))).select(
+        *visit,
+        "family",
+        (F.col("before") + 1).alias("hop"),
+        entry.cast("int").alias("entry_page_num"),
+        content.cast("int").alias("content_page_num"),
+        content_id.alias("content_id"),
+    )
     return hops if isinstance(patterns, dict) else hops.drop("family")
 
 
-def _hops_of(pattern: HopPattern, name: str, mode: str) -> Column:
-    """Array of the hops of one visit."""
-    ids = tokens(F.col("content_id_sequence"))
-    found = F.slice(match_positions(tokens(F.col(pattern.sequence)), pattern), 1, pattern.max_hops)
-    describe = _exact if mode == "exact" else _compat
-
-    def hop(at: Column, before: Column) -> Column:
-        entry, content, content_id = describe(pattern, ids, found, at, before)
-        return F.struct(
+def _described(name: str, pattern: HopPattern, positions: Column) -> Column:
+    """The matches of one pattern, with what is needed to report them."""
+    return F.transform(
+        positions,
+        lambda at, before: F.struct(
             F.lit(name).alias("family"),
-            (before + 1).alias("hop"),
-            entry.cast("int").alias("entry_page_num"),
-            content.cast("int").alias("content_page_num"),
-            content_id.alias("content_id"),
-        )
-
-    return F.transform(found, hop)
+            F.lit(pattern.distance).alias("distance"),
+            F.lit(pattern.consumed).alias("consumed"),
+            before.alias("before"),
+            at.alias("at"),
+            _at(positions, before).alias("previous"),
+        ),
+    )
 
 
-def _exact(pattern: HopPattern, ids: Column, found: Column, at: Column, before: Column):
-    return at, at + pattern.distance, _at(ids, at + pattern.distance)
+def _exact() -> tuple[Column, Column, Column]:
+    content = F.col("at") + F.col("distance")
+    return F.col("at"), content, _at(F.col("ids"), content)
 
 
-def _compat(pattern: HopPattern, ids: Column, found: Column, at: Column, before: Column):
-    drift = pattern.distance - pattern.consumed
+def _compat() -> tuple[Column, Column, Column]:
+    ids, at, before = F.col("ids"), F.col("at"), F.col("before")
+    distance, consumed = F.col("distance"), F.col("consumed")
 
     def token(at: Column, earlier: Column) -> Column:
-        return at + pattern.distance + earlier * drift
+        return at + distance + earlier * (distance - consumed)
 
-    entry = at - before * (pattern.consumed - 1)
-    content = entry + (before + 1) * pattern.distance
+    entry = at - before * (consumed - 1)
+    content = entry + (before + 1) * distance
     wanted = token(at, before)
     # Where the ids still left begin: at the previous hop's token, at first with the first id.
-    begin = F.when(before == 0, F.lit(1)).otherwise(token(_at(found, before), before - 1))
+    begin = F.when(before == 0, F.lit(1)).otherwise(token(F.col("previous"), before - 1))
     last_page = F.when(begin == F.size(ids), "").otherwise(_at(ids, begin))
     return entry, content, F.when(wanted >= F.size(ids), last_page).otherwise(_at(ids, wanted))
 

@@ -39,10 +39,11 @@ def prepare(inputs: Inputs, settings: Settings) -> Prepared:
 
 
 def timeline(prepared: Prepared, settings: Settings, exclude_titles: bool) -> DataFrame:
-    """Numbered clicks and starts."""
+    """Numbered clicks and starts. With wide visits, later steps read each stage several times: it is written."""
     starts = ck.play_starts(prepared.events, prepared.catalogue, settings.lookup_rows, settings.salts)
     both = ck.clicks_and_starts(ck.all_clicks(prepared.events, exclude_titles), starts)
-    return ln.timeline_ordinals(both, prepared.has_wide)
+    numbered = ln.timeline_ordinals(both, prepared.has_wide)
+    return materialise(numbered, "timeline") if prepared.has_wide else numbered
 
 
 def linked_starts(prepared: Prepared, settings: Settings, exclude_titles: bool) -> DataFrame:
