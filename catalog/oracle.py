@@ -294,6 +294,56 @@ CTES["rec_all"] = "SELECT * FROM rec_via UNION ALL SELECT * FROM rec_direct"
 CTES["watch_all"] = "SELECT * FROM watch_via UNION ALL SELECT * FROM watch_direct"
 
 
+def _rounds(family: str, sequence: str, pattern: str, guard: str, step: int, most: int) -> None:
+    """Hops as the strings are chopped round by round, with page numbers added up over the rounds.
+
+    `substring` from a position before the text returns what of the text lies in that stretch.
+    """
+    source = "journeys"
+    for n in range(1, most + 1):
+        columns = f"app_type, dt, visit_id, hid, {sequence} AS seq, content_id_sequence AS ids, 0 AS entry0, 0 AS page0"
+        if n > 1:
+            columns = "app_type, dt, visit_id, hid, rest AS seq, ids_left AS ids, entry_num AS entry0, page_num AS page0"
+        where = f"app_type <> '{c.MOBILE_APP}' AND instr({sequence}, '{pattern}') > 0" if n == 1 else "times > 1"
+        CTES[f"{family}_{n}"] = f"""SELECT app_type, dt, visit_id, hid, {n} AS hop, rest, times,
+      ids_left, split_part(ids_left, '|', 1) AS content_id, entry0 + page AS entry_num, page0 + page + {step} AS page_num
+    FROM (SELECT *, CASE WHEN start >= 1 THEN substring(ids, start, length(ids))
+          ELSE left(ids, greatest(start + length(ids) - 1, 0)) END AS ids_left
+      FROM (SELECT *, CASE WHEN len(string_split(ids, '|')) > page + {step}
+            THEN length(array_to_string(string_split(ids, '|')[1:page + {step}], '|')) + 1
+            ELSE 0 END + 1 - 9 AS start
+        FROM (SELECT *, length(left(seq, found_at)) - length(replace(left(seq, found_at), '|', '')) + 1 AS page,
+            right(seq, greatest(length(seq) - (found_at + length('{pattern}')), 0)) AS rest
+          FROM (SELECT *, instr(seq, '{pattern}') AS found_at,
+              (length(seq) - length(replace(seq, '{pattern}', ''))) // length('{pattern}') AS times
+            FROM (SELECT {columns} FROM {source} WHERE {where}) a) b) d) e
+      WHERE {guard}) f"""
+        source = f"{family}_{n}"
+    CTES[family] = " UNION ALL ".join(
+        f"""SELECT app_type, dt, visit_id, hid, hop, CAST(entry_num AS INTEGER) AS entry_page_num,
+      CAST(page_num AS INTEGER) AS content_page_num, content_id FROM {family}_{n}"""
+        for n in range(1, most + 1)
+    )
+
+
+_episode_next = "split_part(seq, '|', CAST(page + {0} AS INTEGER)) ILIKE '%{1}%'"
+_rounds(
+    "rec_direct_chopped", "page_name_sequence", c.RECOMMENDATIONS_PAGE, _episode_next.format(1, "episode"), 1, 5
+)
+_rounds(
+    "rec_via_chopped",
+    "page_name_sequence",
+    c.RECOMMENDATIONS_PAGE,
+    _episode_next.format(1, "tleo") + " AND " + _episode_next.format(2, "episode"),
+    2,
+    2,
+)
+_rounds("watch_direct_chopped", "page_sequence", f"{c.WATCHING_PAGE}|{c.EPISODE_PAGE}", "true", 1, 5)
+_rounds(
+    "watch_via_chopped", "page_sequence", f"{c.WATCHING_PAGE}|{c.TITLE_PAGE}|{c.EPISODE_PAGE}", "true", 2, 2
+)
+
+
 def _outcomes(hops: str, label: str) -> str:
     return f"""SELECT h.*, '{label}' AS click_placement,
     CASE WHEN o.start_flag = '{c.START_ATTRIBUTE}' THEN 1 ELSE 0 END AS start_flag,
@@ -433,6 +483,10 @@ SELECTS = {
     "hops_via_title": "SELECT * FROM rec_via",
     "hops_watching_direct": "SELECT * FROM watch_direct",
     "hops_watching_via_title": "SELECT * FROM watch_via",
+    "hops_direct_compat": "SELECT * FROM rec_direct_chopped",
+    "hops_via_title_compat": "SELECT * FROM rec_via_chopped",
+    "hops_watching_direct_compat": "SELECT * FROM watch_direct_chopped",
+    "hops_watching_via_title_compat": "SELECT * FROM watch_via_chopped",
     "hop_outcomes": "SELECT * FROM rec_direct_outcomes",
     "hop_outcomes_watching": "SELECT * FROM watch_direct_outcomes",
     "hop_counts": " UNION ALL ".join(

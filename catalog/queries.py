@@ -15,6 +15,7 @@ from trailhead.plans import attribution as at
 from trailhead.plans import experiment as ex
 from trailhead.plans import reach, reports
 from trailhead.sources import driver_tables as dt
+from trailhead.sources.stages import materialise
 from trailhead.sources.tables import catalogue_snapshot, scoped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,8 +92,8 @@ class _Run:
     def page_journeys(self) -> DataFrame:
         return scoped(self.all_page_journeys, SETTINGS)
 
-    def hops(self, patterns) -> DataFrame:
-        return sq.extract_hops(self.page_journeys, patterns)
+    def hops(self, patterns, mode: str = "exact") -> DataFrame:
+        return sq.extract_hops(self.page_journeys, patterns, mode)
 
     def outcomes(self, hops: DataFrame, label: str) -> DataFrame:
         return sq.hop_outcomes(hops, dt.content_outcomes(self.spark, self.folder, SETTINGS), label)
@@ -100,7 +101,7 @@ class _Run:
     @property
     def sources(self) -> dict[str, DataFrame]:
         hops = self.hops(FAMILIES)
-        keeping = self.keeping
+        keeping = materialise(self.keeping, "journeys")  # two of the sources start from it
         return {
             "recommendations_page": hops.filter(F.col("family").isin("rec_direct", "rec_via")),
             "watching_page": hops.filter(F.col("family").isin("watch_direct", "watch_via")),
@@ -425,6 +426,26 @@ def hops_watching_via_title(spark, folder):
     return _Run(spark, folder).hops(sq.WATCHING_VIA_TITLE)
 
 
+@_query
+def hops_direct_compat(spark, folder):
+    return _Run(spark, folder).hops(sq.RECOMMENDATIONS_DIRECT, "compat")
+
+
+@_query
+def hops_via_title_compat(spark, folder):
+    return _Run(spark, folder).hops(sq.RECOMMENDATIONS_VIA_TITLE, "compat")
+
+
+@_query
+def hops_watching_direct_compat(spark, folder):
+    return _Run(spark, folder).hops(sq.WATCHING_DIRECT, "compat")
+
+
+@_query
+def hops_watching_via_title_compat(spark, folder):
+    return _Run(spark, folder).hops(sq.WATCHING_VIA_TITLE, "compat")
+
+
 @_query
 def hop_counts(spark, folder):
     """Visits per round of the search, for all four patterns."""

@@ -145,6 +145,9 @@ def test_keep_unsegmented(spark):
     assert pop.population_blocks(inputs, SETTINGS).count() == 0
     kept = pop.population_blocks(inputs, replace(SETTINGS, keep_unsegmented=True)).collect()
     assert [(r.hid, r.frequency_band, r.frequency_group) for r in kept] == [("u1", "new", "new")]
+    grouped = replace(SETTINGS, frequency_groups=(("A. Daily", "often"),))
+    people = pop.population_blocks(make_inputs(spark, [hit("v1", 1, "x")]), grouped)
+    assert [r.frequency_group for r in people.collect()] == ["often"]
 
 
 def test_title_pages_and_null_placements(spark):

@@ -50,6 +50,8 @@ class Settings:
     lookup_rows    a lookup table is broadcast only if it has at most this many rows
     hot_rows       a join key with more rows than this is spread over `salts` tasks
     drop_backward_only  drop clicks whose matching starts all come earlier
+    keep_unsegmented    keep users without a frequency row for the week, as 'new'
+    frequency_groups    (band, group) pairs in place of the default grouping
     """
 
     window: DateWindow
@@ -60,3 +62,4 @@ class Settings:
     salts: int = 64
     drop_backward_only: bool = True
     keep_unsegmented: bool = False
+    frequency_groups: tuple[tuple[str, str], ...] = ()

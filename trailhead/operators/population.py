@@ -33,6 +33,7 @@ def user_weeks(
     weekly_frequency: DataFrame,
     arms: DataFrame | None = None,
     keep_unsegmented: bool = False,
+    groups: dict[str, str] | None = None,
 ) -> DataFrame:
     """Age range, frequency band and, if given, the experiment arm per user and week (not yet distinct).
 
@@ -43,7 +44,7 @@ def user_weeks(
         "hid",
         F.col("date_of_segmentation").alias("week"),
         fn.frequency_band(F.col("frequency_band")).alias("frequency_band"),
-        fn.frequency_group(F.col("frequency_band")).alias("frequency_group"),
+        fn.frequency_group(F.col("frequency_band"), groups).alias("frequency_group"),
     )
     out = users.join(bands, "hid", "left" if keep_unsegmented else "inner")
     if arms is not None:
@@ -109,6 +110,7 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
         in_weeks(inputs.weekly_frequency, settings.window),
         inputs.arm_assignments,
         settings.keep_unsegmented,
+        dict(settings.frequency_groups) or None,
     )
     if settings.keep_unsegmented:
         users = _every_week(users, with_platform)

@@ -25,9 +25,10 @@ def reach_share(sources: dict[str, DataFrame], population: DataFrame) -> DataFra
 
     The counts and the total are single numbers per source, brought together by one small aggregate.
     """
-    users = reach_union(sources)
+    counted = F.explode(F.array("source", F.lit("all"))).alias("source")
     tagged = (
-        users.unionByName(users.select(F.lit("all").alias("source"), "hid"))
+        reach_union(sources)
+        .select(counted, "hid")
         .unionByName(population.select(F.lit(None).cast("string").alias("source"), "hid"))
         .groupBy("source")
         .agg(F.count_distinct("hid").alias("num_users"))

@@ -31,6 +31,10 @@ def stage_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def _app_folder(spark: SparkSession, folder: str) -> str:
+    return f"{folder.rstrip('/')}/trailhead/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Compute a stage that several later steps read once, as columnar files that outlive any executor.
 
@@ -39,5 +43,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     folder = stage_folder(df.sparkSession)
     if folder is None:
         return df
-    app = df.sparkSession.sparkContext.applicationId
-    return write_stage(df, f"{folder.rstrip('/')}/trailhead/{app}/{name}-{uuid.uuid4().hex}")
+    return write_stage(df, f"{_app_folder(df.sparkSession, folder)}/{name}-{uuid.uuid4().hex}")
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stages of this application, once the results built on them are written."""
+    folder = stage_folder(spark)
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark, folder))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
