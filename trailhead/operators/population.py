@@ -35,21 +35,23 @@ def user_weeks(
     keep_unsegmented: bool = False,
     groups: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Age range, frequency band and, if given, the experiment arm per user and week (not yet distinct).
+    """Age range, frequency band and, if given, the experiment arm per user and week.
 
     A user with no frequency row for a week is dropped unless `keep_unsegmented`; their `week` is then NULL.
     """
-    users = profile.select("hid", fn.age_band(F.col("age")).alias("age_range"))
+    # Distinct before the joins, so that copies of a user's rows do not multiply.
+    users = profile.select("hid", fn.age_band(F.col("age")).alias("age_range")).distinct()
     bands = weekly_frequency.select(
         "hid",
         F.col("date_of_segmentation").alias("week"),
         fn.frequency_band(F.col("frequency_band")).alias("frequency_band"),
         fn.frequency_group(F.col("frequency_band"), groups).alias("frequency_group"),
-    )
+    ).distinct()
     out = users.join(bands, "hid", "left" if keep_unsegmented else "inner")
-    if arms is not None:
-        out = out.join(arms, "hid", "left").withColumn("exp_group", F.coalesce("exp_group", F.lit("unknown")))
-    return out
+    if arms is None:
+        return out
+    assigned = out.join(arms.select("hid", "exp_group").distinct(), "hid", "left")
+    return assigned.withColumn("exp_group", F.coalesce("exp_group", F.lit("unknown")))
 
 
 def in_weeks(weekly_frequency: DataFrame, window: DateWindow) -> DataFrame:
