@@ -30,8 +30,8 @@ def _id(prefix: str, number: str) -> str:
 EPISODE = _id("p", "(k % 8)")
 WINDOW = f"dt BETWEEN '{d.WINDOW.first}' AND '{d.WINDOW.last}' AND destination = '{c.PRODUCT}'"
 
-PLACEMENT = f"""CASE WHEN (k // 7) % 5 = 1 THEN 'iplayer.tv.tleo.page'
-     WHEN (k // 7) % 5 = 2 THEN 'iplayer.tv.episode.' || {EPISODE} || '.page'
+PLACEMENT = f"""CASE WHEN (k // 7) % 5 = 1 THEN 'site.tv.tleo.page'
+     WHEN (k // 7) % 5 = 2 THEN 'site.tv.episode.' || {EPISODE} || '.page'
      WHEN (k // 7) % 5 = 3 AND k % 2 = 0 THEN '{c.RECOMMENDATIONS_PAGE}'
      WHEN (k // 7) % 5 = 3 AND k % 13 = 0 THEN NULL
      ELSE '{c.HOME_PLACEMENT}' END"""

@@ -36,7 +36,7 @@ def test_classifiers(spark):
     ]
     assert evaluate(spark, ["C. Weekly", None], fn.frequency_band) == ["C. Weekly", "new"]
     assert evaluate(spark, ["MODULE-IF-YOU-LIKED-b1", "x", None], fn.normalise_container) == [c.LIKED_MODULE, "x", None]
-    assert evaluate(spark, ["iplayer.tv.b0123456.page", "iplayer.tv.page", None], fn.episode_from_placement) == [
+    assert evaluate(spark, ["site.tv.b0123456.page", "site.tv.page", None], fn.episode_from_placement) == [
         "b0123456", "none", "none",
     ]
     assert evaluate(spark, ["module-REC-x", "onward", None], fn.playback_group) == ["rec", "next-episode", "next-episode"]

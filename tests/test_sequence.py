@@ -5,7 +5,7 @@ import pytest
 from trailhead import config as c
 from trailhead.operators import sequence as sq
 
-NAMES = {"h": c.HOME_PLACEMENT, "r": c.RECOMMENDATIONS_PAGE, "t": "iplayer.tv.tleo.page", "e": "iplayer.tv.episode.page"}
+NAMES = {"h": c.HOME_PLACEMENT, "r": c.RECOMMENDATIONS_PAGE, "t": "site.tv.tleo.page", "e": "site.tv.episode.page"}
 PAGES = {"h": "home_page", "w": c.WATCHING_PAGE, "t": c.TITLE_PAGE, "e": c.EPISODE_PAGE}
 SCHEMA = (
     "destination string, app_type string, dt string, visit_id string, hid string, page_name_sequence string, "

@@ -36,7 +36,7 @@ CONTAINERS = (
     "onward-next-rec",
     "module-other",
 )
-JOURNEY_NAMES = (c.HOME_PLACEMENT, "iplayer.tv.tleo.page", "iplayer.tv.episode.page", c.RECOMMENDATIONS_PAGE)
+JOURNEY_NAMES = (c.HOME_PLACEMENT, "site.tv.tleo.page", "site.tv.episode.page", c.RECOMMENDATIONS_PAGE)
 JOURNEY_PAGES = ("home_page", c.TITLE_PAGE, c.EPISODE_PAGE, c.WATCHING_PAGE)
 
 
@@ -54,8 +54,8 @@ def _id(prefix: str, number: str) -> str:
 
 EPISODE = _id("p", "k % 8")
 PLACEMENT = f"""CASE (k div 7) % 5
-    WHEN 1 THEN 'iplayer.tv.tleo.page'
-    WHEN 2 THEN concat('iplayer.tv.episode.', {EPISODE}, '.page')
+    WHEN 1 THEN 'site.tv.tleo.page'
+    WHEN 2 THEN concat('site.tv.episode.', {EPISODE}, '.page')
     WHEN 3 THEN CASE WHEN k % 2 = 0 THEN '{c.RECOMMENDATIONS_PAGE}' WHEN k % 13 = 0 THEN NULL
         ELSE '{c.HOME_PLACEMENT}' END
     ELSE '{c.HOME_PLACEMENT}' END"""
