@@ -33,11 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     `links` has two columns of one integer type, in any order and with repeats. The rounds grow with the
     logarithm of the number of nodes; each works on at most as many edges as there are links.
     """
-    edges = stage(links.toDF("child", "parent").filter("child <> parent").distinct(), "links")
-    seen = None
+    edges, seen = links.toDF("child", "parent").filter("child <> parent").distinct(), None
     while True:
+        edges = stage(_small_star(_large_star(edges)).distinct(), "links")
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("child", "parent"))).first()
         if state == seen or state[0] == 0:
             return edges
         seen = state
-        edges = stage(_small_star(_large_star(edges)).distinct(), "links")

@@ -39,7 +39,8 @@ class JaccardSettings:
                      They change the amount of work only.
     count_block      shingles are first counted in blocks of this many; those found once in a block are not
                      passed on, which again only affects the order
-    stars            rounds of stars before the remaining pairs are verified
+    stars, few_pairs rounds of stars before the remaining pairs are verified; fewer if at most `few_pairs` pairs
+                     remain for each row of a bucket
     hub_pairs        pairs of one leader that are verified together
     """
 
@@ -47,8 +48,9 @@ class JaccardSettings:
     percent: int = 80
     common_least: int = 20
     common_most: int = 1 << 17
-    count_block: int = 2_000_000
-    stars: int = 2
+    count_block: int = 8_000_000
+    stars: int = 3
+    few_pairs: int = 4
     hub_pairs: int = 500
 
     def prefix_length(self, n):
@@ -253,9 +255,10 @@ def _buckets(described: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min(F.struct("node", "key")).alias("first"), F.count("*").alias("members")
     )
     groups = stage(groups, "jaccard-groups")
-    firsts = groups.select(F.col("first.key").alias("key"), "prefix_group")
+    firsts = groups.select(F.col("first.key").alias("key"))
+    # Joined by shuffle on purpose: the rows then lie by key, as dropping repeats needs them.
     one_each = described.select("key", "prefix", "prefix_group").join(
-        firsts, ["key", "prefix_group"], "left_semi"
+        firsts.hint("merge"), "key", "left_semi"
     ).dropDuplicates(["key"])
     in_bucket = Window.partitionBy("bucket").orderBy("prefix_group")
     shared = (
@@ -314,6 +317,12 @@ def _remaining(rows: DataFrame, settings: JaccardSettings) -> DataFrame:
     )
 
 
+def _remaining_bound(rows: DataFrame) -> int:
+    """At least the number of pairs that `_remaining` would look at, counted bucket by bucket."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").cast("double").alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
+
+
 def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     if tested is None:
         return pairs
@@ -341,19 +350,22 @@ def classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> D
 
     prefixes = described.select("key", "n", F.col("prefix").alias("values"))
 
-    labels, tested, links = None, None, None
+    labels, tested = None, None
     for turn in range(settings.stars + 1):
-        rows = _labelled(buckets, labels)
-        pairs = _stars(rows, turn, settings) if turn < settings.stars else _remaining(rows, settings)
+        rows = stage(_labelled(buckets, labels), "jaccard-mixed") if turn else buckets.withColumn("component", F.col("node"))
+        last = turn == settings.stars or (turn and _remaining_bound(rows) <= settings.few_pairs * rows.count())
+        pairs = _remaining(rows, settings) if last else _stars(rows, turn, settings)
         pairs = stage(_untested(pairs, tested), "jaccard-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
         of_pairs = prefixes.join(_nodes_of(pairs, nodes), "key").dropDuplicates(["node"])
         possible = stage(compared(pairs, of_pairs, prefixes_may_link, settings), "jaccard-possible")
         sets = keyed.select("key", "text").join(_nodes_of(possible, nodes), "key").dropDuplicates(["node"])
         sets = sets.mapInArrow(_whole_sets(order, settings), "node long, n long, values array<long>")
-        found = stage(compared(possible, sets, sets_link, settings), "jaccard-links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        links = stage(compared(possible, sets, sets_link, settings), "jaccard-links")
+        if labels is None or links.head(1):
+            labels = components(links if labels is None else links.union(labels))
+        if last:
+            break
 
     named = nodes.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
