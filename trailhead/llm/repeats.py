@@ -35,6 +35,7 @@ from .textops import BYTE_CODES, STEP, U64, Texts, chunks, mix, span_hashes
 GRAM = 16
 PIECE = 1 << 22
 LOW_BITS = U64((1 << 24) - 1)
+HAS_TWIN, SETTLED = 1, 2
 
 
 @dataclass(frozen=True)
@@ -92,11 +93,19 @@ def _ranked_anchors(settings: RepeatSettings):
             low, high = np.maximum(begin, at - settings.window + 1), np.minimum(end, at + settings.length)
             half = [span_hashes(prefix, at + a, at + b) >> U64(32) for a, b in ((first, second), (second, settings.after))]
             around = mix(span_hashes(prefix, low, high) + (at - low).astype(U64) * STEP)
+            rank, rest = span_hashes(prefix, at, at + first), (half[0] << U64(32)) | half[1]
+            # Of equal surroundings within these texts one goes on with its rank. The others are settled: they get a
+            # rank of their own, so that text repeated over and over does not meet in one task.
+            _, one, of, n = np.unique(mix(mix(rank + rest * STEP) + around), return_index=True, return_inverse=True, return_counts=True)
+            copies = np.where(n[of] > 1, SETTLED, 0)
+            copies[one[n > 1]] = HAS_TWIN
+            own = mix(texts.rows.column("key").to_numpy().view(U64)[text_of] * STEP + at.astype(U64))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rank": span_hashes(prefix, at, at + first).view(np.int64),
-                    "rest": ((half[0] << U64(32)) | half[1]).view(np.int64),
+                    "rank": np.where(copies == SETTLED, own, rank).view(np.int64),
+                    "rest": rest.view(np.int64),
                     "around": around.view(np.int64),
+                    "copies": copies,
                     "key": texts.rows.column("key").take(pa.array(text_of)),
                     "position": at - begin,
                     "length": end - begin,
@@ -107,11 +116,11 @@ def _ranked_anchors(settings: RepeatSettings):
 
 
 def _not_unique(rows: DataFrame, rank: list[str]) -> DataFrame:
-    """Sort by rank and drop the rows that have one of their own."""
+    """Sort by rank and drop the rows that have one of their own, unless they are known to repeat."""
     by_rank = Window.partitionBy(*rank).orderBy("key", "position")
     return (
         rows.withColumns({"before": F.lag("position").over(by_rank), "after": F.lead("position").over(by_rank)})
-        .filter("before IS NOT NULL OR after IS NOT NULL")
+        .filter("before IS NOT NULL OR after IS NOT NULL OR copies > 0")
         .drop("before", "after")
     )
 
@@ -123,7 +132,7 @@ def repeated_anchors(rows: DataFrame, settings: RepeatSettings) -> DataFrame:
     equal surroundings) and mixed (the rank has different surroundings, some without a twin).
     """
     ranked = rows.mapInArrow(
-        _ranked_anchors(settings), "rank long, rest long, around long, key long, position long, length long"
+        _ranked_anchors(settings), "rank long, rest long, around long, copies long, key long, position long, length long"
     )
     # Each round doubles the prefix: the rank so far and the next block. The new rank is the pair itself, so all
     # rounds work on the partitions of the first.
@@ -137,7 +146,7 @@ def repeated_anchors(rows: DataFrame, settings: RepeatSettings) -> DataFrame:
     of_rank = Window.partitionBy(*full)
     flagged = ranked.withColumns(
         {"earlier": F.lag("position").over(same).isNotNull(), "later": F.lead("position").over(same).isNotNull()}
-    ).withColumn("twin", F.col("earlier") | F.col("later"))
+    ).withColumn("twin", F.col("earlier") | F.col("later") | (F.col("copies") > 0))
     flagged = flagged.withColumns(
         {
             "low": F.min("around").over(of_rank),
