@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import documents
+from .tables import documents, packed, stage, unpacked
 from .textops import chunks
 
 # Lower-case already; anything in ASCII but letters and digits separates words.
@@ -217,7 +217,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexes(benchmark: DataFrame, settings: LeakSettings) -> Iterator[BlockMaxIndex]:
     """An index for each group of items; word statistics are those of all items."""
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
-    items = items.withColumn("number", F.xxhash64("item_id", "text")).cache()
+    items = stage(items.withColumn("number", F.xxhash64("item_id", "text")), "leak-items")
     terms = items.select("number", "text").mapInArrow(_term_rows, "number long, n long, terms array<binary>").filter("n > 0")
     n_items, mean_words = terms.agg(F.count("*"), F.avg("n")).first()
     groups = max(1, -(-n_items // settings.group_items))
@@ -230,7 +230,6 @@ def indexes(benchmark: DataFrame, settings: LeakSettings) -> Iterator[BlockMaxIn
         own = terms.filter(group == g).select(F.explode("terms").alias("term")).distinct()
         counts = {bytes(x.term): x.df for x in df.join(own, "term", "left_semi").collect()}
         yield BlockMaxIndex(made, counts, n_items, mean_words or 1.0, settings)
-    items.unpersist()
 
 
 def _find(index: BlockMaxIndex, settings: LeakSettings):
@@ -273,6 +272,7 @@ def _keep_clean(index: BlockMaxIndex, settings: LeakSettings):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings()) -> DataFrame:
     """The documents that leak no item, with all their columns."""
+    rows = packed(docs)
     for index in indexes(benchmark, settings):
-        docs = docs.mapInArrow(_keep_clean(index, settings), docs.schema)
-    return docs
+        rows = rows.mapInArrow(_keep_clean(index, settings), rows.schema)
+    return unpacked(rows, docs.columns)

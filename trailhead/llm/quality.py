@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import documents, small, stage
+from .tables import documents, packed, small, stage, unpacked
 from .textops import Texts, chunks, mix, shingles, span_hashes, word_hashes, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -244,7 +244,6 @@ def judged(docs: DataFrame, settings: QualitySettings = QualitySettings()) -> Da
 def kept_documents(docs: DataFrame, settings: QualitySettings = QualitySettings()) -> DataFrame:
     """The documents that pass, with all their columns. Texts are measured twice instead of being shuffled."""
     measures = stage(measured(documents(docs, "lang", "source"), keep_text=False), "quality-measures")
-    others = F.struct(*[docs[f"`{x}`"] for x in docs.columns if x != "text"])
-    rows = measured(docs.select(others.alias("rest"), "text", "lang", "source"), keep_text=True)
+    rows = measured(packed(docs, "lang", "source"), keep_text=True)
     kept = judge(rows, *_limits(measures, settings), settings).filter("kept")
-    return kept.select(*[(F.col("text") if x == "text" else F.col("rest")[x]).alias(x) for x in docs.columns])
+    return unpacked(kept, docs.columns)

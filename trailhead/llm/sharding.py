@@ -30,8 +30,9 @@ GROUP = ["hash", "crc", "length", "piece"]
 @dataclass(frozen=True)
 class ShardSettings:
     """shards        number of shards; or None, and `capacity` (bytes) decides it
-    large_groups    bound on the groups packed by one task
-    bucket_groups   about how many of the other groups a bucket holds
+    large_groups    bound on the groups packed by one task (at least 50 for each shard, so that the others are
+                    small beside a shard)
+    bucket_groups   about how many of the other groups a bucket holds (at least 20 for each shard)
     slot_rows       about how many documents are numbered together
     """
 
@@ -158,6 +159,8 @@ def assign_shards(docs: DataFrame, settings: ShardSettings = ShardSettings()) ->
     shards = settings.shards or max(1, -(-total // settings.capacity))
     capacity = settings.capacity if settings.shards is None else max(1, -(-total // shards))
 
+    large_groups = max(settings.large_groups, 50 * shards)
+    bucket_groups = max(settings.bucket_groups, 20 * shards)
     groups = rows.groupBy("hash", "crc", "length").agg((F.count("*") * F.first(size)).alias("bytes"))
     groups = stage(groups, "shard-groups")
     # Groups that no shard can hold: fewer than there are shards, as each is larger than total / shards.
@@ -175,7 +178,7 @@ def assign_shards(docs: DataFrame, settings: ShardSettings = ShardSettings()) ->
     )
     units = whole.select(*GROUP, "bytes").unionByName(pieces)
 
-    is_large = F.col("bytes") * settings.large_groups > total
+    is_large = F.col("bytes") * large_groups > total
     large = sorted(
         units.filter(is_large).select("bytes", *GROUP).collect(),  # fewer than large_groups rows
         key=lambda x: (-x.bytes, *x[1:]),
@@ -187,7 +190,7 @@ def assign_shards(docs: DataFrame, settings: ShardSettings = ShardSettings()) ->
 
     others = units.filter(~is_large)
     n_small, small_bytes = others.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    buckets = max(1, -(-n_small // settings.bucket_groups))
+    buckets = max(1, -(-n_small // bucket_groups))
     packed = others.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket")).applyInPandas(
         _pack_buckets(rooms, capacity, small_bytes, new_bin is not None), "hash long, crc long, length long, piece int, bytes long, shard int"
     )

@@ -43,6 +43,17 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """`text`, all other columns as the struct `rest`, whatever their names, and copies of those in `more`."""
+    others = [docs[f"`{x}`"] for x in docs.columns if x != "text"]
+    return docs.select(F.struct(*others).alias("rest"), "text", *more)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the documents that were packed."""
+    return rows.select(*[(F.col("text") if x == "text" else F.col("rest")[x]).alias(x) for x in columns])
+
+
 def small(df: DataFrame, rows: int, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """Mark `df` for broadcasting if its counted `rows` are at most `most_rows`; else leave the join to shuffles."""
     return F.broadcast(df) if rows <= most_rows else df
