@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import documents, row_key, small, stage
-from .textops import LOWER_CODES, U64, Texts, chunks, mix, shingles, sorted_sets, word_hashes, words_of
+from .textops import LOWER_CODES, U64, Texts, chunks, mix, shingles, sorted_sets, span_hashes, word_hashes, words_of
 
 
 @dataclass(frozen=True)
 class JaccardSettings:
     """common_least, common_most  a shingle counted this often comes late in the order; at most so many do.
                      They change the amount of work only.
-    count_block      shingles are first counted in blocks of this many; those found once in a block are not
-                     passed on, which again only affects the order
+    count_block      shingles are first counted in blocks of this many, equal texts of a block once; those found
+                     once in a block are not passed on, which again only affects the order
     stars, few_pairs rounds of stars before the remaining pairs are verified; fewer if at most `few_pairs` pairs
                      remain for each row of a bucket
     hub_pairs        pairs of one leader that are verified together
@@ -47,10 +47,10 @@ class JaccardSettings:
     shingle: int = 5
     percent: int = 80
     common_least: int = 20
-    common_most: int = 1 << 17
+    common_most: int = 1 << 18
     count_block: int = 8_000_000
     stars: int = 3
-    few_pairs: int = 4
+    few_pairs: int = 2
     hub_pairs: int = 500
 
     def prefix_length(self, n):
@@ -70,13 +70,20 @@ def _count_blocks(settings: JaccardSettings):
         return pa.RecordBatch.from_pydict({"shingle": found[again].view(np.int64), "n": n[again].astype(np.int64)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, seen = [], 0, np.zeros(0, U64)
         for texts in chunks(batches):
-            held.append(_shingles(texts, settings.shingle)[0])
+            values, begin = _shingles(texts, settings.shingle)
+            content = span_hashes(texts.prefix_hashes(), texts.bounds[:-1], texts.bounds[1:])
+            _, one = np.unique(content, return_index=True)
+            one = one[~np.isin(content[one], seen)]
+            seen = np.concatenate([seen, content[one]])
+            new = np.zeros(len(texts), bool)
+            new[one] = True
+            held.append(values[np.repeat(new, np.diff(begin))])
             n += len(held[-1])
             if n >= settings.count_block:
                 yield counted(held)
-                held, n = [], 0
+                held, n, seen = [], 0, np.zeros(0, U64)
         if held:
             yield counted(held)
 
@@ -303,17 +310,29 @@ def _stars(rows: DataFrame, turn: int, settings: JaccardSettings) -> DataFrame:
 
 
 def _remaining(rows: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """All pairs of a bucket that lie in different components."""
+    """The pairs of a bucket that lie in different components and may be similar.
+
+    The buckets a pair shares are all its common prefix shingles. What else it has in common lies behind the prefix
+    of one of the two, so its overlap is bounded by their number and the rest of the larger set.
+    """
+    percent = settings.percent
     other = rows.toDF("bucket", "leader", "leader_n", "leader_component")
+
+    def rest(n: str):
+        return F.ceil(percent * F.col(n) / 100) - 1  # what is behind the prefix
+
+    overlap = F.col("shared") + F.greatest(rest("n"), rest("leader_n"))
     return (
         rows.join(other, "bucket")
         .filter(
             (F.col("component") != F.col("leader_component"))
             & (F.col("node") > F.col("leader"))
-            & _compatible("n", "leader_n", settings.percent)
+            & _compatible("n", "leader_n", percent)
         )
+        .groupBy("leader", "node", "n", "leader_n")
+        .agg(F.count("*").alias("shared"))
+        .filter(overlap * (100 + percent) >= percent * (F.col("n") + F.col("leader_n")))
         .select("leader", "node")
-        .distinct()
     )
 
 
