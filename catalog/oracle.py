@@ -98,16 +98,17 @@ CTES["profile"] = """SELECT CAST(c_custkey AS VARCHAR) AS hid,
     CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 60 END AS age FROM customer"""
 CTES["frequency"] = """SELECT CAST(c_custkey AS VARCHAR) AS hid,
     ['A. Daily', 'C. Weekly', 'D. Monthly', NULL][c_custkey % 4 + 1] AS frequency_band,
-    CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 7 DAY)) AS DATE) AS week
-  FROM customer WHERE c_custkey % 11 <> 10"""
+    CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 7 DAY)) AS DATE)
+      - CASE WHEN c_custkey % 11 = 10 THEN 364 ELSE 0 END AS week
+  FROM customer"""
 CTES["arms"] = """SELECT CAST(c_custkey AS VARCHAR) AS hid,
     ['control', 'variation_1', 'variation_2', 'unknown'][(c_custkey // 3) % 4 + 1] AS exp_group FROM customer"""
 CTES["catalogue"] = f"""SELECT DISTINCT p_brand AS master_brand_name, lower(p_brand) AS master_brand_id,
     'Brand ' || CAST(p_partkey // 4 AS VARCHAR) AS brand_title, {_id('b', 'p_partkey // 4')} AS brand_id,
     'Series ' || CAST(p_partkey // 2 AS VARCHAR) AS series_title,
     CASE WHEN p_partkey % 8 <> 6 THEN {_id('s', 'p_partkey // 2')} END AS series_id,
-    {_id('p', 'p_partkey')} AS episode_id, p_name AS episode_title, p_type AS genre
-  FROM part WHERE p_partkey % 8 <> 7"""
+    CASE WHEN p_partkey % 8 <> 7 THEN {_id('p', 'p_partkey')} END AS episode_id, p_name AS episode_title, p_type AS genre
+  FROM part"""
 CTES["visit_platforms"] = """SELECT DISTINCT h.destination, h.dt, h.cookie_id, h.visit_id, p.platform
   FROM hits h JOIN platforms p ON h.dt = p.dt AND h.visit_id = p.visit_id"""
 CTES["population"] = """SELECT DISTINCT v.destination, v.dt, v.cookie_id, v.visit_id, v.platform, p.hid,
@@ -275,21 +276,21 @@ CTES["looked_ahead"] = f"""SELECT *, lead(name) {_next} AS name1, lead(name, 2)
   FROM journey_pages"""
 
 
-def _hops(family: str, entry: str, good: str, step: int, most: int) -> None:
+def _hops(family: str, entry: str, good: str, step: int) -> None:
     """Recommendation hops end at the first entry that does not qualify; `misses` counts those so far."""
     CTES[family] = f"""SELECT app_type, dt, visit_id, hid, CAST(hop AS INTEGER) AS hop,
       CAST(n AS INTEGER) AS entry_page_num, CAST(n + {step} AS INTEGER) AS content_page_num, id{step} AS content_id
     FROM (SELECT *, row_number() {_next} AS hop,
         sum(CASE WHEN {good} THEN 0 ELSE 1 END) OVER (PARTITION BY app_type, dt, visit_id, hid ORDER BY n) AS misses
-      FROM looked_ahead WHERE {entry}) t WHERE misses = 0 AND hop <= {most}"""
+      FROM looked_ahead WHERE {entry}) t WHERE misses = 0"""
 
 
 _rec = f"name = '{c.RECOMMENDATIONS_PAGE}'"
-_hops("rec_direct", _rec, "coalesce(name1 ILIKE '%episode%', false)", 1, 5)
-_hops("rec_via", _rec, "coalesce(name1 ILIKE '%tleo%' AND name2 ILIKE '%episode%', false)", 2, 2)
+_hops("rec_direct", _rec, "coalesce(name1 ILIKE '%episode%', false)", 1)
+_hops("rec_via", _rec, "coalesce(name1 ILIKE '%tleo%' AND name2 ILIKE '%episode%', false)", 2)
 _watch = f"page = '{c.WATCHING_PAGE}' AND page1 = "
-_hops("watch_direct", _watch + f"'{c.EPISODE_PAGE}'", "true", 1, 5)
-_hops("watch_via", _watch + f"'{c.TITLE_PAGE}' AND page2 = '{c.EPISODE_PAGE}'", "true", 2, 2)
+_hops("watch_direct", _watch + f"'{c.EPISODE_PAGE}'", "true", 1)
+_hops("watch_via", _watch + f"'{c.TITLE_PAGE}' AND page2 = '{c.EPISODE_PAGE}'", "true", 2)
 CTES["rec_all"] = "SELECT * FROM rec_via UNION ALL SELECT * FROM rec_direct"
 CTES["watch_all"] = "SELECT * FROM watch_via UNION ALL SELECT * FROM watch_direct"
 

@@ -315,3 +315,21 @@ def test_stage_folder_is_the_sessions(spark):
     assert folder == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
     df = spark.range(5)
     assert stages.materialise(df, "numbers").count() == 5
+
+
+def test_input_partitioned_by_date_is_read_and_pruned(spark, tmp_path):
+    """Partition folders such as dt=20240101 would be taken for numbers; the declared type is text."""
+    from trailhead.schemas import INPUTS
+    from trailhead.sources.tables import in_window, read_table
+
+    row = {f.name: None for f in INPUTS["visits"].fields}
+    rows = [tuple({**row, "dt": f"2024010{day}"}.values()) for day in (1, 2, 3)]
+    path = str(tmp_path / "visits")
+    spark.createDataFrame(rows, INPUTS["visits"]).write.partitionBy("dt").parquet(path)
+    visits = in_window(read_table(spark, "visits", path), DateWindow("20240102", "20240102"))
+    assert [x.dt for x in visits.collect()] == ["20240102"]
+    plan = visits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    spark.range(1).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="visits: no column"):
+        read_table(spark, "visits", str(tmp_path / "other"))

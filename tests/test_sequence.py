@@ -43,7 +43,7 @@ def hops(spark, letters, pattern, mode="exact"):
         ("hrerhreh", sq.RECOMMENDATIONS_DIRECT, [(2, 3, 3)], [(2, 3, 3)]),
         ("r", sq.RECOMMENDATIONS_DIRECT, [], []),
         ("hh", sq.WATCHING_DIRECT, [], []),
-        ("we" * 7 + "h", sq.WATCHING_DIRECT, [(2 * k + 1, 2 * k + 2, 2 * k + 2) for k in range(5)],
+        ("we" * 7 + "h", sq.WATCHING_DIRECT, [(2 * k + 1, 2 * k + 2, 2 * k + 2) for k in range(7)],
          [(k + 1, 2 * k + 2, k + 2) for k in range(5)]),
     ],
 )
@@ -64,7 +64,7 @@ def walk(letters, pattern):
             out.append((n, n + len(then)))
         elif pattern.guard:
             break
-    return out[: pattern.max_hops]
+    return out
 
 
 @pytest.mark.parametrize(
@@ -95,15 +95,21 @@ def test_random_sequences_and_modes(spark, pattern, entry):
             assert tuple(compat[key])[5:] == tuple(r)[5:]
 
 
-def test_several_names_mobile_and_limit(spark):
+def test_several_names_mobile_and_mode(spark):
     both = sq.HopPattern("page_sequence", ("home_page", c.WATCHING_PAGE), (c.EPISODE_PAGE,), False, 5)
     assert hops(spark, "hewe", both) == [(1, 2, 2), (3, 4, 4)]
     mobile = journeys(spark, {"v": "hwe"}, app=c.MOBILE_APP)
     assert sq.extract_hops(mobile, sq.WATCHING_DIRECT).count() == 0
-    many = journeys(spark, {f"v{i}": "hwe" for i in range(9)})
-    assert sq.extract_hops(many, sq.WATCHING_DIRECT, limit=4).count() == 4
     with pytest.raises(ValueError):
-        sq.extract_hops(many, sq.WATCHING_DIRECT, mode="other")
+        sq.extract_hops(mobile, sq.WATCHING_DIRECT, mode="other")
+
+
+@pytest.mark.parametrize("n", [7, 50])
+@pytest.mark.parametrize("pattern, one", [(sq.RECOMMENDATIONS_DIRECT, "re"), (sq.WATCHING_VIA_TITLE, "wte")])
+def test_exact_reports_all_hops_and_compat_its_rounds(spark, n, pattern, one):
+    many = journeys(spark, {"v": one * n})
+    assert sq.extract_hops(many, pattern).count() == n
+    assert sq.extract_hops(many, pattern, "compat").count() == pattern.rounds
 
 
 def test_hops_need_no_shuffle(spark):

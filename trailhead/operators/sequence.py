@@ -26,14 +26,14 @@ class HopPattern:
     then       for each following page, a name (exact) or a piece of it (with `guard`)
     guard      True: every visit to the entry page counts, and the first one not followed by `then`
                ends the search; False: only full matches count
-    max_hops   hops reported per visit
+    rounds     hops that chopping the strings reports per visit (`compat` only; `exact` reports all)
     """
 
     sequence: str
     entry: tuple[str, ...]
     then: tuple[str, ...]
     guard: bool
-    max_hops: int
+    rounds: int
 
     @property
     def distance(self) -> int:
@@ -78,12 +78,12 @@ def _entries(pages: Column, pattern: HopPattern) -> Column:
 
 
 def _matches(pages: Column, entries: Column, pattern: HopPattern) -> Column:
-    """The first `max_hops` entry positions that start a hop."""
+    """The entry positions that start a hop."""
     if pattern.guard:
         first_miss = F.array_position(F.transform(entries, lambda i: _followed(pages, i, pattern)), False)
         good = F.when(first_miss == 0, F.size(entries)).otherwise(first_miss - 1)
-        return F.slice(entries, F.lit(1), F.least(good, F.lit(pattern.max_hops)).cast("int"))
-    return F.slice(F.filter(entries, lambda i: _followed(pages, i, pattern)), 1, pattern.max_hops)
+        return F.slice(entries, F.lit(1), good.cast("int"))
+    return F.filter(entries, lambda i: _followed(pages, i, pattern))
 
 
 def eligible(journeys: DataFrame) -> DataFrame:
@@ -95,19 +95,18 @@ def extract_hops(
     journeys: DataFrame,
     patterns: HopPattern | dict[str, HopPattern],
     mode: str = "exact",
-    limit: int | None = None,
 ) -> DataFrame:
     """One row per hop: hop number, entry page, content page and content id.
 
     Several named patterns are searched in the same pass; the name is then in the column `family`.
     `exact` reports true page numbers and the id at the content page. `compat` reports what chopping the
     strings hop by hop yields, where from the second hop on pages and ids may be off, and where a hop to
-    the last page reports the previous id. `limit` keeps a sample of the visits; the default is all.
+    the last page reports the previous id, and only the first `rounds` hops of a visit are reported.
     """
     if mode not in ("exact", "compat"):
         raise ValueError(f"unknown mode: {mode}")
     named = patterns if isinstance(patterns, dict) else {"": patterns}
-    visits = eligible(journeys) if limit is None else eligible(journeys).limit(limit)
+    visits = eligible(journeys)
     visit = ["app_type", "dt", "visit_id", "hid"]
     # Each array is a column of its own before it is searched, so it is made once per visit.
     split = visits.select(
@@ -116,11 +115,10 @@ def extract_hops(
         *[tokens(F.col(x)).alias(x) for x in sorted({p.sequence for p in named.values()})],
     )
     entered = split.withColumns({f"in_{n}": _entries(F.col(p.sequence), p) for n, p in enumerate(named.values())})
-    matched = entered.select(
-        *visit,
-        "ids",
-        *[_matches(F.col(p.sequence), F.col(f"in_{n}"), p).alias(f"at_{n}") for n, p in enumerate(named.values())],
-    )
+    found_at = [_matches(F.col(p.sequence), F.col(f"in_{n}"), p) for n, p in enumerate(named.values())]
+    if mode == "compat":
+        found_at = [F.slice(x, 1, p.rounds) for x, p in zip(found_at, named.values())]
+    matched = entered.select(*visit, "ids", *[x.alias(f"at_{n}") for n, x in enumerate(found_at)])
     found = [_described(name, p, F.col(f"at_{n}")) for n, (name, p) in enumerate(named.items())]
     entry, content, content_id = _exact() if mode == "exact" else _compat()
     hops = matched.select(*visit, "ids", F.inline(F.concat(*found))).select(

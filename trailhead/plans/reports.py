@@ -19,10 +19,13 @@ def totals(users: str = "hid") -> list[Column]:
 
 
 def with_page_type(df: DataFrame, placement: str, mapping: DataFrame | None = None) -> DataFrame:
-    """Add `page_type`: from a mapping table of (placement, page_type) if given, else by pattern rules."""
+    """Add `page_type`: from a mapping table of (placement, page_type) if given, else by pattern rules.
+
+    Of several types for one placement the first in order counts.
+    """
     if mapping is None:
         return df.withColumn("page_type", fn.page_type(F.col(placement)))
-    named = mapping.select(F.col("placement").alias(placement), "page_type").dropDuplicates([placement])
+    named = mapping.groupBy(F.col("placement").alias(placement)).agg(F.min("page_type").alias("page_type"))
     return df.join(named, placement, "left").withColumn("page_type", F.coalesce("page_type", F.lit("other")))
 
 

@@ -36,13 +36,10 @@ def _app_folder(spark: SparkSession, folder: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Compute a stage that several later steps read once, as columnar files that outlive any executor.
-
-    Without a shared folder the plan is kept as it is: slower, but still right.
-    """
+    """Compute a stage that several later steps read once, as columnar files that outlive any executor."""
     folder = stage_folder(df.sparkSession)
     if folder is None:
-        return df
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return write_stage(df, f"{_app_folder(df.sparkSession, folder)}/{name}-{uuid.uuid4().hex}")
 
 

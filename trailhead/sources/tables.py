@@ -29,9 +29,17 @@ def catalogue_snapshot(catalogue: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, table: str, location: str) -> DataFrame:
-    """One input table, from a folder of parquet files or, without a '/', from the session catalog."""
-    df = spark.read.parquet(location) if "/" in location else spark.table(location)
-    return assert_schema(df, table)
+    """One input table, from a folder of parquet files or, without a '/', from the session catalog.
+
+    Files are read with the declared types, so a folder that is partitioned by `dt` keeps it as text.
+    """
+    if "/" not in location:
+        return assert_schema(spark.table(location), table)
+    declared = INPUTS[table]
+    missing = sorted(set(declared.fieldNames()) - set(spark.read.parquet(location).columns))
+    if missing:
+        raise ValueError(f"{table}: no column {', '.join(missing)} in {location}")
+    return assert_schema(spark.read.schema(declared).parquet(location), table)
 
 
 @dataclass(frozen=True)
