@@ -151,8 +151,8 @@ def find_secrets(docs: DataFrame, settings: SecretSettings = SecretSettings(), s
     `samples` (token, random) replaces the samples made from the documents.
     """
     model = train(labelled_samples(docs, settings) if samples is None else samples)
-    # The model is a row of fixed size, joined to every document.
-    weights = docs.sparkSession.createDataFrame([(model,)], "model array<double>")
+    # A constant of fixed size: the planner folds it into one array.
+    weights = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
     rows = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     located = located_spans(rows, settings)
 
@@ -169,7 +169,7 @@ def find_secrets(docs: DataFrame, settings: SecretSettings = SecretSettings(), s
         )
 
     base = F.concat(*[named(x, F.col(x)) for x in KINDS[:3]])
-    scored = named("markov", F.col("runs"), lambda x: _ratio(x["token"], F.col("model")))
+    scored = named("markov", F.col("runs"), lambda x: _ratio(x["token"], weights))
     free = F.filter(
         F.col("scored"),
         lambda x: (x["ratio"] >= settings.least_ratio)
@@ -177,7 +177,6 @@ def find_secrets(docs: DataFrame, settings: SecretSettings = SecretSettings(), s
     )
     return (
         located.select("doc_id", base.alias("base"), "runs")
-        .crossJoin(F.broadcast(weights))
         .select("doc_id", "base", scored.alias("scored"))
         .select("doc_id", F.array_sort(F.concat("base", free)).alias("spans"))
     )
