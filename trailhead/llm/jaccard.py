@@ -298,14 +298,20 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _stars(rows: DataFrame, turn: int, settings: JaccardSettings) -> DataFrame:
-    """Pairs of each node with a leader of its bucket, of another component; the leader changes with `turn`."""
+    """Each node with one leader of its buckets, of another component; the leaders change with `turn`.
+
+    Of several leaders it is the one met in most buckets, so there are never more pairs than nodes.
+    """
     leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "component"))
     leaders = rows.groupBy("bucket").agg(leader.alias("leader"))
     return (
         rows.join(leaders, "bucket")
         .filter((F.col("component") != F.col("leader.component")) & _compatible("n", "leader.n", settings.percent))
-        .select(F.col("leader.node").alias("leader"), "node")
-        .distinct()
+        .groupBy("node", F.col("leader.node").alias("leader"))
+        .agg(F.count("*").alias("shared"))
+        .groupBy("node")
+        .agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
+        .select("leader", "node")
     )
 
 
