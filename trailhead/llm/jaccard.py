@@ -22,10 +22,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +44,8 @@ class JaccardSettings:
     stars, few_pairs rounds of stars before the remaining pairs are verified; fewer if at most `few_pairs` pairs
                      remain for each row of a bucket
     hub_pairs        pairs of one leader that are verified together
+    signature_words  64-bit words of a set's signature. They change the amount of work only; a set of up to about
+                     64 times so many shingles is told from unrelated ones
     """
 
     shingle: int = 5
@@ -52,6 +56,7 @@ class JaccardSettings:
     stars: int = 3
     few_pairs: int = 2
     hub_pairs: int = 500
+    signature_words: int = 16
 
     def prefix_length(self, n):
         return n - -(-self.percent * n // 100) + 1
@@ -135,6 +140,22 @@ def _set_key(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(values: np.ndarray, begin: np.ndarray, words: int, rows: int = 1024) -> pa.ListArray:
+    """Of each set, which of 64 * `words` hash slots hold an odd number of its elements.
+
+    Two sets have at least as many elements in only one of them as their signatures have differing bits.
+    """
+    bits, out = 64 * words, []
+    for first in range(0, len(begin) - 1, rows):
+        at = begin[first : first + rows + 1].astype(np.int64)
+        slot = (mix(values[at[0] : at[-1]]) % U64(bits)).astype(np.int64)
+        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        odd = np.bincount(of * bits + slot, minlength=(len(at) - 1) * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(begin)) * words, pa.int32()), pa.array(flat))
+
+
 def _describe(order: Order, settings: JaccardSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in chunks(batches):
@@ -152,6 +173,7 @@ def _describe(order: Order, settings: JaccardSettings):
                     "n": pa.array(n, pa.int64()),
                     "node": pa.array(_set_key(values, begin).view(np.int64)),
                     "prefix_group": pa.array(group.view(np.int64)),
+                    "signature": signatures(values, begin, settings.signature_words),
                     "prefix": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(prefixes.view(np.int64))),
                 }
             )
@@ -315,14 +337,25 @@ def _stars(rows: DataFrame, turn: int, settings: JaccardSettings) -> DataFrame:
     )
 
 
-def _remaining(rows: DataFrame, settings: JaccardSettings) -> DataFrame:
+def _near_signatures(a: str, b: str, sizes: Column, settings: JaccardSettings) -> Column:
+    """Whether sets with these signatures, of `sizes` elements together, can be similar enough."""
+    words = range(settings.signature_words)
+    differing = reduce(add, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words])
+    return differing * (100 + settings.percent) <= (100 - settings.percent) * sizes
+
+
+def _remaining(rows: DataFrame, nodes: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs of a bucket that lie in different components and may be similar.
 
-    The buckets a pair shares are all its common prefix shingles. What else it has in common lies behind the prefix
+    Pairs whose signatures differ too much are dropped where they meet. The buckets a pair shares are all its common prefix shingles. What else it has in common lies behind the prefix
     of one of the two, so its overlap is bounded by their number and the rest of the larger set.
     """
     percent = settings.percent
-    other = rows.toDF("bucket", "leader", "leader_n", "leader_component")
+    rows = rows.join(nodes.select("node", "signature"), "node").select(
+        "bucket", "node", "n", "component", "signature"
+    )
+    other = rows.toDF("bucket", "leader", "leader_n", "leader_component", "leader_signature")
+    sizes = F.col("n") + F.col("leader_n")
 
     def rest(n: str):
         return F.ceil(percent * F.col(n) / 100) - 1  # what is behind the prefix
@@ -334,10 +367,11 @@ def _remaining(rows: DataFrame, settings: JaccardSettings) -> DataFrame:
             (F.col("component") != F.col("leader_component"))
             & (F.col("node") > F.col("leader"))
             & _compatible("n", "leader_n", percent)
+            & _near_signatures("signature", "leader_signature", sizes, settings)
         )
         .groupBy("leader", "node", "n", "leader_n")
         .agg(F.count("*").alias("shared"))
-        .filter(overlap * (100 + percent) >= percent * (F.col("n") + F.col("leader_n")))
+        .filter(overlap * (100 + percent) >= percent * sizes)
         .select("leader", "node")
     )
 
@@ -359,14 +393,16 @@ def classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> D
     """Per document: doc_id, key (see tables.row_key), n_shingles, node (of its set) and component_id."""
     docs = documents(docs)
     order = Order(common_shingles(docs, settings))
-    schema = "doc struct<doc_id: {}>, key long, n long, node long, prefix_group long, prefix array<long>".format(
-        docs.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"doc struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}>, key long, n long, node long, "
+        "prefix_group long, signature array<long>, prefix array<long>"
     )
     keyed = docs.select(F.struct("doc_id").alias("doc"), row_key().alias("key"), "text")
     described = stage(keyed.mapInArrow(_describe(order, settings), schema), "jaccard-documents")
     nodes = described.filter("n > 0").groupBy("node").agg(
         F.first("n").alias("n"),
         F.first("prefix_group").alias("prefix_group"),
+        F.first("signature").alias("signature"),
         F.min("key").alias("key"),
         F.min("doc.doc_id").alias("least_id"),
     )
@@ -379,7 +415,7 @@ def classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> D
     for turn in range(settings.stars + 1):
         rows = stage(_labelled(buckets, labels), "jaccard-mixed") if turn else buckets.withColumn("component", F.col("node"))
         last = turn == settings.stars or (turn and _remaining_bound(rows) <= settings.few_pairs * rows.count())
-        pairs = _remaining(rows, settings) if last else _stars(rows, turn, settings)
+        pairs = _remaining(rows, nodes, settings) if last else _stars(rows, turn, settings)
         pairs = stage(_untested(pairs, tested), "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         of_pairs = prefixes.join(_nodes_of(pairs, nodes), "key").dropDuplicates(["node"])
