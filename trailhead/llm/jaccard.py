@@ -7,6 +7,7 @@ ever bring documents together by themselves.
 * Equal sets are one node; nodes with identical prefixes and equal size are one group.
 * Groups, not documents, are joined on prefix shingles. Buckets with one group are dropped; in the others groups are
   expanded into their nodes, and a group of several nodes is also a bucket of its own.
+* Parity signatures of whole sets drop pairs that differ too much, with no link lost.
 * Pairs are first compared by their prefixes, which bound how similar the sets can be, then verified on whole sets.
 * Only components are wanted, so not all pairs of a bucket are needed: rounds of stars
   pair every node with one leader of its bucket, where components still differ; after that the pairs of a bucket
