@@ -56,7 +56,7 @@ class JaccardSettings:
     count_block: int = 8_000_000
     stars: int = 3
     few_pairs: int = 2
-    hub_pairs: int = 500
+    hub_pairs: int = 64
     signature_words: int = 16
 
     def prefix_length(self, n):
