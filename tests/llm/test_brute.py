@@ -150,6 +150,27 @@ def test_classes_equal_all_pairs(spark, families, settings):
     assert found == brute_classes(families)
 
 
+@pytest.fixture(scope="module")
+def pairs_beside_a_third():
+    """Of many seeds: a text, a copy with another last word (mostly of equal prefix), and one that shares a fifth."""
+    out = {}
+    for seed in range(40):
+        rng = random.Random(seed)
+        text = [f"s{seed}w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 120))]
+        fifth = len(text) // 5
+        third = text[:fifth] + [f"s{seed}x{i}" for i in range(len(text) - fifth)]
+        for x in (text, text[:-1] + ["other"], third):
+            out[len(out)] = " ".join(x)
+    return out
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_links_within_a_prefix_group_are_kept(spark, pairs_beside_a_third, stars):
+    frame = spark.createDataFrame(list(pairs_beside_a_third.items()), "doc_id long, text string")
+    found = jaccard.classes(frame, jaccard.JaccardSettings(stars=stars)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == brute_classes(pairs_beside_a_third)
+
+
 def test_one_document_of_each_class_stays(spark, families):
     frame = spark.createDataFrame([(i, x, "l") for i, x in families.items()] * 2, "doc_id long, text string, size string")
     kept = jaccard.one_per_class(frame)

@@ -348,14 +348,16 @@ def _near_signatures(a: str, b: str, sizes: Column, settings: JaccardSettings) -
 def _remaining(rows: DataFrame, nodes: DataFrame, settings: JaccardSettings) -> DataFrame:
     """The pairs of a bucket that lie in different components and may be similar.
 
-    Pairs whose signatures differ too much are dropped where they meet. The buckets a pair shares are all its common prefix shingles. What else it has in common lies behind the prefix
-    of one of the two, so its overlap is bounded by their number and the rest of the larger set.
+    Pairs whose signatures differ too much are dropped where they meet. The buckets that nodes of two groups share are
+    all their common prefix shingles. What else they have in common lies behind the prefix of one of the two, so their
+    overlap is bounded by that number and the rest of the larger set. Nodes of one group have their whole prefix in
+    common, of which only the shingles found in other groups too have buckets, so nothing is concluded from them.
     """
     percent = settings.percent
-    rows = rows.join(nodes.select("node", "signature"), "node").select(
-        "bucket", "node", "n", "component", "signature"
+    rows = rows.join(nodes.select("node", "prefix_group", "signature"), "node").select(
+        "bucket", "node", "n", "component", "prefix_group", "signature"
     )
-    other = rows.toDF("bucket", "leader", "leader_n", "leader_component", "leader_signature")
+    other = rows.toDF("bucket", "leader", "leader_n", "leader_component", "leader_group", "leader_signature")
     sizes = F.col("n") + F.col("leader_n")
 
     def rest(n: str):
@@ -370,9 +372,9 @@ def _remaining(rows: DataFrame, nodes: DataFrame, settings: JaccardSettings) ->
             & _compatible("n", "leader_n", percent)
             & _near_signatures("signature", "leader_signature", sizes, settings)
         )
-        .groupBy("leader", "node", "n", "leader_n")
+        .groupBy("leader", "node", "n", "leader_n", (F.col("prefix_group") == F.col("leader_group")).alias("one_group"))
         .agg(F.count("*").alias("shared"))
-        .filter(overlap * (100 + percent) >= percent * sizes)
+        .filter(F.col("one_group") | (overlap * (100 + percent) >= percent * sizes))
         .select("leader", "node")
     )
 
