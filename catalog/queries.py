@@ -93,6 +93,9 @@ class _Run:
         return scoped(self.all_page_journeys, SETTINGS)
 
     def hops(self, patterns, mode: str = "exact") -> DataFrame:
+        if mode == "exact":
+            pages = scoped(dt.page_rows(self.spark, self.folder, SETTINGS), SETTINGS)
+            return sq.page_hops(pages, patterns, SIZE)
         return sq.extract_hops(self.page_journeys, patterns, mode)
 
     def outcomes(self, hops: DataFrame, label: str) -> DataFrame:

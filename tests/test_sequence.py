@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from catalog import queries as registered
 from trailhead import config as c
 from trailhead.operators import sequence as sq
 
@@ -112,6 +113,57 @@ def test_exact_reports_all_hops_and_compat_its_rounds(spark, n, pattern, one):
     assert sq.extract_hops(many, pattern, "compat").count() == pattern.rounds
 
 
+PAGE_ROWS = "app_type string, dt string, visit_id string, hid string, page_count int, page_name string, page string, content_id string"
+ALL_FOUR = {
+    "rec_direct": sq.RECOMMENDATIONS_DIRECT,
+    "rec_via": sq.RECOMMENDATIONS_VIA_TITLE,
+    "watch_direct": sq.WATCHING_DIRECT,
+    "watch_via": sq.WATCHING_VIA_TITLE,
+}
+
+
+@pytest.mark.parametrize("block_size", [1, 3, 10_000])
+def test_page_rows_give_the_hops_of_whole_sequences(spark, block_size):
+    rng = random.Random(4)
+    visits = {
+        f"v{i}": "".join(rng.choice(["h", "t", "e", "we", "wte", "re", "rte", "re"]) for _ in range(rng.randint(1, 12)))
+        for i in range(200)
+    } | {"long": "re" * 40, "missed": "re" * 5 + "rh" + "re" * 30, "titles": "rte" * 30}
+    rows = [
+        ("tv", "20240101", v, None if v == "long" else "h", n, NAMES.get(x, "other"), PAGES.get(x, "other"), f"p{n:07d}")
+        for v, letters in visits.items()
+        for n, x in enumerate(letters, 1)
+    ]
+    found = sq.page_hops(spark.createDataFrame(rows, PAGE_ROWS), ALL_FOUR, block_size).collect()
+    wanted = {
+        (name, v, k, *x) for name, p in ALL_FOUR.items() for v, letters in visits.items() for k, x in enumerate(walk(letters, p), 1)
+    }
+    assert len(found) == len(wanted)
+    assert {(r.family, r.visit_id, r.hop, r.entry_page_num, r.content_page_num) for r in found} == wanted
+    assert all(r.content_id == f"p{r.content_page_num:07d}" for r in found)
+
+
+def test_a_visit_of_thousands_of_pages_stays_one(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, 1, "view", f'{{"k": {rng.choice([1, 2, 2, 3, 6])}}}') for i in range(3_000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string")
+    events.selectExpr("*", "timestamp_ntz'2024-01-09 00:00:00' + make_dt_interval(0, 0, 0, event_id) AS ts").write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    ks = [int(r[3][6:-1]) for r in rows]
+    for family, query in (("rec_direct", "hops_direct"), ("watch_direct", "hops_watching_direct"), ("watch_via", "hops_watching_via_title")):
+        pattern = ALL_FOUR[family]
+        letters = "".join(f"hte{'r' if pattern.guard else 'w'}"[k % 4] for k in ks)
+        found = registered.queries()[query](spark, str(tmp_path)).collect()
+        assert sorted((r.hop, r.entry_page_num, r.content_page_num) for r in found) == [
+            (n, *x) for n, x in enumerate(walk(letters, pattern), 1)
+        ]
+        assert all(int(r.content_id[1:]) == ks[r.content_page_num - 1] % 8 for r in found)
+        assert pattern.guard or max(r.content_page_num for r in found) > 2_000
+    counted = registered.queries()["occurrence_histogram"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in counted] == [(sum(k % 4 == 3 for k in ks), 1)]
+
+
 def test_hops_need_no_shuffle(spark):
     plan = sq.extract_hops(journeys(spark, {"v": "hwe"}), sq.WATCHING_DIRECT)._jdf.queryExecution().toString()
     assert "Exchange" not in plan

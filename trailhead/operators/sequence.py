@@ -1,20 +1,25 @@
 """Hops "entry page, (title page,) content" in the page sequence of a visit.
 
-A visit is one row with '|'-delimited strings, so all of this works inside the row on arrays: finding
-the matches, numbering them and looking up content needs no shuffle and no repeated passes.
+`extract_hops` takes visits as rows with '|'-delimited strings, so it works inside the row on arrays: finding
+the matches, numbering them and looking up content needs no shuffle and no repeated passes. `page_hops` takes
+one row per page, so a visit may have any number of pages; both report the same hops.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import classify as fn
+from .skew import block_of
 
 DELIMITER = "|"
+VISIT = ("app_type", "dt", "visit_id", "hid")
 
 
 @dataclass(frozen=True)
@@ -35,6 +40,11 @@ class HopPattern:
     guard: bool
     rounds: int
 
+    @property
+    def page(self) -> str:
+        """The column with the token of one page, in page rows."""
+        return self.sequence.removesuffix("_sequence")
+
     @property
     def distance(self) -> int:
         """Pages from the entry page to the content page."""
@@ -107,7 +117,7 @@ def extract_hops(
         raise ValueError(f"unknown mode: {mode}")
     named = patterns if isinstance(patterns, dict) else {"": patterns}
     visits = eligible(journeys)
-    visit = ["app_type", "dt", "visit_id", "hid"]
+    visit = list(VISIT)
     # Each array is a column of its own before it is searched, so it is made once per visit.
     split = visits.select(
         *visit,
@@ -132,6 +142,81 @@ def extract_hops(
     return hops if isinstance(patterns, dict) else hops.drop("family")
 
 
+def page_hops(pages: DataFrame, patterns: HopPattern | dict[str, HopPattern], block_size: int) -> DataFrame:
+    """The hops of `extract_hops` in `exact` mode, from rows of the visit columns, page_count (from 1, without
+    gaps), page_name, page and content_id.
+
+    Visits are searched in blocks of `block_size` pages. The first pages of a block are also the last ones of the
+    block before, where a hop may end. The hops and the misses of earlier blocks are added up per visit; results
+    are the same for any block size.
+    """
+    named = patterns if isinstance(patterns, dict) else {"": patterns}
+    ahead = max(p.distance for p in named.values())
+    at = F.col("page_count")
+    own = block_of(at - 1, block_size)
+    spread = (
+        eligible(pages)
+        .select(*VISIT, "page_count", "content_id", *sorted({p.page for p in named.values()}))
+        .withColumn("own", own)
+        .withColumn("block", F.explode(F.sequence(block_of(at - 1 - ahead, block_size), own)))
+    )
+    in_block = Window.partitionBy(*VISIT, "block").orderBy("page_count")
+
+    def coming(column: str, step: int) -> Column:
+        return F.lead(column, step).over(in_block)
+
+    def entry(name: str, pattern: HopPattern) -> Column:
+        followed = F.lit(True)
+        for step, then in enumerate(pattern.then, start=1):
+            page = coming(pattern.page, step)
+            followed = followed & (page.ilike(f"%{then}%") if pattern.guard else page == then)
+        followed = F.coalesce(followed, F.lit(False))
+        return F.when(
+            F.col(pattern.page).isin(*pattern.entry) & (F.lit(pattern.guard) | followed),
+            F.struct(
+                F.lit(name).alias("family"),
+                followed.alias("good"),
+                at.alias("entry_page_num"),
+                (at + pattern.distance).alias("content_page_num"),
+                coming("content_id", pattern.distance).alias("content_id"),
+            ),
+        )
+
+    # Each entry is a column of its own before its block's copies of later pages are dropped.
+    searched = spread.withColumns({f"at_{n}": entry(name, p) for n, (name, p) in enumerate(named.items())})
+    entries = (
+        searched.filter("block = own")
+        .select(*VISIT, "block", F.explode(F.array_compact(F.array(*[f"at_{n}" for n in range(len(named))]))).alias("at"))
+        .select(*VISIT, "block", "at.*")
+    )
+    hits, misses = F.col("good").cast("long"), (~F.col("good")).cast("long")
+    key = [*VISIT, "family"]
+    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        entries.groupBy(*key, "block")
+        .agg(F.sum(hits).alias("hits"), F.sum(misses).alias("misses"))
+        .select(*key, "block", F.sum("hits").over(earlier).alias("hits"), F.sum("misses").over(earlier).alias("misses"))
+        .filter("hits IS NOT NULL")  # none for the first block, and so for visits of one block
+        .toDF(*[f"_{x}" for x in key], "_block", "hits", "misses")
+    )
+    same = reduce(and_, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in (*key, "block")])
+    upto = Window.partitionBy(*VISIT, "block", "family").orderBy("entry_page_num").rowsBetween(Window.unboundedPreceding, 0)
+    hops = (
+        entries.withColumns({"hop": F.sum(hits).over(upto), "missed": F.sum(misses).over(upto)})
+        .join(before, same, "left")
+        .filter(F.col("missed") + F.coalesce("misses", F.lit(0)) == 0)
+        .select(
+            *VISIT,
+            "family",
+            (F.col("hop") + F.coalesce("hits", F.lit(0))).cast("int").alias("hop"),
+            F.col("entry_page_num").cast("int").alias("entry_page_num"),
+            F.col("content_page_num").cast("int").alias("content_page_num"),
+            "content_id",
+        )
+    )
+    return hops if isinstance(patterns, dict) else hops.drop("family")
+
+
 def _described(name: str, pattern: HopPattern, positions: Column) -> Column:
     """The matches of one pattern, with what is needed to report them."""
     return F.transform(

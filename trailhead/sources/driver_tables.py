@@ -16,7 +16,7 @@ WINDOW = DateWindow("20240101", "20240131")
 SETTINGS = Settings(window=WINDOW)
 OTHER_PRODUCT = "PS_OTHER"
 WEEK_SECONDS = 7 * 24 * 3600
-MOST_PAGES = 1_000
+MOST_PAGES = 1_000  # only the SQL in catalog/oracle.py still cuts visits here
 
 STANDARD_ATTRIBUTES = (
     "content-item-poster",
@@ -219,26 +219,39 @@ def driver_inputs(
 
 
 def _pages(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:
-    """Every event as a page view. A visit holds at most MOST_PAGES pages; longer user-weeks go on in
-    a further visit, so a page sequence has a bounded length."""
+    """Every event as a page view."""
     numbered = _numbered(_read(spark, folder, "events"), settings)
-    part = f"(event_position - 1) div {MOST_PAGES}"
     apps = _pick(("tv-bigscreen-html", "tv-bigscreen-html", "web-responsive", c.MOBILE_APP), "user_id % 4")
     return numbered.selectExpr(
         "destination",
         f"{apps} AS app_type",
         "dt",
-        f"concat(visit_id, CASE WHEN {part} > 0 THEN concat('-', {part}) ELSE '' END) AS visit_id",
+        "visit_id",
         "hid",
-        f"cast((event_position - 1) % {MOST_PAGES} + 1 as int) AS page_count",
+        "cast(event_position as int) AS page_count",
         "k % 4 AS page",
         f"{EPISODE} AS content_id",
         "event_type",
     )
 
 
+def page_rows(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
+    """One row per page of a visit."""
+    return _pages(spark, folder, settings).selectExpr(
+        "destination",
+        "app_type",
+        "dt",
+        "visit_id",
+        "hid",
+        "page_count",
+        f"{_pick(JOURNEY_NAMES, 'page')} AS page_name",
+        f"{_pick(JOURNEY_PAGES, 'page')} AS page",
+        "content_id",
+    )
+
+
 def page_journeys(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
-    """One row per visit with its pages as '|'-delimited strings."""
+    """One row per visit with all its pages as '|'-delimited strings."""
     visit = ["destination", "app_type", "dt", "visit_id", "hid"]
     pages = "sort_array(collect_list(struct(page_count, page, content_id))) AS pages"
     return (
