@@ -226,11 +226,34 @@ JOIN folds f ON f.doc_id = a.doc_id AND f.n = coalesce(len(f.path), 0), tops r
 WHERE len(r.nodes) = 1
 """
 
+NEGATIVES = """
+WITH usable AS (
+    SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS alike,
+           list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.uid <> b.uid
+), positives AS (
+    SELECT * FROM scores WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id, n.other)::INT AS rank
+FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.alike
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
 ORACLE_SQL = {
     "op3_jaccard_join": JACCARD,
     "op6_line_dedup": LINES,
     "op7_quality_rules": QUALITY,
     "op9_mixing": MIXING,
     "op10_url_filters": URLS,
+    "op11_negatives": NEGATIVES,
     "op13_merkle": MERKLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lines, merkle, mixing, quality, repeats, secrets, sharding, urls
+from . import decontamination, jaccard, language, lines, merkle, mixing, negatives, quality, repeats, secrets, sharding, urls
 from .oracle import ORACLE_SQL
 
 URL_RULES = [
@@ -96,6 +96,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(rows, F.col("vec_id"), label, F.col("embedding"), F.col("id") % 100 == 0)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def leaf(n_chars: Column) -> Column:
         return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
@@ -128,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secrets,
         op9_mixing,
         op10_url_filters,
+        op11_negatives,
         op13_merkle,
     )
     return {x.__name__: x for x in found}
