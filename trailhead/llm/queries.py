@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lines, merkle, mixing, negatives, quality, repeats, secrets, sharding, urls
+from . import decontamination, jaccard, language, lines, merkle, mixing, negatives, packing, quality, repeats, secrets, sharding, urls
 from .oracle import ORACLE_SQL
 
 URL_RULES = [
@@ -102,6 +103,13 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows, F.col("vec_id"), label, F.col("embedding"), F.col("id") % 100 == 0)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = packing.PackSettings(tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), settings)
+    checksum = F.crc32("ids").cast("long").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", checksum, "doc_tokens", "sequence_id", "offset")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def leaf(n_chars: Column) -> Column:
         return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
@@ -135,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_mixing,
         op10_url_filters,
         op11_negatives,
+        op12_packing,
         op13_merkle,
     )
     return {x.__name__: x for x in found}
