@@ -12,8 +12,8 @@ Each task packs the rows that it reads, pool after pool, in one pass: nothing is
 pool and by the longest text. Sequence ids are unique, and the same for the same partitions of the input.
 
 Tokens come from a file of the `tokenizers` library, read by the driver and sent along. A tokenizer that drops white space
-encodes a text word by word, so each distinct word is encoded once for many texts, and a word of letters apart from
-the punctuation after it. This changes no id (tested against whole texts).
+encodes a text word by word, so a distinct word is encoded once for many texts, and letters apart from the punctuation
+after them. This changes no id (tested against whole texts); texts with the beginning of a special token are left whole.
 
 A token bears loss if it lies behind the prompt and is not the first of its piece, which nothing precedes. Null or empty
 texts consist of the closing token. Repeated rows are packed each. An empty table gives an empty result.
@@ -25,6 +25,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,12 +41,12 @@ PIECE = "doc_id {id}, start long, length long, ids binary, loss long, doc_tokens
 @dataclass(frozen=True)
 class PackSettings:
     """tokenizer       path of the tokenizer's file
-    by_words        it drops white space and splits words where letters end
+    by_words        it drops white space, ignores case and splits words where letters end
     closing         id behind every example; None for no such id
     max_tokens, max_segments, max_loss   limits of a sequence; powers of two
     pool            examples among which to choose
     chunk_bytes     bytes of text that are encoded together
-    cached_words    words whose ids are remembered; affects only the time
+    cached_words    words whose ids are remembered (up to twice as many); affects only the time
     """
 
     tokenizer: str
@@ -55,16 +56,47 @@ class PackSettings:
     max_segments: int = 64
     max_loss: int = 2048
     pool: int = 1024
-    chunk_bytes: int = 2_000_000
-    cached_words: int = 400_000
+    chunk_bytes: int = 4_000_000
+    cached_words: int = 500_000
 
 
 # Tokens
 
-LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([!-@\[-`{-~]*)")
+# A Latin letter with an ASCII mark after it, between which the tokenizer always cuts. Without U+0130, which becomes two
+# characters in lower case, a letter and a mark.
+LETTER_MARK = r"([a-zA-ZÀ-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~])"
 WHITE = re.compile(r"[ \t-\r]")
 
 
+class Memory:
+    """Ids of strings as bytes. Those not asked for while `most` others came in are forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, asked) -> tuple[dict[str, bytes], list[str]]:
+        """The ids of those that are known, and those that are not."""
+        young, old = self.young, self.old
+        found, new = {}, []
+        for x in asked:
+            ids = young.get(x)
+            if ids is None:
+                ids = old.get(x)
+                if ids is None:
+                    new.append(x)
+                    continue
+                young[x] = ids
+            found[x] = ids
+        return found, new
+
+    def keep(self, more: dict[str, bytes]) -> None:
+        self.young.update(more)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
     """Ids of texts. With `by_words`, words are encoded once each."""
 
@@ -77,47 +109,40 @@ class Encoder:
         plain = json.loads(definition) | {"normalizer": None, "added_tokens": []}
         plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.letters = Tokenizer.from_str(json.dumps(plain))
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.special = [x["content"].lower()[:2] for x in json.loads(definition)["added_tokens"]]
+        self.words = Memory(settings.cached_words)
 
-    def _learn(self, words: list[str]) -> None:
-        cut, plain, other = [], set(), set()
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain, other = [], []
         for word in words:
-            found = LETTERS_THEN_MARKS.fullmatch(word)
-            core, marks = found.groups() if found else ("", word)
-            low = core.lower()
-            if core and core.isalpha() and (core.isascii() or (low == core and unicodedata.is_normalized("NFC", core))):
-                plain.add(low)
-            else:
-                low, marks = "", word
-            other.add(marks)
-            cut.append((low, marks))
-        for tokenizer, parts in ((self.letters, plain), (self.whole, other)):
-            new = [x for x in parts if x not in self.parts]
-            for part, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.parts[part] = found.ids
-        for word, (low, marks) in zip(words, cut):
-            self.words[word] = self.parts[low] + self.parts[marks]
+            letters = word.isalpha() and (
+                word.isascii() or (word.lower() == word and unicodedata.is_normalized("NFC", word))
+            )
+            (plain if letters else other).append(word)
+        ids = {}
+        for tokenizer, some in ((self.letters, plain), (self.whole, other)):
+            for word, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids[word] = array("I", found.ids).tobytes()
+        return ids
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin."""
-        if not self.settings.by_words:
+        if not self.settings.by_words or any(x in text for x in self.special for text in texts):
             ids = [np.array(x.ids, np.uint32) for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, ids)])
-        if len(self.words) > self.settings.cached_words or len(self.parts) > self.settings.cached_words:
-            self.words, self.parts = {}, {"": []}
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        lower = pc.ascii_lower(pa.array(texts, pa.large_string()))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, LETTER_MARK, r"\1 \2"))
         places = lists.flatten().dictionary_encode()
         words = places.dictionary.to_pylist()
-        self._learn([x for x in words if x not in self.words])
-        of_word = [self.words[x] for x in words]
-        sizes = np.fromiter(map(len, of_word), np.int64, len(words))
-        flat = np.fromiter((i for x in of_word for i in x), np.uint32, int(sizes.sum()))
+        known, new = self.words.known(words)
+        learned = self._learn(new)
+        self.words.keep(learned)
+        known |= learned
+        of_word = [known[x] for x in words]
         place = places.indices.to_numpy()
-        counts = sizes[place]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        first = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(first[place] - ends[:-1], counts) + np.arange(ends[-1])]
+        ids = np.frombuffer(b"".join([of_word[i] for i in place.tolist()]), np.uint32)
+        sizes = np.fromiter(map(len, of_word), np.int64, len(words)) // 4
+        ends = np.concatenate(([0], np.cumsum(sizes[place])))
         return ids, ends[lists.offsets.to_numpy()]
 
 
