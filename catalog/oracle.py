@@ -251,9 +251,7 @@ CTES["cta_confirmed"] = f"""SELECT a.* FROM final_b a WHERE {_page_type('a.click
 
 CTES["pages_seen"] = f"""SELECT destination,
     ['tv-bigscreen-html', 'tv-bigscreen-html', 'web-responsive', '{c.MOBILE_APP}'][user_id % 4 + 1] AS app_type, dt,
-    visit_id || CASE WHEN (event_position - 1) // {d.MOST_PAGES} > 0
-      THEN '-' || CAST((event_position - 1) // {d.MOST_PAGES} AS VARCHAR) ELSE '' END AS visit_id, hid,
-    CAST((event_position - 1) % {d.MOST_PAGES} + 1 AS INTEGER) AS page_count, k % 4 AS page,
+    visit_id, hid, CAST(event_position AS INTEGER) AS page_count, k % 4 AS page,
     {EPISODE} AS content_id, event_type
   FROM numbered"""
 CTES["all_journeys"] = f"""SELECT destination, app_type, dt, visit_id, hid,
@@ -354,10 +352,13 @@ def _outcomes(hops: str, label: str) -> str:
       AND h.content_page_num = o.page_count"""
 
 
+CTES["rec_all_chopped"] = "SELECT * FROM rec_via_chopped UNION ALL SELECT * FROM rec_direct_chopped"
+CTES["watch_all_chopped"] = "SELECT * FROM watch_via_chopped UNION ALL SELECT * FROM watch_direct_chopped"
 for _name in ("rec", "watch"):
     for _path in ("direct", "via", "all"):
         _label = "rec_page" if _name == "rec" else c.WATCHING_PAGE
         CTES[f"{_name}_{_path}_outcomes"] = _outcomes(f"{_name}_{_path}", _label)
+        CTES[f"{_name}_{_path}_chopped_outcomes"] = _outcomes(f"{_name}_{_path}_chopped", _label)
 
 CTES["home_module_users"] = f"""SELECT DISTINCT {_page_type('click_placement')} AS page_type, click_container, hid
   FROM final_a WHERE click_placement = '{c.HOME_PLACEMENT}' AND click_container IN ({_in(c.HOME_MODULES)})"""
@@ -477,9 +478,14 @@ SELECTS = {
     "short_visits": """SELECT app_type, page_name_sequence FROM all_journeys
   WHERE page_name_sequence ILIKE '%recommendations.page%'
     AND length(page_sequence) - length(replace(page_sequence, '|', '')) < 3""",
-    "journeys_from_title_pages": """SELECT dt, visit_id, right(page_sequence, length(page_sequence)
-      - instr(page_sequence, 'watching_page|tleo_page|episode_page') + 1) AS journey_after
-  FROM all_journeys WHERE page_sequence ILIKE '%watching_page|tleo_page|episode_page%'""",
+    "journeys_from_title_pages": """SELECT dt, visit_id, CAST(generate_subscripts(rest, 1) AS INTEGER) AS step,
+    unnest(rest) AS page
+  FROM (SELECT dt, visit_id, string_split(right(page_sequence, length(page_sequence)
+      - instr(page_sequence, 'watching_page|tleo_page|episode_page') + 1), '|') AS rest
+    FROM all_journeys WHERE page_sequence LIKE '%watching_page|tleo_page|episode_page%') t""",
+    "sample_short_visits": """SELECT app_type, page_name_sequence FROM all_journeys
+  WHERE page_name_sequence ILIKE '%recommendations.page%' AND len(string_split(page_sequence, '|')) <= 3
+  ORDER BY dt, visit_id, hid, app_type LIMIT 10""",
     "hops_direct": "SELECT * FROM rec_direct",
     "hops_via_title": "SELECT * FROM rec_via",
     "hops_watching_direct": "SELECT * FROM watch_direct",
@@ -503,6 +509,21 @@ SELECTS = {
   FROM (SELECT source, count(DISTINCT hid) AS num_users FROM reach GROUP BY 1
     UNION ALL SELECT 'all', count(DISTINCT hid) FROM reach) r,
     (SELECT count(DISTINCT hid) AS total FROM population) p""",
+    "reach_overlap": """SELECT sources, num_sources, count(hid) AS num_users
+  FROM (SELECT hid, count(*) AS num_sources, string_agg(source, '+' ORDER BY CASE source WHEN 'recommendations_page' THEN 1
+      WHEN 'watching_page' THEN 2 WHEN 'title_page_cta' THEN 3 WHEN 'end_of_playback' THEN 4 ELSE 5 END) AS sources
+    FROM (SELECT DISTINCT source, hid FROM reach WHERE hid IS NOT NULL) d GROUP BY 1) u
+  GROUP BY ALL""",
+    "reach_measures": f"""WITH played AS (
+    SELECT 'recommendations_page' AS source, hid, start_flag, watched_flag FROM rec_all_outcomes
+    UNION ALL SELECT 'watching_page', hid, start_flag, watched_flag FROM watch_all_outcomes
+    UNION ALL SELECT 'end_of_playback', hid, start_flag, watched_flag FROM playback
+    UNION ALL SELECT 'title_page_cta', hid, start_flag, watched_flag FROM cta_confirmed
+    UNION ALL SELECT 'homepage:' || click_container, hid, start_flag, watched_flag FROM final_a
+      WHERE {HOME} AND click_container IN ({_in(c.HOME_MODULES)}))
+  SELECT source, 'clicked' AS measure, count(DISTINCT hid) AS num_users FROM played GROUP BY 1
+  UNION ALL SELECT source, 'started', count(DISTINCT hid) FILTER (start_flag = 1) FROM played GROUP BY 1
+  UNION ALL SELECT source, 'completed', count(DISTINCT hid) FILTER (watched_flag = 1) FROM played GROUP BY 1""",
     "stage_counts": " UNION ALL ".join(
         f"SELECT '{name}' AS stage, count(*) AS num_rows FROM {cte}"
         for name, cte in (
@@ -516,6 +537,9 @@ SELECTS = {
 }
 for _name, _query in (("rec", "hop_funnel"), ("watch", "hop_funnel_watching")):
     for _path, _suffix in (("direct", ""), ("via", "_via_title"), ("all", "_all")):
+        SELECTS[_query + _suffix + "_compat"] = (
+            f"SELECT click_placement, {TOTALS} FROM {_name}_{_path}_chopped_outcomes GROUP BY 1"
+        )
         SELECTS[_query + _suffix] = (
             f"SELECT click_placement, {TOTALS} FROM {_name}_{_path}_outcomes GROUP BY 1"
         )
@@ -539,5 +563,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, select in SELECTS.items():
         ctes = ",\n".join(f"{x} AS ({CTES[x]})" for x in _needed(select))
-        out[name] = f"WITH {ctes}\n{select}"
+        out[name] = f"WITH {ctes}\n{select}" if not select.startswith("WITH ") else f"WITH {ctes},\n{select[5:]}"
     return out

@@ -31,6 +31,9 @@ FAMILIES = {
     "watch_via": sq.WATCHING_VIA_TITLE,
 }
 
+SOURCES = ["recommendations_page", "watching_page", "title_page_cta", "end_of_playback", "homepage_modules"]
+EVERYONE = "signed_in"
+
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -85,33 +88,27 @@ class _Run:
         return pop.module_impressions(hits, self.prepared.population, SIZE)
 
     @property
-    def all_page_journeys(self) -> DataFrame:
-        return dt.page_journeys(self.spark, self.folder, SETTINGS)
-
-    @property
-    def page_journeys(self) -> DataFrame:
-        return scoped(self.all_page_journeys, SETTINGS)
+    def all_pages(self) -> DataFrame:
+        return dt.page_rows(self.spark, self.folder, SETTINGS)
 
     def hops(self, patterns, mode: str = "exact") -> DataFrame:
-        if mode == "exact":
-            pages = scoped(dt.page_rows(self.spark, self.folder, SETTINGS), SETTINGS)
-            return sq.page_hops(pages, patterns, SIZE)
-        return sq.extract_hops(self.page_journeys, patterns, mode)
+        return sq.page_hops(scoped(self.all_pages, SETTINGS), patterns, SIZE, mode)
 
     def outcomes(self, hops: DataFrame, label: str) -> DataFrame:
         return sq.hop_outcomes(hops, dt.content_outcomes(self.spark, self.folder, SETTINGS), label)
 
     @property
-    def sources(self) -> dict[str, DataFrame]:
-        hops = self.hops(FAMILIES)
-        keeping = materialise(self.keeping, "journeys")  # two of the sources start from it
-        return {
-            "recommendations_page": hops.filter(F.col("family").isin("rec_direct", "rec_via")),
-            "watching_page": hops.filter(F.col("family").isin("watch_direct", "watch_via")),
-            "title_page_cta": reports.cta_users(keeping, self.clicks),
-            "end_of_playback": reports.playback_users(keeping),
-            "homepage_modules": reports.homepage_module_users(self.skipping),
-        }
+    def sources(self) -> list[DataFrame]:
+        """Rows of source and hid. One hop search serves both pages, one written stage two sources."""
+        page = F.when(F.col("family").startswith("rec"), "recommendations_page").otherwise("watching_page")
+        found = self.hops(FAMILIES).select(page.alias("source"), "hid")
+        keeping = materialise(self.keeping, "journeys")
+        return [
+            found,
+            reach.tagged("title_page_cta", reports.cta_with_clicks(keeping, self.clicks)),
+            reach.tagged("end_of_playback", reports.playback_journeys(keeping)),
+            reach.tagged("homepage_modules", reports.module_journeys(self.skipping)),
+        ]
 
 
 # Sources, population and events
@@ -386,27 +383,30 @@ def engagement_groups(spark, folder):
 
 @_query
 def occurrence_histogram(spark, folder):
-    journeys = _Run(spark, folder).all_page_journeys
-    return sq.occurrence_histogram(
-        journeys, "page_name_sequence", c.RECOMMENDATIONS_PAGE, containing="recommendations.page"
-    )
+    pages = _Run(spark, folder).all_pages
+    return sq.run_histogram(pages, "page_name", (c.RECOMMENDATIONS_PAGE,), SIZE, containing="recommendations.page")
 
 
 @_query
 def occurrence_histogram_pairs(spark, folder):
-    pair = f"{c.WATCHING_PAGE}|{c.EPISODE_PAGE}"
-    return sq.occurrence_histogram(_Run(spark, folder).all_page_journeys, "page_sequence", pair, containing=pair)
+    return sq.run_histogram(_Run(spark, folder).all_pages, "page", (c.WATCHING_PAGE, c.EPISODE_PAGE), SIZE)
 
 
 @_query
 def short_visits(spark, folder):
-    return sq.short_visits(_Run(spark, folder).all_page_journeys, "recommendations.page")
+    return sq.short_visits(_Run(spark, folder).all_pages, "recommendations.page")
+
+
+@_query
+def sample_short_visits(spark, folder):
+    """The first ten of them: a sample to look at."""
+    return sq.short_visits(_Run(spark, folder).all_pages, "recommendations.page", limit=10)
 
 
 @_query
 def journeys_from_title_pages(spark, folder):
-    pattern = "|".join((c.WATCHING_PAGE, c.TITLE_PAGE, c.EPISODE_PAGE))
-    return sq.journeys_from(_Run(spark, folder).all_page_journeys, "page_sequence", pattern)
+    names = (c.WATCHING_PAGE, c.TITLE_PAGE, c.EPISODE_PAGE)
+    return sq.pages_from(_Run(spark, folder).all_pages, "page", names, SIZE)
 
 
 @_query
@@ -471,11 +471,15 @@ def hop_outcomes_watching(spark, folder):
 def _hop_funnel(name: str, label: str, *families: str) -> None:
     patterns = {x: FAMILIES[x] for x in families}
 
-    def query(spark, folder):
-        run = _Run(spark, folder)
-        return reports.hop_funnel(run.outcomes(run.hops(patterns), label))
+    def of_mode(mode):
+        def query(spark, folder):
+            run = _Run(spark, folder)
+            return reports.hop_funnel(run.outcomes(run.hops(patterns, mode), label))
+
+        return query
 
-    _REGISTRY[name] = query
+    _REGISTRY[name] = of_mode("exact")
+    _REGISTRY[f"{name}_compat"] = of_mode("compat")
 
 
 _hop_funnel("hop_funnel", "rec_page", "rec_direct")
@@ -507,18 +511,44 @@ def homepage_module_users(spark, folder):
 
 @_query
 def reach_union(spark, folder):
-    return reach.reach_union(_Run(spark, folder).sources)
+    return reach.reach_union(reach.user_masks(_Run(spark, folder).sources, SOURCES), SOURCES)
 
 
 @_query
 def dist_users(spark, folder):
-    return reach.dist_users(_Run(spark, folder).sources)
+    """The user list of all sources."""
+    return reach.dist_users(reach.user_masks(_Run(spark, folder).sources, SOURCES))
+
+
+@_query
+def reach_overlap(spark, folder):
+    """Users per combination of sources."""
+    return reach.reach_overlap(reach.user_masks(_Run(spark, folder).sources, SOURCES), SOURCES)
 
 
 @_query
 def reach_share(spark, folder):
     run = _Run(spark, folder)
-    return reach.reach_share(run.sources, run.people)
+    names = [*SOURCES, EVERYONE]
+    masks = reach.user_masks([*run.sources, reach.tagged(EVERYONE, run.people)], names)
+    return reach.reach_share(masks, names, EVERYONE)
+
+
+@_query
+def reach_measures(spark, folder):
+    """Users of each entry point, home page modules apart, who clicked, started and completed."""
+    run = _Run(spark, folder)
+    keeping = materialise(run.keeping, "journeys")
+    flags = ["hid", "start_flag", "watched_flag"]
+    hops = run.outcomes(run.hops({x: p for x, p in FAMILIES.items() if x.startswith("rec")}), "rec_page").select(
+        F.lit("recommendations_page").alias("source"), *flags
+    )
+    watching = run.outcomes(run.hops({x: p for x, p in FAMILIES.items() if x.startswith("watch")}), c.WATCHING_PAGE)
+    modules = reports.module_journeys(run.skipping).select(F.concat(F.lit("homepage:"), "click_container").alias("source"), *flags)
+    playback = reports.playback_journeys(keeping).select(F.lit("end_of_playback").alias("source"), *flags)
+    cta = reports.cta_with_clicks(keeping, run.clicks).select(F.lit("title_page_cta").alias("source"), *flags)
+    rows = hops.unionByName(watching.select(F.lit("watching_page").alias("source"), *flags))
+    return reach.reach_measures(rows.unionByName(modules).unionByName(playback).unionByName(cta))
 
 
 def queries() -> dict[str, Query]:

@@ -288,16 +288,39 @@ def test_page_type_mapping_table(spark):
 
 
 def test_reach(spark):
+    rows = [("a", "1"), ("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("b", None)]
+    users, names = spark.createDataFrame(rows, "source string, hid string"), ["a", "b", "c", "all users"]
+    people = spark.createDataFrame([(str(n),) for n in range(2, 7)] + [(None,)], "hid string")
+    masks = reach.user_masks([users, reach.tagged("all users", people)], names)
+    share = {r.source: (r.num_users, float(r.pct_of_signed_in)) for r in reach.reach_share(masks, names, "all users").collect()}
+    assert share == {"a": (2, 40.0), "b": (2, 40.0), "all": (3, 60.0)}
+    masks = reach.user_masks([users], names[:3])
+    assert reach.dist_users(masks).count() == 4
+    assert sorted(map(str, reach.reach_union(masks, names[:3]).collect())) == sorted(
+        f"Row(source={s!r}, hid={h!r})" for s, h in set(rows)
+    )
+    overlap = {tuple(r) for r in reach.reach_overlap(masks, names[:3]).collect()}
+    assert overlap == {("a", 1, 1), ("a+b", 2, 1), ("b", 1, 1)}
+
+
+def test_distinct_users_exact_and_approximate(spark):
     users = lambda *ids: spark.createDataFrame([(x,) for x in ids], "hid string")
     sources = {"a": users("u1", "u1", "u2"), "b": users("u2", "u3")}
-    people = users("u1", "u2", "u3", "u4")
-    share = {r.source: (r.num_users, float(r.pct_of_signed_in)) for r in reach.reach_share(sources, people).collect()}
-    assert share == {"a": (2, 50.0), "b": (2, 50.0), "all": (3, 75.0)}
-    assert reach.dist_users(sources).count() == 3
     exact = {r.source: r.num_si_users for r in reports.distinct_users(sources).collect()}
+    assert exact == {"a": 2, "b": 2}
     assert exact == {r.source: r.num_si_users for r in reports.distinct_users(sources, approximate=True).collect()}
 
 
+def test_reach_measures(spark):
+    rows = [("a", "1", 0, 0), ("a", "1", 1, 0), ("a", "2", 1, 1), ("a", None, 1, 1), ("b", "2", 0, 0)]
+    found = reach.reach_measures(spark.createDataFrame(rows, "source string, hid string, start_flag int, watched_flag int"))
+    assert {(r.source, r.measure): r.num_users for r in found.collect()} == {
+        ("a", "clicked"): 2, ("a", "started"): 2, ("a", "completed"): 1,
+        ("b", "clicked"): 1, ("b", "started"): 0, ("b", "completed"): 0,
+    }
+
+
+
 def test_user_results_and_export(spark, tmp_path):
     journeys = final(spark, [("u1", "v1", c.RECOMMENDED_MODULE, c.HOME_PLACEMENT, 1, 1)])
     people = spark.createDataFrame(

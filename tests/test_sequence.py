@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from catalog import oracle as registered_sql
 from catalog import queries as registered
+from catalog.compare import connect, differences
 from trailhead import config as c
 from trailhead.operators import sequence as sq
 
@@ -162,6 +164,12 @@ def test_a_visit_of_thousands_of_pages_stays_one(spark, tmp_path):
         assert pattern.guard or max(r.content_page_num for r in found) > 2_000
     counted = registered.queries()["occurrence_histogram"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in counted] == [(sum(k % 4 == 3 for k in ks), 1)]
+    duck = connect(str(tmp_path))
+    for query in (
+        "hops_direct", "hops_watching_via_title", "hops_direct_compat", "hops_watching_direct_compat", "occurrence_histogram",
+        "occurrence_histogram_pairs", "journeys_from_title_pages", "hop_funnel_watching_all_compat",
+    ):
+        assert differences(spark, str(tmp_path), duck, registered.queries()[query], registered_sql.oracle_sql()[query]) is None
 
 
 def test_hops_need_no_shuffle(spark):
@@ -184,11 +192,88 @@ def test_outcomes(spark):
     assert sorted((r.visit_id, r.start_flag, r.watched_flag) for r in rows) == [("a", 1, 1), ("b", 0, 0)]
 
 
-def test_occurrences_and_short_visits(spark):
-    df = journeys(spark, {"a": "hrr", "b": "hrhrh", "c": "hh"})
-    counted = sq.occurrence_histogram(df, "page_name_sequence", c.RECOMMENDATIONS_PAGE, "recommendations.page")
-    assert [tuple(r) for r in counted.collect()] == [(2, 2)]
-    assert sq.short_visits(df, "recommendations.page").count() == 1
+@pytest.mark.parametrize("block_size", [3, 5, 10_000])
+def test_compat_of_page_rows_equals_that_of_strings(spark, block_size):
+    rng = random.Random(9)
+    visits = {
+        f"v{i}": "".join(rng.choice(["h", "t", "e", "we", "wte", "re", "rte", "re"]) for _ in range(rng.randint(1, 12)))
+        for i in range(300)
+    } | {"long": "re" * 40, "titles": "rte" * 30, "watched": "we" * 40, "last": "hwe", "one": "r"}
+    strings = journeys(spark, visits)
+    wanted = sq.extract_hops(strings, ALL_FOUR, "compat").collect()
+    found = sq.page_hops(sq.page_rows(strings), ALL_FOUR, block_size, "compat")
+    columns = ["app_type", "dt", "visit_id", "hid", "family", "hop", "entry_page_num", "content_page_num", "content_id"]
+    assert found.columns == columns
+    assert sorted(tuple(x[c] for c in columns) for x in found.collect()) == sorted(tuple(x[c] for c in columns) for x in wanted)
+    with pytest.raises(ValueError):
+        sq.page_hops(sq.page_rows(strings), ALL_FOUR, block_size, "other")
+
+
+def greedy(letters, run):
+    """Runs taken one after the other from the left."""
+    times, at = 0, 0
+    while at <= len(letters) - len(run):
+        hit = letters[at : at + len(run)] == run
+        times, at = times + hit, at + (len(run) if hit else 1)
+    return times
+
+
+@pytest.mark.parametrize("block_size", [6, 7, 10_000])
+@pytest.mark.parametrize("run", ["w", "we", "ww", "wew", "wwe", "wewwe", "wwww", "weweww"])
+def test_runs_are_counted_without_overlap(spark, run, block_size):
+    rng = random.Random(len(run))
+    visits = {f"v{i}": "".join(rng.choice("wwe") for _ in range(rng.randint(1, 40))) for i in range(120)}
+    visits |= {"none": "hhh", "all": "w" * 61, "gap": "w" * 5 + "h" * 9 + "w" * 5}
+    pages = sq.page_rows(journeys(spark, visits))
+    names = tuple(PAGES[x] for x in run)
+    found = {x.visit_id: x.times for x in sq.count_runs(pages, "page", names, block_size).collect()}
+    wanted = {v: greedy(letters, run) for v, letters in visits.items()}
+    assert found == {v: n for v, n in wanted.items() if n}
+    shown = {x.visit_id: x.times for x in sq.count_runs(pages, "page", names, block_size, containing="HING_p").collect()}
+    assert shown == {v: n for v, n in wanted.items() if "w" in visits[v]}
+
+
+def test_a_block_must_hold_a_run(spark):
+    pages = sq.page_rows(journeys(spark, {"v": "ww"}))
+    with pytest.raises(ValueError):
+        sq.count_runs(pages, "page", (c.WATCHING_PAGE,) * 3, 2)
+
+
+@pytest.mark.parametrize("block_size", [1, 4, 10_000])
+def test_pages_from_the_first_run_on(spark, block_size):
+    visits = {"a": "hwteh" * 3, "b": "hwt", "c": "hhhhwtehwte", "d": "wte"}
+    pages = sq.page_rows(journeys(spark, visits))
+    found = sq.pages_from(pages, "page", tuple(PAGES[x] for x in "wte"), block_size).collect()
+    wanted = {(v, n, PAGES[x]) for v, letters in visits.items() if "wte" in letters
+              for n, x in enumerate(letters[letters.index("wte"):], 1)}
+    assert len(found) == len(wanted) and {(x.visit_id, x.step, x.page) for x in found} == wanted
+    some = sq.pages_from(pages, "page", tuple(PAGES[x] for x in "wte"), block_size, limit=1).collect()
+    assert {x.visit_id for x in some} == {"a"} and len(some) == 14
+
+
+def test_visits_of_one_hundred_thousand_pages(spark):
+    n = 100_000
+    letter = "substring('wweh', cast(id % 4 as int) + 1, 1)"
+    pages = spark.range(n).selectExpr(
+        "'tv' AS app_type", "'20240101' AS dt", "'v' AS visit_id", "cast(null as string) AS hid", "cast(id + 1 as int) AS page_count",
+        f"{letter} AS page", f"{letter} AS page_name", "concat('p', lpad(id + 1, 7, '0')) AS content_id",
+    )
+    pattern = sq.HopPattern("page_sequence", ("w",), ("e",), False, 5)
+    expected = [(k + 1, 4 * k + 2 - k, 4 * k + 3 if k == 0 else 4 * k + 2 + 1 - k) for k in range(5)]
+    for size in (1_000, 10_000):
+        assert [tuple(x) for x in sq.count_runs(pages, "page", ("w", "w"), size).select("times").collect()] == [(n // 4,)]
+        assert sq.count_runs(pages, "page", ("w", "e"), size).first().times == n // 4
+        assert sq.pages_from(pages, "page", ("w", "e"), size).count() == n - 1
+        found = sq.page_hops(pages, pattern, size, "compat").orderBy("hop").collect()
+        assert [(x.hop, x.entry_page_num, int(x.content_id[1:])) for x in found] == expected
+    assert sq.short_visits(pages, "w").count() == 0
+
+
+def test_short_visits(spark):
+    df = sq.page_rows(journeys(spark, {"a": "hrr", "b": "hrhrh", "c": "hh", "d": "r"}))
+    assert sorted(x.page_name_sequence.count("|") for x in sq.short_visits(df, "recommendations.page").collect()) == [0, 2]
     assert sq.short_visits(df, "recommendations.page", limit=0).count() == 0
-    rest = sq.journeys_from(journeys(spark, {"a": "hwteh"}), "page_sequence", "watching_page|tleo_page", limit=1)
-    assert rest.first().journey_after == "watching_page|tleo_page|episode_page|home_page"
+    first = sq.short_visits(df, "RECOMMENDATIONS.page", limit=1).collect()
+    assert [x.page_name_sequence for x in first] == ["|".join(NAMES[x] for x in "hrr")]
+    counted = sq.run_histogram(df, "page_name", (c.RECOMMENDATIONS_PAGE,), 10, "recommendations.page")
+    assert sorted(tuple(r) for r in counted.collect()) == [(1, 1), (2, 2)]

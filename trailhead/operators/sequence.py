@@ -1,8 +1,9 @@
-"""Hops "entry page, (title page,) content" in the page sequence of a visit.
+"""Hops "entry page, (title page,) content" in the page sequence of a visit, and runs of pages in it.
 
-`extract_hops` takes visits as rows with '|'-delimited strings, so it works inside the row on arrays: finding
-the matches, numbering them and looking up content needs no shuffle and no repeated passes. `page_hops` takes
-one row per page, so a visit may have any number of pages; both report the same hops.
+Most functions take one row per page, so a visit may have any number of pages: it is searched in blocks that overlap by
+the length of what is looked for, and what a block has to know of earlier ones is added up per visit. `page_rows` makes such
+rows from visits with '|'-delimited strings. `extract_hops` takes those strings as they are and works inside the row on
+arrays, with no shuffle; it reports the same hops and is meant for visits that fit into a row.
 """
 
 from __future__ import annotations
@@ -142,25 +143,94 @@ def extract_hops(
     return hops if isinstance(patterns, dict) else hops.drop("family")
 
 
-def page_hops(pages: DataFrame, patterns: HopPattern | dict[str, HopPattern], block_size: int) -> DataFrame:
-    """The hops of `extract_hops` in `exact` mode, from rows of the visit columns, page_count (from 1, without
-    gaps), page_name, page and content_id.
+def page_rows(journeys: DataFrame) -> DataFrame:
+    """One row per page of visits given as delimited strings: their other columns, page_count, page_name, page, content_id."""
+    strings = {"page_name_sequence": "page_name", "page_sequence": "page", "content_id_sequence": "content_id"}
+    others = [x for x in journeys.columns if x not in strings]
+    pages = F.arrays_zip(*[tokens(F.col(x)).alias(y) for x, y in strings.items()])
+    split = journeys.select(*others, F.posexplode(pages).alias("n", "at"))
+    return split.select(*others, (F.col("n") + 1).alias("page_count"), *[f"at.{x}" for x in strings.values()])
 
-    Visits are searched in blocks of `block_size` pages. The first pages of a block are also the last ones of the
-    block before, where a hop may end. The hops and the misses of earlier blocks are added up per visit; results
-    are the same for any block size.
-    """
-    named = patterns if isinstance(patterns, dict) else {"": patterns}
-    ahead = max(p.distance for p in named.values())
+
+def _blocks(pages: DataFrame, columns: list[str], ahead: int, block_size: int) -> tuple[DataFrame, Window]:
+    """Rows of pages dealt to blocks, each also holding the first `ahead` pages of the next; own is a page's own block."""
     at = F.col("page_count")
     own = block_of(at - 1, block_size)
     spread = (
-        eligible(pages)
-        .select(*VISIT, "page_count", "content_id", *sorted({p.page for p in named.values()}))
+        pages.select(*VISIT, "page_count", *columns)
         .withColumn("own", own)
         .withColumn("block", F.explode(F.sequence(block_of(at - 1 - ahead, block_size), own)))
     )
-    in_block = Window.partitionBy(*VISIT, "block").orderBy("page_count")
+    return spread, Window.partitionBy(*VISIT, "block").orderBy("page_count")
+
+
+def _same_visit(prefix: str, *more: str) -> Column:
+    """Equal visit (and more) columns here and with a prefix; null user ids are equal."""
+    return reduce(and_, [F.col(x).eqNullSafe(F.col(f"{prefix}{x}")) for x in (*VISIT, *more)])
+
+
+def _prefixed(df: DataFrame, prefix: str, *names: str) -> DataFrame:
+    return df.withColumnsRenamed({x: f"{prefix}{x}" for x in names})
+
+
+def page_hops(
+    pages: DataFrame, patterns: HopPattern | dict[str, HopPattern], block_size: int, mode: str = "exact"
+) -> DataFrame:
+    """The hops of `extract_hops`, from rows of the visit columns, page_count (from 1, without gaps), page_name, page
+    and content_id.
+
+    Visits are searched in blocks of `block_size` pages. The first pages of a block are also the last ones of the
+    block before, where a hop may end. The hops and the misses of earlier blocks are added up per visit; results
+    are the same for any block size.
+    """
+    if mode not in ("exact", "compat"):
+        raise ValueError(f"unknown mode: {mode}")
+    named = patterns if isinstance(patterns, dict) else {"": patterns}
+    hops = _page_hops(eligible(pages), named, block_size)
+    if mode == "compat":
+        hops = _chopped(eligible(pages), hops, named)
+    return hops if isinstance(patterns, dict) else hops.drop("family")
+
+
+def _chopped(pages: DataFrame, hops: DataFrame, named: dict[str, HopPattern]) -> DataFrame:
+    """What chopping the strings reports of these hops: see `_compat`, here with joins in place of arrays.
+
+    Only the few hops of the rounds remain of a visit; the ids are looked up by visit and page.
+    """
+
+    def of_family(value) -> Column:
+        return F.coalesce(*[F.when(F.col("family") == name, F.lit(value(p))) for name, p in named.items()])
+
+    ordered = Window.partitionBy(*VISIT, "family").orderBy("hop")
+    lasts = _prefixed(pages.groupBy(*VISIT).agg(F.max("page_count").alias("last")), "_", *VISIT)
+    kept = (
+        hops.filter(F.col("hop") <= of_family(lambda p: p.rounds))
+        .withColumns({
+            "distance": of_family(lambda p: p.distance), "consumed": of_family(lambda p: p.consumed),
+            "before": F.col("hop") - 1, "at": F.col("entry_page_num"), "previous": F.lag("entry_page_num").over(ordered),
+        })
+        .join(lasts, _same_visit("_"))
+    )
+    wanted, begin = _compat_tokens()
+    place = F.when(F.col("wanted") < F.col("last"), F.col("wanted")).otherwise(F.col("begin"))
+    kept = kept.withColumns({"wanted": wanted, "begin": begin}).withColumn("place", place)
+    ids = pages.select(*[F.col(x).alias(f"p_{x}") for x in VISIT], F.col("page_count").alias("p_place"), F.col("content_id").alias("id"))
+    nothing_left = (F.col("wanted") >= F.col("last")) & (F.col("begin") == F.col("last"))
+    entry, content = _compat_pages()
+    return kept.join(ids, _same_visit("p_", "place"), "left").select(
+        *VISIT,
+        "family",
+        "hop",
+        entry.cast("int").alias("entry_page_num"),
+        content.cast("int").alias("content_page_num"),
+        F.when(nothing_left, "").otherwise(F.col("id")).alias("content_id"),
+    )
+
+
+def _page_hops(pages: DataFrame, named: dict[str, HopPattern], block_size: int) -> DataFrame:
+    at = F.col("page_count")
+    columns = ["content_id", *sorted({p.page for p in named.values()})]
+    spread, in_block = _blocks(pages, columns, max(p.distance for p in named.values()), block_size)
 
     def coming(column: str, step: int) -> Column:
         return F.lead(column, step).over(in_block)
@@ -214,7 +284,7 @@ def page_hops(pages: DataFrame, patterns: HopPattern | dict[str, HopPattern], bl
             "content_id",
         )
     )
-    return hops if isinstance(patterns, dict) else hops.drop("family")
+    return hops
 
 
 def _described(name: str, pattern: HopPattern, positions: Column) -> Column:
@@ -237,20 +307,26 @@ def _exact() -> tuple[Column, Column, Column]:
     return F.col("at"), content, _at(F.col("ids"), content)
 
 
-def _compat() -> tuple[Column, Column, Column]:
-    ids, at, before = F.col("ids"), F.col("at"), F.col("before")
-    distance, consumed = F.col("distance"), F.col("consumed")
+def _compat_pages() -> tuple[Column, Column]:
+    """Entry and content page as chopping the strings counts them."""
+    entry = F.col("at") - F.col("before") * (F.col("consumed") - 1)
+    return entry, entry + (F.col("before") + 1) * F.col("distance")
+
+
+def _compat_tokens() -> tuple[Column, Column]:
+    """The id that is looked for, and where the ids still left begin: at the previous hop's, at first with the first."""
+    distance, consumed, before = F.col("distance"), F.col("consumed"), F.col("before")
 
     def token(at: Column, earlier: Column) -> Column:
         return at + distance + earlier * (distance - consumed)
 
-    entry = at - before * (consumed - 1)
-    content = entry + (before + 1) * distance
-    wanted = token(at, before)
-    # Where the ids still left begin: at the previous hop's token, at first with the first id.
-    begin = F.when(before == 0, F.lit(1)).otherwise(token(F.col("previous"), before - 1))
+    return token(F.col("at"), before), F.when(before == 0, F.lit(1)).otherwise(token(F.col("previous"), before - 1))
+
+
+def _compat() -> tuple[Column, Column, Column]:
+    ids, (wanted, begin) = F.col("ids"), _compat_tokens()
     last_page = F.when(begin == F.size(ids), "").otherwise(_at(ids, begin))
-    return entry, content, F.when(wanted >= F.size(ids), last_page).otherwise(_at(ids, wanted))
+    return *_compat_pages(), F.when(wanted >= F.size(ids), last_page).otherwise(_at(ids, wanted))
 
 
 def hop_outcomes(hops: DataFrame, outcomes: DataFrame, label: str) -> DataFrame:
@@ -270,37 +346,120 @@ def hop_outcomes(hops: DataFrame, outcomes: DataFrame, label: str) -> DataFrame:
     )
 
 
-def count_occurrences(text: Column, pattern: str) -> Column:
-    """Non-overlapping occurrences of a string."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit("")))
-    return (removed / len(pattern)).cast("long")
+def runs_of_pages(pages: DataFrame, column: str, names: tuple[str, ...], block_size: int) -> DataFrame:
+    """The visit columns, page_count, block and, in `found`, whether pages of these names follow one another from there on."""
+    spread, in_block = _blocks(pages, [column], len(names) - 1, block_size)
+    found = F.lit(True)
+    for step, name in enumerate(names):
+        page = F.lead(column, step).over(in_block) if step else F.col(column)
+        found = found & (page == name)
+    searched = spread.withColumn("found", F.coalesce(found, F.lit(False)))
+    return searched.filter("block = own").select(*VISIT, "page_count", "block", column, "found")
+
+
+def _has_border(names: tuple[str, ...]) -> bool:
+    """Whether two runs of these names can overlap."""
+    return any(names[:n] == names[-n:] for n in range(1, len(names)))
+
+
+def count_runs(pages: DataFrame, column: str, names: tuple[str, ...], block_size: int, containing: str | None = None) -> DataFrame:
+    """Per visit, how many runs of pages with these names follow one another without sharing a page (`times`).
 
+    Without `containing`, only visits with a run; with it, those that have a page with that piece in its name.
 
-def occurrence_histogram(journeys: DataFrame, sequence: str, pattern: str, containing: str) -> DataFrame:
-    """Visits by number of occurrences of `pattern`, among those whose sequence contains `containing`."""
-    text = F.col(sequence)
-    return (
-        journeys.filter(text.ilike(f"%{containing}%"))
-        .groupBy(count_occurrences(text, pattern).alias("num_time_page_occurs"))
-        .agg(F.count("visit_id").alias("num_visits"))
+    Where runs can overlap, the first is taken, then the first one after its end, and so on. What a block takes depends
+    on how many of its first pages a run from the block before covers; it is worked out for each such number, and
+    the blocks of a visit are then put together in their order.
+    """
+    rows = runs_of_pages(pages, column, names, block_size)
+    if containing is not None:
+        shown = F.col(column).ilike(f"%{containing}%")
+    else:
+        shown = F.col("found")
+    visits = rows.groupBy(*VISIT).agg(
+        F.coalesce(F.bool_or(shown), F.lit(False)).alias("shown"), F.sum(F.col("found").cast("long")).alias("times")
+    ).filter("shown").drop("shown")
+    if not _has_border(names):
+        return visits
+    length = len(names)
+    if block_size < length:
+        raise ValueError("a block must hold a run")
+
+    def taken(covered: int) -> Column:
+        begin = (F.col("block") * block_size + 1).cast("long")
+        zero = F.struct(F.lit(0).cast("long").alias("times"), (begin + covered).alias("free"))
+
+        def step(state: Column, at: Column) -> Column:
+            free = at >= state["free"]
+            return F.struct(
+                (state["times"] + free.cast("long")).alias("times"), F.when(free, at + length).otherwise(state["free"]).alias("free")
+            )
+
+        return F.aggregate(
+            "places", zero, step,
+            lambda x: F.struct(x["times"].alias("times"), F.greatest(x["free"] - begin - block_size, F.lit(0)).alias("covers")),
+        )
+
+    by_block = (
+        rows.filter("found")
+        .groupBy(*VISIT, "block")
+        .agg(F.sort_array(F.collect_list(F.col("page_count").cast("long"))).alias("places"))  # at most a block
+        .select(*VISIT, F.struct("block", F.array(*[taken(n) for n in range(length)]).alias("taken")).alias("part"))
+    )
+    zero = F.struct(F.lit(0).cast("long").alias("times"), F.lit(0).cast("long").alias("covers"), F.lit(-2).cast("long").alias("block"))
+
+    def join(state: Column, part: Column) -> Column:
+        covered = F.when(part["block"] == state["block"] + 1, state["covers"]).otherwise(F.lit(0))
+        here = F.get(part["taken"], covered.cast("int"))
+        return F.struct(
+            (state["times"] + here["times"]).alias("times"), here["covers"].alias("covers"), part["block"].cast("long").alias("block")
+        )
+
+    counted = by_block.groupBy(*VISIT).agg(F.sort_array(F.collect_list("part")).alias("parts")).select(
+        *[F.col(x).alias(f"_{x}") for x in VISIT], F.aggregate("parts", zero, join, lambda x: x["times"]).alias("counted")
     )
+    return visits.join(counted, _same_visit("_"), "left").select(*VISIT, F.coalesce("counted", F.lit(0)).alias("times"))
+
 
+def run_histogram(pages: DataFrame, column: str, names: tuple[str, ...], block_size: int, containing: str | None = None) -> DataFrame:
+    """Visits by how often the run occurs in them; see `count_runs`."""
+    counted = count_runs(pages, column, names, block_size, containing)
+    return counted.groupBy(F.col("times").alias("num_time_page_occurs")).agg(F.count("visit_id").alias("num_visits"))
 
-def short_visits(journeys: DataFrame, page: str, fewer_than: int = 3, limit: int | None = None) -> DataFrame:
-    """App type and pages of visits that have a page and fewer than so many delimiters."""
-    out = journeys.filter(
-        F.col("page_name_sequence").ilike(f"%{page}%")
-        & (count_occurrences(F.col("page_sequence"), DELIMITER) < fewer_than)
-    ).select("app_type", "page_name_sequence")
-    return out if limit is None else out.limit(limit)
 
+def short_visits(pages: DataFrame, page: str, most_pages: int = 3, limit: int | None = None) -> DataFrame:
+    """App type and pages of visits that have a page with this piece in its name and at most so many pages.
 
-def journeys_from(journeys: DataFrame, sequence: str, pattern: str, limit: int | None = None) -> DataFrame:
-    """The rest of each sequence from the first occurrence of a pattern on; with `limit`, the first visits."""
-    text = F.col(sequence)
-    out = journeys.filter(text.ilike(f"%{pattern}%")).select(
-        "dt",
-        "visit_id",
-        F.expr(f"substring({sequence}, greatest(locate('{pattern}', {sequence}), 1))").alias("journey_after"),
+    With `limit`, the first ones by date, visit and user. Of a longer visit nothing but its length is kept.
+    """
+    names = [F.max(F.when(F.col("page_count") == n + 1, F.col("page_name"))).alias(f"name_{n}") for n in range(most_pages)]
+    visits = (
+        pages.groupBy(*VISIT)
+        .agg(F.count("*").alias("n"), F.bool_or(F.col("page_name").ilike(f"%{page}%")).alias("has"), *names)
+        .filter((F.col("n") <= most_pages) & F.col("has"))
+    )
+    if limit is not None:
+        visits = visits.orderBy("dt", "visit_id", "hid", "app_type").limit(limit)
+    sequence = F.concat_ws(DELIMITER, *[f"name_{n}" for n in range(most_pages)])
+    return visits.select("app_type", sequence.alias("page_name_sequence"))
+
+
+def pages_from(
+    pages: DataFrame, column: str, names: tuple[str, ...], block_size: int, limit: int | None = None
+) -> DataFrame:
+    """dt, visit_id, step (from 1) and page: the pages of each visit from the first run of these names on.
+
+    With `limit`, of the first visits by date, visit and user. Visits meet their first run block by block.
+    """
+    rows = runs_of_pages(pages, column, names, block_size)
+    visits = rows.groupBy(*VISIT).agg(
+        F.min(F.when(F.col("found"), F.col("page_count"))).alias("first"), F.max("page_count").alias("last")
+    ).filter("first IS NOT NULL")
+    if limit is not None:
+        visits = visits.orderBy("dt", "visit_id", "hid", "app_type").limit(limit)
+    blocks = F.sequence(block_of(F.col("first") - 1, block_size), block_of(F.col("last") - 1, block_size))
+    wanted = _prefixed(visits.withColumn("block", F.explode(blocks)).drop("last"), "_", *VISIT, "block")
+    own = pages.select(*VISIT, "page_count", F.col(column).alias("page"), block_of(F.col("page_count") - 1, block_size).alias("block"))
+    return own.join(wanted, _same_visit("_", "block")).filter(F.col("page_count") >= F.col("first")).select(
+        "dt", "visit_id", (F.col("page_count") - F.col("first") + 1).cast("int").alias("step"), "page"
     )
-    return out if limit is None else out.orderBy("dt", "visit_id").limit(limit)

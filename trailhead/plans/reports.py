@@ -77,7 +77,8 @@ def via_title_difference(skipping: DataFrame, keeping: DataFrame) -> DataFrame:
     )
 
 
-def _end_of_playback(journeys: DataFrame, mapping: DataFrame | None) -> DataFrame:
+def playback_journeys(journeys: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Journeys that began at the end of playback, with page type and container group."""
     chosen = with_page_type(journeys, "click_placement", mapping).filter(
         (F.col("page_type") == "episode_page") & F.col("click_container").ilike("%next%")
     )
@@ -86,7 +87,7 @@ def _end_of_playback(journeys: DataFrame, mapping: DataFrame | None) -> DataFram
 
 def end_of_playback(journeys: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     return (
-        _end_of_playback(journeys, mapping)
+        playback_journeys(journeys, mapping)
         .groupBy("page_type", F.col("container_group").alias("click_container"))
         .agg(*totals())
     )
@@ -94,7 +95,7 @@ def end_of_playback(journeys: DataFrame, mapping: DataFrame | None = None) -> Da
 
 def playback_users(journeys: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     return (
-        _end_of_playback(journeys, mapping)
+        playback_journeys(journeys, mapping)
         .select("page_type", F.col("container_group").alias("click_container"), "hid")
         .distinct()
     )
@@ -149,10 +150,13 @@ def cta_users(journeys: DataFrame, clicks: DataFrame, mapping: DataFrame | None
     return cta_with_clicks(journeys, clicks, mapping).select("hid").distinct()
 
 
+def module_journeys(journeys: DataFrame, modules=c.HOME_MODULES) -> DataFrame:
+    return on_home(journeys).filter(F.col("click_container").isin(*modules))
+
+
 def homepage_module_users(journeys: DataFrame, mapping: DataFrame | None = None, modules=c.HOME_MODULES) -> DataFrame:
     """Users of the home page modules, one row per user and module."""
-    chosen = on_home(journeys).filter(F.col("click_container").isin(*modules))
-    return with_page_type(chosen, "click_placement", mapping).select("page_type", "click_container", "hid").distinct()
+    return with_page_type(module_journeys(journeys, modules), "click_placement", mapping).select("page_type", "click_container", "hid").distinct()
 
 
 def distinct_users(sources: dict[str, DataFrame], approximate: bool = False) -> DataFrame:

@@ -16,7 +16,6 @@ WINDOW = DateWindow("20240101", "20240131")
 SETTINGS = Settings(window=WINDOW)
 OTHER_PRODUCT = "PS_OTHER"
 WEEK_SECONDS = 7 * 24 * 3600
-MOST_PAGES = 1_000  # only the SQL in catalog/oracle.py still cuts visits here
 
 STANDARD_ATTRIBUTES = (
     "content-item-poster",
@@ -250,23 +249,6 @@ def page_rows(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -
     )
 
 
-def page_journeys(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
-    """One row per visit with all its pages as '|'-delimited strings."""
-    visit = ["destination", "app_type", "dt", "visit_id", "hid"]
-    pages = "sort_array(collect_list(struct(page_count, page, content_id))) AS pages"
-    return (
-        _pages(spark, folder, settings)
-        .groupBy(*visit)
-        .agg(F.expr(pages))
-        .selectExpr(
-            *visit,
-            f"array_join(transform(pages, x -> {_pick(JOURNEY_NAMES, 'x.page')}), '|') AS page_name_sequence",
-            f"array_join(transform(pages, x -> {_pick(JOURNEY_PAGES, 'x.page')}), '|') AS page_sequence",
-            "array_join(pages.content_id, '|') AS content_id_sequence",
-        )
-    )
-
-
 def content_outcomes(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
     """Whether the content of each episode page was started and completed."""
     return (
