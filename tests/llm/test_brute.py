@@ -90,6 +90,40 @@ def test_language_is_right_on_held_out_documents(spark):
     assert right[0] >= 0.95 and right[1] >= 0.9
 
 
+# Hashes
+
+
+def alike_modulo_a_power_of_two(n=1024):
+    """Two strings that polynomials modulo 2**64 cannot tell apart."""
+    signs = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)
+
+
+def test_long_words_and_lines_are_told_apart(spark):
+    a, b = alike_modulo_a_power_of_two()
+    rows = [(1, a + " one two three four"), (2, b + " one two three four"), (3, f"{a} x\n{b} x\n{a} x\nend")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard.classes(frame).collect()} == {1: 1, 2: 2, 3: 3}
+    judged = quality.judged(frame.selectExpr("*", "'en' AS lang", "'s' AS source"))
+    assert {x.doc_id: (x.n_dup_lines, x.n_repeat_words) for x in judged.collect()} == {1: (0, 0), 2: (0, 0), 3: (1, 0)}
+
+
+def test_long_repeats_are_told_apart(spark):
+    a, b = alike_modulo_a_power_of_two(4096)
+    rows = [(1, a), (2, b), (3, "x" + a)]
+    found = {x.doc_id: x.n_removed for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: brute_removed([x for _, x in rows], n) for n, (i, _) in enumerate(rows)}
+
+
+def brute_removed(texts, n, length=400):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    gone = set()
+    for i in range(len(texts[n]) - length + 1):
+        if seen[texts[n][i : i + length]] > 1:
+            gone.update(range(i, i + length))
+    return len(gone)
+
+
 # Jaccard join
 
 

@@ -5,8 +5,8 @@ to all sets. The order puts shingles found in many documents last, so that share
 ever bring documents together by themselves.
 
 * Equal sets are one node; nodes with identical prefixes and equal size are one group.
-* Groups, not documents, are joined on prefix shingles. Buckets with one group are dropped; in the others groups are
-  expanded into their nodes, and a group of several nodes is also a bucket of its own.
+* Groups, not documents, are joined on prefix shingles. Buckets with one group are dropped; a group of several nodes is
+  also a bucket of its own. Group pairs are filtered, then expanded into pairs of nodes.
 * Parity signatures of whole sets drop pairs that differ too much, with no link lost.
 * Pairs are first compared by their prefixes, which bound how similar the sets can be, then verified on whole sets.
 * Only components are wanted, so not all pairs of a bucket are needed: rounds of stars
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import documents, row_key, small, stage
-from .textops import LOWER_CODES, U64, Texts, chunks, mix, shingles, sorted_sets, span_hashes, word_hashes, words_of
+from .textops import LOWER, U64, Texts, chunks, mix, shingles, sorted_sets, span_hashes, word_hashes, words_of
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ class JaccardSettings:
 
 def _shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(texts)
-    values, begin = shingles(word_hashes(texts, words, LOWER_CODES), words.first, k)
+    values, begin = shingles(word_hashes(texts, words, LOWER), words.first, k)
     return values >> U64(2), begin
 
 
@@ -346,37 +346,60 @@ def _near_signatures(a: str, b: str, sizes: Column, settings: JaccardSettings) -
 
 
 def _remaining(rows: DataFrame, nodes: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """The pairs of a bucket that lie in different components and may be similar.
+    """The pairs of nodes that share a bucket, lie in different components and may be similar.
 
-    Pairs whose signatures differ too much are dropped where they meet. The buckets that nodes of two groups share are
-    all their common prefix shingles. What else they have in common lies behind the prefix of one of the two, so their
-    overlap is bounded by that number and the rest of the larger set. Nodes of one group have their whole prefix in
-    common, of which only the shingles found in other groups too have buckets, so nothing is concluded from them.
+    Groups are paired, not nodes, and only then expanded. Two groups that share many buckets, as those around one
+    passage do, are paired where they first meet: not in a bucket that follows, for both, the same other bucket, since
+    they have met there. So a pair of groups is listed about once, however many shingles it shares. Sizes, and the
+    signatures of groups of one node, are compared where groups meet; those of all nodes after expanding.
     """
     percent = settings.percent
-    rows = rows.join(nodes.select("node", "prefix_group", "signature"), "node").select(
-        "bucket", "node", "n", "component", "prefix_group", "signature"
+    held = rows.join(nodes.select("node", "prefix_group", "signature"), "node")
+    own = held.filter(F.col("bucket") == F.col("prefix_group"))
+    one_group = own.select("bucket", "node", "n", "component", "signature")
+    other = one_group.toDF("bucket", "leader", "leader_n", "leader_component", "leader_signature")
+    inside = one_group.join(other, "bucket").filter(
+        (F.col("component") != F.col("leader_component"))
+        & (F.col("node") > F.col("leader"))
+        & _near_signatures("signature", "leader_signature", F.col("n") + F.col("leader_n"), settings)
     )
-    other = rows.toDF("bucket", "leader", "leader_n", "leader_component", "leader_group", "leader_signature")
-    sizes = F.col("n") + F.col("leader_n")
 
-    def rest(n: str):
-        return F.ceil(percent * F.col(n) / 100) - 1  # what is behind the prefix
-
-    overlap = F.col("shared") + F.greatest(rest("n"), rest("leader_n"))
-    return (
-        rows.join(other, "bucket")
+    in_order = Window.partitionBy("prefix_group").orderBy("bucket")
+    groups = (
+        held.filter(F.col("bucket") != F.col("prefix_group"))
+        .groupBy("bucket", "prefix_group", "n")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.when(F.count("*") == 1, F.first("signature")).alias("signature"),
+        )
+        .withColumn("before", F.lag("bucket").over(in_order))
+    )
+    left = groups.toDF(*["bucket" if x == "bucket" else f"a_{x}" for x in groups.columns])
+    right = groups.toDF(*["bucket" if x == "bucket" else f"b_{x}" for x in groups.columns])
+    one_component = (F.least("a_low", "b_low") == F.greatest("a_high", "b_high"))
+    met_before = F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))
+    near = _near_signatures("a_signature", "b_signature", F.col("a_n") + F.col("b_n"), settings)
+    pairs = (
+        left.join(right, "bucket")
         .filter(
-            (F.col("component") != F.col("leader_component"))
-            & (F.col("node") > F.col("leader"))
-            & _compatible("n", "leader_n", percent)
-            & _near_signatures("signature", "leader_signature", sizes, settings)
+            (F.col("a_prefix_group") < F.col("b_prefix_group"))
+            & ~met_before
+            & ~one_component
+            & _compatible("a_n", "b_n", percent)
+            & F.coalesce(near, F.lit(True))
         )
-        .groupBy("leader", "node", "n", "leader_n", (F.col("prefix_group") == F.col("leader_group")).alias("one_group"))
-        .agg(F.count("*").alias("shared"))
-        .filter(F.col("one_group") | (overlap * (100 + percent) >= percent * sizes))
-        .select("leader", "node")
+        .select("a_prefix_group", "b_prefix_group")
+        .distinct()
+    )
+    members = held.select("prefix_group", "node", "n", "component", "signature").dropDuplicates(["node"])
+    expanded = (
+        pairs.join(members.toDF("a_prefix_group", "a", "a_n", "a_component", "a_signature"), "a_prefix_group")
+        .join(members.toDF("b_prefix_group", "b", "b_n", "b_component", "b_signature"), "b_prefix_group")
+        .filter((F.col("a_component") != F.col("b_component")) & near)
+        .select(F.least("a", "b").alias("leader"), F.greatest("a", "b").alias("node"))
     )
+    return inside.select("leader", "node").unionByName(expanded)
 
 
 def _remaining_bound(rows: DataFrame) -> int:

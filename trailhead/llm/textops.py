@@ -1,7 +1,10 @@
 """Array forms of text: words, lines and hashes of many texts at once, for use inside tasks.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Texts are handled as UTF-8 bytes. All
-hashes are 64-bit: two different byte strings are taken for equal with a chance of about 2**-64 per pair.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Texts are handled as UTF-8 bytes. All hashes have 64 bits.
+Strings of up to `SHORT` bytes are hashed by a polynomial modulo 2**64, which gives the hash of every place at once. There are
+pairs of longer strings that such a polynomial cannot tell apart, whatever its base, so those are hashed one by one with
+xxh3. Two different strings are taken for equal with a chance of about 2**-64 per pair; for short ones made to collide (two
+letters in the order of the Thue-Morse sequence), 2**-54.
 """
 
 from __future__ import annotations
@@ -11,14 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1_000_000
+SHORT = 16
 U64 = np.uint64
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _random.integers(1, 2**64, 256, dtype=U64) | U64(1)
-LOWER_CODES = BYTE_CODES.copy()
-LOWER_CODES[65:91] = BYTE_CODES[97:123]
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = SAME.copy()
+LOWER[65:91] = SAME[97:123]
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 STEP = U64(0xD6E8FEB86659FD93)
@@ -67,17 +73,30 @@ class Texts:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
-    def prefix_hashes(self, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-        """Running sums from which `span_hashes` gets the hash of any substring."""
-        n = len(self.data)
-        out = np.zeros(n + 1, U64)
-        np.cumsum(codes[self.data] * powers(BASE, n)[:n], dtype=U64, out=out[1:])
-        return out
+    def prefix_hashes(self, folding: np.ndarray = SAME) -> Prefix:
+        """Running sums from which `span_hashes` gets the hash of any substring, after each byte is replaced by another."""
+        n, data = len(self.data), self.data if folding is SAME else folding[self.data]
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(BYTE_CODES[data] * powers(BASE, n)[:n], dtype=U64, out=sums[1:])
+        return Prefix(sums, data)
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+@dataclass
+class Prefix:
+    sums: np.ndarray
+    data: np.ndarray
+
+
+def span_hashes(prefix: Prefix, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes starts[i]:ends[i], for each i."""
-    return mix((prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, len(prefix))[starts] + (ends - starts).astype(U64))
+    sums, lengths = prefix.sums, ends - starts
+    out = mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(sums))[starts] + lengths.astype(U64))
+    long = np.flatnonzero(lengths > SHORT)
+    if len(long):
+        data, one = prefix.data.tobytes(), xxhash.xxh3_64_intdigest
+        spans = zip(starts[long].tolist(), ends[long].tolist())
+        out[long] = np.fromiter((one(data[a:b]) for a, b in spans), U64, len(long))
+    return out
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Texts]:
@@ -126,8 +145,8 @@ def words_of(texts: Texts) -> Words:
     return Words(starts, ends, np.searchsorted(starts, texts.bounds))
 
 
-def word_hashes(texts: Texts, words: Words, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-    return span_hashes(texts.prefix_hashes(codes), words.starts, words.ends)
+def word_hashes(texts: Texts, words: Words, folding: np.ndarray = SAME) -> np.ndarray:
+    return span_hashes(texts.prefix_hashes(folding), words.starts, words.ends)
 
 
 def _windows(hashes: np.ndarray, k: int) -> np.ndarray:
