@@ -53,7 +53,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # A cut may divide a character; its rest is shown as U+FFFD in kept_text only.
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
