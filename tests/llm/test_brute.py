@@ -263,6 +263,20 @@ def test_production_repeats_equal_brute_force(docs, texts):
 # Benchmark decontamination
 
 
+def test_leaks_of_an_item_do_not_depend_on_longer_items(spark):
+    words = [f"w{i}" for i in range(40)]
+    spread = " ".join(words[:20] + ["filler"] * 300 + words[20:])
+    docs = spark.createDataFrame([(1, spread), (2, " ".join(words))], "doc_id long, text string")
+    item, long = ("short one", " ".join(words)), ("a long one", " ".join(f"v{i}" for i in range(600)))
+    docs = docs.union(spark.createDataFrame([(3, "x " * 500 + long[1])], docs.schema))
+    for items in ([item], [item, long]):
+        benchmark = spark.createDataFrame(items, "item_id string, text string")
+        found = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs, benchmark).collect()}
+        assert found == {(2, "short one")} | ({(3, "a long one")} if long in items else set())
+    one_each = decontamination.LeakSettings(group_items=1)
+    assert found == {(x.doc_id, x.item_id) for x in decontamination.find_leaks(docs, benchmark, one_each).collect()}
+
+
 def test_search_equals_scoring_every_item():
     rng = random.Random(2)
     words = [f"w{i}".encode() for i in range(60)]

@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 index of the test items, searched with every training passage by block-max WAND.
 
 Words are lower-cased and cut at ASCII characters other than letters and digits. A document is cut into passages
-of 2 * step words that overlap by half, so that any run of `step` words (at least the longest item) lies in one of
-them. A passage is a query: its distinct words score every item by BM25, as a share of what the item's own words
+of 2 * step words that overlap by half, so that any run of `step` words lies in one of them. An item is searched
+in passages whose step is the smallest doubling of `step` that holds it: items are indexed by that length, so what an
+item finds does not depend on longer ones. A passage is a query: its distinct words score every item by BM25, as a share of what the item's own words
 would score (0 to 1). All items that reach `least_score` are retrieved. A hit counts if the passage also holds
 `least_overlap` of the five-word shingles of the item's question and of those that touch its answer. The answer
 is the item's last sentence, or its last third of words if it has one sentence.
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import documents, packed, stage, unpacked
 from .textops import chunks
@@ -59,6 +61,14 @@ def question_length(text: str, n_words: int) -> int:
     return before if 0 < before < n_words else n_words - -(-n_words // 3)
 
 
+def step_of(n_words: int, settings: LeakSettings) -> int:
+    """Step of the passages for an item of so many words."""
+    step = settings.step
+    while step < n_words:
+        step *= 2
+    return step
+
+
 @dataclass
 class Item:
     item_id: object
@@ -104,7 +114,7 @@ class BlockMaxIndex:
             for i, x in posting:
                 self.bounds[t, i // self.block] = max(self.bounds[t, i // self.block], np.nextafter(np.float32(x), np.float32(2)))
         self.most = self.bounds.max(axis=1, initial=0)
-        self.longest = max((len(x.words) for x in items), default=0)
+        self.step = step_of(max((len(x.words) for x in items), default=0), settings)
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All items whose score reaches `least`, by WAND with block bounds."""
@@ -152,7 +162,7 @@ def passage_starts(n_words: int, step: int) -> range:
 
 def leaks_of(texts, index: BlockMaxIndex, settings: LeakSettings) -> list[dict[int, tuple[float, float, float]]]:
     """For each text, the items it leaks: score and overlap with question and answer, of the best passage."""
-    step = max(settings.step, index.longest)
+    step = index.step
     out: list[dict] = [{} for _ in range(len(texts))]
     known = index.terms.get
     words_by_text, ids, first = [], [], [0]
@@ -215,31 +225,34 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def indexes(benchmark: DataFrame, settings: LeakSettings) -> Iterator[BlockMaxIndex]:
-    """An index for each group of items; word statistics are those of all items."""
+    """An index for each group of items that need passages of one length; word statistics are those of all items."""
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
     items = stage(items.withColumn("number", F.xxhash64("item_id", "text")), "leak-items")
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / settings.step) - 1e-9)).alias("doublings")
     terms = items.select("number", "text").mapInArrow(_term_rows, "number long, n long, terms array<binary>").filter("n > 0")
+    terms = stage(terms.select("*", doublings), "leak-terms")
     n_items, mean_words = terms.agg(F.count("*"), F.avg("n")).first()
-    groups = max(1, -(-n_items // settings.group_items))
-    group = F.pmod("number", F.lit(groups))
     df = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    for g in range(groups):
-        rows = items.filter(group == g).orderBy("item_id", "text").collect()  # about group_items rows
-        made = [make_item(x.item_id, x.text, settings) for x in rows]
-        made = [x for x in made if x.words]
-        own = terms.filter(group == g).select(F.explode("terms").alias("term")).distinct()
-        counts = {bytes(x.term): x.df for x in df.join(own, "term", "left_semi").collect()}
-        yield BlockMaxIndex(made, counts, n_items, mean_words or 1.0, settings)
-
-
-def _find(index: BlockMaxIndex, settings: LeakSettings):
+    # A row for each length class: their number grows with the logarithm of the longest item.
+    for length, n in sorted(terms.groupBy("doublings").count().collect()):
+        groups = -(-n // settings.group_items)
+        for g in range(groups):
+            chosen = terms.filter((F.col("doublings") == length) & (F.pmod("number", F.lit(groups)) == g))
+            rows = items.join(chosen.select("number"), "number", "left_semi").orderBy("item_id", "text")
+            made = [make_item(x.item_id, x.text, settings) for x in rows.collect()]  # about group_items rows
+            own = chosen.select(F.explode("terms").alias("term")).distinct()
+            counts = {bytes(x.term): x.df for x in df.join(own, "term", "left_semi").collect()}
+            yield BlockMaxIndex(made, counts, n_items, mean_words or 1.0, settings)
+
+
+def _find(index: BlockMaxIndex, settings: LeakSettings, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in chunks(batches):
             found = [(i, item, *best) for i, x in enumerate(leaks_of(texts, index, settings)) for item, best in sorted(x.items())]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc": texts.rows.column("doc").take(pa.array([x[0] for x in found], pa.int64())),
-                    "item_id": pa.array([index.items[x[1]].item_id for x in found], pa.int64()),
+                    "item_id": pa.array([index.items[x[1]].item_id for x in found], kind),
                     "score": pa.array([x[2] for x in found], pa.float64()),
                     "question_overlap": pa.array([x[3] for x in found], pa.float64()),
                     "answer_overlap": pa.array([x[4] for x in found], pa.float64()),
@@ -252,13 +265,13 @@ def _find(index: BlockMaxIndex, settings: LeakSettings):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings()) -> DataFrame:
     """A row per document and item it leaks: doc_id, item_id, score, question_overlap, answer_overlap."""
     rows = documents(docs).select(F.struct("doc_id").alias("doc"), "text")
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL(
-        "item_id long, score double, question_overlap double, answer_overlap double"
+    kind = benchmark.schema["item_id"].dataType
+    schema = T.StructType([rows.schema["doc"], T.StructField("item_id", kind), *T.StructType.fromDDL(
+        "score double, question_overlap double, answer_overlap double"
     )])
-    found = None
+    found = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(benchmark, settings):
-        one = rows.mapInArrow(_find(index, settings), schema)
-        found = one if found is None else found.unionByName(one)
+        found = found.unionByName(rows.mapInArrow(_find(index, settings, to_arrow_type(kind)), schema))
     return found.select("doc.doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
