@@ -236,6 +236,30 @@ for _side in "ab":
     CTES[f"home_{_side}"] = f"""SELECT {_page_type('click_placement')} AS page_type, click_container, {TOTALS}
     FROM final_{_side} WHERE click_placement = '{c.HOME_PLACEMENT}' GROUP BY 1, 2"""
 
+# The same from visits that have a second user. Only the joins that link leave the user out.
+_SHARED = ["population", "standard_a", "standard_b", "autoplay", "web_autoplay", "deeplink", "starts", "completes"]
+for _side in "ab":
+    _SHARED += [
+        f"{x}_{_side}"
+        for x in ("clicks", "timeline", "candidates", "ranked", "linked", "watch_candidates", "watched", "final", "funnel")
+    ]
+CTES["audiences_shared"] = f"""SELECT * FROM audiences
+  UNION SELECT dt, cookie_id, visit_id, destination, CAST(user_id + 1 AS VARCHAR) FROM user_weeks
+    WHERE {WINDOW} AND user_id % 3 = 0"""
+for _name in _SHARED:
+    _sql = re.sub(
+        r"(FROM|JOIN)(\s+)(\w+)\b",
+        lambda m: m[0] + "_shared" if m[3] in (*_SHARED, "audiences") else m[0],
+        CTES[_name],
+    )
+    if "candidates" in _name:
+        _sql = _sql.replace(" AND a.hid = s.hid", "").replace(" AND a.hid = w.hid", "")
+    # Of starts at one position the first by what it is: their ordinals differ between users.
+    CTES[f"{_name}_shared"] = _sql.replace(
+        "ordinal DESC, s_ordinal", "ordinal DESC, s_attribute NULLS FIRST, s_container NULLS FIRST, "
+        "s_placement NULLS FIRST, content_id NULLS FIRST"
+    ).replace("s.placement AS s_placement", "s.container AS s_container, s.placement AS s_placement")
+
 CTES["playback"] = f"""SELECT *, {_page_type('click_placement')} AS page_type,
     CASE WHEN click_container ILIKE '%rec%' THEN 'rec' ELSE 'next-episode' END AS container_group
   FROM final_b WHERE {_page_type('click_placement')} = 'episode_page' AND click_container ILIKE '%next%'"""
@@ -412,6 +436,9 @@ SELECTS = {
     "starts_linked_completes": "SELECT * FROM watched_a",
     "final_no_title": f"SELECT {FIRST_FINAL} FROM final_a",
     "final_with_title": f"SELECT {FIRST_FINAL} FROM final_b",
+    "shared_clicks_linked_starts": "SELECT * FROM linked_a_shared",
+    "shared_starts_linked_completes": "SELECT * FROM watched_a_shared",
+    "shared_funnel": "SELECT * FROM funnel_b_shared",
     "funnel": "SELECT * FROM funnel_a",
     "homepage_funnel": "SELECT * FROM home_a",
     "homepage_funnel_direct": "SELECT * FROM home_b",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,6 +223,32 @@ def final_with_title(spark, folder):
     return _Run(spark, folder).keeping.drop("exp_group")
 
 
+# Visits with several users, linked across them
+
+
+def _shared(spark, folder):
+    settings = replace(SETTINGS, link_across_users=True)
+    return at.prepare(dt.driver_inputs(spark, folder, settings, stage=True, shared=True), settings), settings
+
+
+@_query
+def shared_clicks_linked_starts(spark, folder):
+    prepared, settings = _shared(spark, folder)
+    return at.linked_starts(prepared, settings, exclude_titles=True).drop("wide")
+
+
+@_query
+def shared_starts_linked_completes(spark, folder):
+    prepared, settings = _shared(spark, folder)
+    return at.linked_completes(prepared, settings, exclude_titles=True).drop("wide")
+
+
+@_query
+def shared_funnel(spark, folder):
+    prepared, settings = _shared(spark, folder)
+    return reports.funnel(at.build_journeys(prepared, settings, exclude_titles=False))
+
+
 # Funnels
 
 

@@ -17,17 +17,17 @@ SCHEMA = (
 )
 
 
-def event(visit, position, kind, content_id, series=None, brand=None, container="box", placement="page"):
+def event(visit, position, kind, content_id, series=None, brand=None, container="box", placement="page", hid="h"):
     attribute = {"start": START_ATTRIBUTE, "complete": COMPLETE_ATTRIBUTE}.get(kind, "resume")
     return dict(
         visit=visit, position=position, kind=kind, attribute=attribute, container=container, placement=placement,
-        content_id=content_id, series=series, brand=brand,
+        content_id=content_id, series=series, brand=brand, hid=hid,
     )
 
 
 def frame(spark, events, block_size):
     rows = [
-        ("20240101", "c", "h", e["visit"], e["position"], e["kind"], e["container"], e["attribute"], e["placement"],
+        ("20240101", "c", e["hid"], e["visit"], e["position"], e["kind"], e["container"], e["attribute"], e["placement"],
          e["content_id"], e["series"], e["brand"])
         for e in events
     ]
@@ -36,16 +36,16 @@ def frame(spark, events, block_size):
     return df.join(wide, "visit_id")
 
 
-def run(spark, events, block_size=10_000, drop_backward_only=True):
+def run(spark, events, block_size=10_000, drop_backward_only=True, across_users=False):
     """All columns that matter of clicks linked to starts linked to completes."""
     df = frame(spark, events, block_size)
     has_wide = bool(df.filter("wide").head(1))
     numbered = ln.timeline_ordinals(df.filter("kind <> 'complete'"), has_wide)
-    starts = ln.link_clicks_to_starts(numbered, has_wide, drop_backward_only)
+    starts = ln.link_clicks_to_starts(numbered, has_wide, drop_backward_only, across_users)
     if has_wide:
         starts = materialise(starts, "starts")
     completes = df.filter("kind = 'complete'")
-    both = ln.link_starts_to_completes(starts, completes, block_size, has_wide, drop_backward_only)
+    both = ln.link_starts_to_completes(starts, completes, block_size, has_wide, drop_backward_only, across_users)
     return sorted(
         (
             (r.visit_id, r.click_event_position, r.click_container, r.click_id, r.content_start_event_position,
@@ -211,3 +211,63 @@ def test_lookup_join_paths_agree(spark):
     large = lookup_join(df, lookup, "content_id", ["n"], max_rows=2, salts=4)
     assert "Broadcast" in small._jdf.queryExecution().toString()
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+
+
+def expected_across_users(events):
+    """All pairs: a user's clicks against the starts and completes of every user of the visit."""
+    timeline = [dict(e) for e in events if e["kind"] != "complete"]
+    for e in timeline:
+        e["visit"] = (e["visit"], e["hid"])
+    brute.ordinals(timeline)
+    for e in timeline:
+        e["visit"] = e["visit"][0]
+    order = ("attribute", "container", "placement", "content_id", "series", "brand")
+    out = []
+    for hid in {e["hid"] for e in events}:
+        linked = brute.link(
+            [e for e in timeline if e["kind"] != "start" and e["hid"] == hid],
+            [e for e in timeline if e["kind"] == "start"],
+            brute.click_start_match, "position", "position", lambda e: -e["ordinal"],
+            lambda e: brute._key(*[e[x] for x in order]),
+        )
+        lefts = [
+            dict(visit=c["visit"], click=c, start=s, start_position=s["position"] if s else None,
+                 content_id=s["content_id"] if s else None)
+            for c, s in linked
+        ]
+        watched = brute.link(
+            lefts, [e for e in events if e["kind"] == "complete"],
+            lambda left, right: left["content_id"] is not None and left["content_id"] == right["content_id"],
+            "start_position", "position", lambda left: 0, lambda e: e["position"],
+        )
+        out += [
+            (left["visit"], left["click"]["position"], left["click"]["container"], left["click"]["content_id"],
+             left["start_position"], left["content_id"], right["position"] if right else None)
+            for left, right in watched
+        ]
+    return sorted(out, key=str)
+
+
+def test_click_and_start_of_two_users(spark):
+    events = [click(1, "e1"), dict(start(2, "e1"), hid="other"), dict(event("v", 4, "complete", "e1"), hid="third")]
+    assert [r[1:] for r in run(spark, events)] == [(1, "box", "e1", None, None, None)]
+    assert [r[1:] for r in run(spark, events, across_users=True)] == [(1, "box", "e1", 2, "e1", 4)]
+
+
+def test_adjacent_in_the_timeline_of_another_user(spark):
+    # The deep link is one user's only, so the other's start has the place after the click's.
+    shared = [event("v", 1, "standard", "unknown"), event("v", 2, "standard", "e7"), start(3, "e1")]
+    events = [dict(e, hid=h) for h in ("a", "b") for e in shared if (h, e["position"]) != ("b", 2)]
+    assert [r[4] for r in run(spark, events)] == [3, None, None]
+    assert [r[4] for r in run(spark, events, across_users=True)] == [3, 3, None]
+
+
+@pytest.mark.parametrize("block_size", [10_000, 7, 3])
+@pytest.mark.parametrize("spacing", [[1], [0, 1, 1, 4]])
+def test_random_shared_visits_against_all_pairs(spark, block_size, spacing):
+    rng = random.Random(block_size)
+    events = random_events(block_size * 17 + len(spacing), visits=40, longest=30, ids=5, spacing=spacing)
+    users = [dict(e, hid=h) for e in events for h in ("a", "b", "c") if rng.random() < 0.7]
+    found = run(spark, users, block_size, across_users=True)
+    assert found == expected_across_users(users)
+    assert found != run(spark, users, block_size)

@@ -50,6 +50,7 @@ class Settings:
     lookup_rows    a lookup table is broadcast only if it has at most this many rows
     hot_rows       a join key with more rows than this is spread over `salts` tasks
     drop_backward_only  drop clicks whose matching starts all come earlier
+    link_across_users   link a click to starts and completes of other users of its visit, as the reference does
     keep_unsegmented    keep users without a frequency row for the week, as 'new'
     frequency_groups    (band, group) pairs in place of the default grouping
     """
@@ -61,5 +62,6 @@ class Settings:
     hot_rows: int = 1_000_000
     salts: int = 64
     drop_backward_only: bool = True
+    link_across_users: bool = False
     keep_unsegmented: bool = False
     frequency_groups: tuple[tuple[str, str], ...] = ()

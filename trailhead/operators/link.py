@@ -23,6 +23,8 @@ from .skew import block_of, number_rows
 # The most selective column first: sorts compare it first.
 USER_VISIT = ["visit_id", "hid", "cookie_id", "dt"]
 GROUP = [*USER_VISIT, "wide", "block"]
+# A visit with all its users: one person signs out and another in.
+SHARED_VISIT = ["visit_id", "cookie_id", "dt"]
 
 # Places of a row within its block: carried in from earlier blocks, ordinary, carried in from later ones.
 BEFORE, INSIDE, AFTER = 0, 1, 2
@@ -184,28 +186,69 @@ def click_keys(ordinal: Column) -> Column:
     )
 
 
-def start_keys(ordinal: Column) -> Column:
-    """Match keys of a start: its episode, series and brand ids, and the place just before it."""
+def start_keys(ordinals: Column) -> Column:
+    """Match keys of a start: its episode, series and brand ids, and the place just before each of its own."""
     ids = F.filter(
         F.array(F.col("content_id"), F.col("series_id"), F.col("brand_id")),
         lambda x: x.isNotNull() & (x != c.UNKNOWN),
     )
     named = F.when(F.col("content_id").isNotNull(), F.transform(ids, lambda x: F.concat(F.lit("id:"), x)))
-    adjacent = F.array(F.concat(F.lit("row:"), ordinal - 1))
+    adjacent = F.transform(ordinals, lambda x: F.concat(F.lit("row:"), x - 1))
     return F.array_distinct(F.concat(F.coalesce(named, F.array().cast("array<string>")), adjacent))
 
 
+def seen_by_all(events: DataFrame, lefts: DataFrame, has_wide: bool) -> DataFrame:
+    """Events without a user, each repeated for every user who has a row in `lefts` in the same visit.
+
+    A block's events meet the users by visit and block, so a long visit stays spread out.
+    """
+    users = lefts.select(*SHARED_VISIT, "hid").distinct()
+    if not has_wide:
+        return events.join(users, SHARED_VISIT)
+    blocks = events.select(*SHARED_VISIT, "block").distinct()
+    return events.join(users.join(blocks, SHARED_VISIT), [*SHARED_VISIT, "block"])
+
+
+def starts_of_all(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
+    """A numbered timeline in which every user of a visit has the starts of all its users.
+
+    A start has its place in the timeline of each user it was recorded for: `ordinals` lists them, so
+    a click of one user can be adjacent to a start in the timeline of another. `ordinal` of a start
+    orders the starts at one position, by attribute, container, placement, content, series and brand.
+    """
+    is_start = F.col("kind") == "start"
+    clicks = timeline.filter(~is_start).withColumn("ordinals", F.array("ordinal"))
+    event = ["attribute", "container", "placement", "content_id", "series_id", "brand_id"]
+    place = [*SHARED_VISIT, "block", "wide", "event_position"]
+    starts = (
+        timeline.filter(is_start)
+        .groupBy(*place, *event)
+        .agg(F.collect_set("ordinal").alias("ordinals"))
+        .withColumn("ordinal", F.row_number().over(Window.partitionBy(*place).orderBy(*event)).cast("long"))
+        .withColumn("kind", F.lit("start"))
+    )
+    both = clicks.unionByName(seen_by_all(starts, clicks, has_wide), allowMissingColumns=True)
+    return both if has_wide else both.repartition(*USER_VISIT, "block")
+
+
 def link_clicks_to_starts(
-    timeline: DataFrame, has_wide: bool = True, drop_backward_only: bool = True
+    timeline: DataFrame, has_wide: bool = True, drop_backward_only: bool = True, across_users: bool = False
 ) -> DataFrame:
-    """Clicks of a numbered timeline, each with the start it led to."""
+    """Clicks of a numbered timeline, each with the start it led to.
+
+    With `across_users` the start may be any user's of the visit, as in the reference, whose join leaves
+    the user out. Ordinals and the choice of the nearest remain each user's own.
+    """
+    if across_users:
+        timeline = starts_of_all(timeline, has_wide)
     is_right = F.col("kind") == "start"
     event = F.struct("attribute", "container", "placement", "content_id")
     ordinal = F.col("ordinal")
+    ordinals = F.col("ordinals") if across_users else F.array(ordinal)
     rows = timeline.select(
         *GROUP,
         F.col("event_position").alias("position"),
-        F.explode(F.when(is_right, start_keys(ordinal)).otherwise(F.array(click_keys(ordinal)))).alias("key"),
+        F.explode(F.when(is_right, start_keys(ordinals)).otherwise(F.array(click_keys(ordinal)))).alias("key"),
         is_right.alias("is_right"),
         ordinal.alias("tie"),
         F.when(~is_right, event).alias("left"),
@@ -228,12 +271,21 @@ def link_clicks_to_starts(
 
 
 def link_starts_to_completes(
-    clicks: DataFrame, completes: DataFrame, block_size: int, has_wide: bool = True, drop_backward_only: bool = True
+    clicks: DataFrame,
+    completes: DataFrame,
+    block_size: int,
+    has_wide: bool = True,
+    drop_backward_only: bool = True,
+    across_users: bool = False,
 ) -> DataFrame:
     """Linked clicks, each with the complete of the content it started.
 
-    Clicks without a start have no content id, so they match nothing and pass through.
+    Clicks without a start have no content id, so they match nothing and pass through. With
+    `across_users` the complete may be any user's of the visit.
     """
+    if across_users:
+        once = [*SHARED_VISIT, "block", "wide", "event_position", "attribute", "content_id"]
+        completes = seen_by_all(completes.select(*once).distinct(), clicks, has_wide)
     carried = [x for x in clicks.columns if x not in (*USER_VISIT, "wide")]
     started = F.coalesce("content_start_event_position", "click_event_position")
     block = block_of(started, block_size) if has_wide else F.lit(0).cast("long")

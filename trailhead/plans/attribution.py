@@ -48,7 +48,10 @@ def timeline(prepared: Prepared, settings: Settings, exclude_titles: bool) -> Da
 
 def linked_starts(prepared: Prepared, settings: Settings, exclude_titles: bool) -> DataFrame:
     linked = ln.link_clicks_to_starts(
-        timeline(prepared, settings, exclude_titles), prepared.has_wide, settings.drop_backward_only
+        timeline(prepared, settings, exclude_titles),
+        prepared.has_wide,
+        settings.drop_backward_only,
+        settings.link_across_users,
     )
     return materialise(linked, "starts") if prepared.has_wide else linked
 
@@ -60,6 +63,7 @@ def linked_completes(prepared: Prepared, settings: Settings, exclude_titles: boo
         settings.block_size,
         prepared.has_wide,
         settings.drop_backward_only,
+        settings.link_across_users,
     )
     return materialise(linked, "completes") if prepared.has_wide else linked
 

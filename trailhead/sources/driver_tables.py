@@ -159,6 +159,14 @@ def visits(weeks: DataFrame) -> DataFrame:
     )
 
 
+def shared_visits(weeks: DataFrame) -> DataFrame:
+    """Visits in which, for every third user, the next user is signed in as well."""
+    next_user = weeks.filter("user_id % 3 = 0").selectExpr(
+        "destination", "dt", "cookie_id", "visit_id", "cast(user_id + 1 as string) AS audience_id"
+    )
+    return visits(weeks).unionByName(next_user)
+
+
 def profile(customer: DataFrame) -> DataFrame:
     return customer.selectExpr(
         "cast(c_custkey as string) AS hid", "cast(CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 60 END as int) AS age"
@@ -197,10 +205,10 @@ def arm_assignments(customer: DataFrame) -> DataFrame:
 
 
 def driver_inputs(
-    spark: SparkSession, folder: str, settings: Settings = SETTINGS, stage: bool = False
+    spark: SparkSession, folder: str, settings: Settings = SETTINGS, stage: bool = False, shared: bool = False
 ) -> Inputs:
     """All inputs of the journey builder. `stage` writes the tracked events once, for plans that read
-    hits or URL events more than once."""
+    hits or URL events more than once; `shared` gives visits a second user."""
     events, customer = _read(spark, folder, "events"), _read(spark, folder, "customer")
     tracked, weeks = _tracked(_numbered(events, settings)), _user_weeks(events)
     if stage:
@@ -208,7 +216,7 @@ def driver_inputs(
     return Inputs(
         hits=_hits(tracked),
         activity=activity(weeks),
-        visits=visits(weeks),
+        visits=shared_visits(weeks) if shared else visits(weeks),
         url_events=_url_events(tracked),
         profile=profile(customer),
         weekly_frequency=weekly_frequency(customer),
