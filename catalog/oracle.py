@@ -253,11 +253,18 @@ for _name in _SHARED:
         CTES[_name],
     )
     if "candidates" in _name:
+        # An event recorded for several users is one candidate.
         _sql = _sql.replace(" AND a.hid = s.hid", "").replace(" AND a.hid = w.hid", "")
+        if "watch" in _name:
+            _once = "SELECT DISTINCT dt, cookie_id, visit_id, event_position, attribute, content_id FROM completes_shared"
+            _sql = _sql.replace("JOIN completes_shared w", f"JOIN ({_once}) w")
+        else:
+            _sql = _sql.replace("SELECT", "SELECT DISTINCT", 1)
+            _sql = _sql.replace("s.ordinal AS s_ordinal,", "s.series_id, s.brand_id,")
     # Of starts at one position the first by what it is: their ordinals differ between users.
     CTES[f"{_name}_shared"] = _sql.replace(
         "ordinal DESC, s_ordinal", "ordinal DESC, s_attribute NULLS FIRST, s_container NULLS FIRST, "
-        "s_placement NULLS FIRST, content_id NULLS FIRST"
+        "s_placement NULLS FIRST, content_id NULLS FIRST, series_id NULLS FIRST, brand_id NULLS FIRST"
     ).replace("s.placement AS s_placement", "s.container AS s_container, s.placement AS s_placement")
 
 CTES["playback"] = f"""SELECT *, {_page_type('click_placement')} AS page_type,

@@ -73,6 +73,7 @@ def test_query_matches_sql(spark, oracle, name):
         "final_no_title",
         "funnel",
         "module_impressions",
+        "shared_starts_linked_completes",
     ],
 )
 def test_query_matches_sql_when_everything_is_skewed(spark, oracle, monkeypatch, name):
