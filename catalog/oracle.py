@@ -126,6 +126,10 @@ CTES["population"] = """SELECT DISTINCT v.destination, v.dt, v.cookie_id, v.visi
     JOIN profile p ON b.audience_id = p.hid
     JOIN frequency f ON p.hid = f.hid AND CAST(date_trunc('week', strptime(v.dt, '%Y%m%d')) AS DATE) = f.week
     LEFT JOIN arms a ON p.hid = a.hid"""
+CTES["frequency_groups"] = """SELECT DISTINCT frequency_band AS band, 'early-' || left(frequency_band, 1) AS name,
+    DATE '0001-01-01' AS valid_from, DATE '2024-01-14' AS valid_to FROM frequency WHERE frequency_band < 'D'
+  UNION ALL SELECT DISTINCT frequency_band, 'late-' || left(frequency_band, 1), DATE '2024-01-15', DATE '9999-12-31'
+    FROM frequency WHERE frequency_band < 'D'"""
 CTES["module_impressions"] = f"""SELECT DISTINCT b.dt, b.cookie_id, b.hid, b.platform, b.age_range, b.visit_id,
     {LIKED} AS container
   FROM hits a JOIN population b ON a.destination = b.destination AND a.dt = b.dt AND a.visit_id = b.visit_id
@@ -427,6 +431,12 @@ FIRST_FINAL = ", ".join(
 SELECTS = {
     "visit_platforms": "SELECT * FROM visit_platforms",
     "signed_in_population": f"SELECT {POPULATION} FROM population",
+    "timed_frequency_groups": """SELECT frequency_band, CASE WHEN frequency_band = 'new' THEN 'new'
+      ELSE coalesce(name, 'other') END AS frequency_group, count(DISTINCT visit_id) AS num_visits,
+    min(dt) AS first_dt, max(dt) AS last_dt
+  FROM population LEFT JOIN frequency_groups ON frequency_band = band
+    AND CAST(date_trunc('week', strptime(dt, '%Y%m%d')) AS DATE) BETWEEN valid_from AND valid_to
+  GROUP BY ALL""",
     "population_dates": "SELECT DISTINCT dt FROM population",
     "module_impressions": "SELECT * FROM module_impressions",
     "catalogue_snapshot": "SELECT * FROM catalogue",

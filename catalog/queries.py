@@ -131,6 +131,17 @@ def population_dates(spark, folder):
     return ex.population_dates(pop.population_blocks(_Run(spark, folder).raw, SETTINGS))
 
 
+@_query
+def timed_frequency_groups(spark, folder):
+    """Visits per group, from a table in which groups change over time."""
+    inputs = dt.driver_inputs(spark, folder, SETTINGS)
+    timed = replace(inputs, frequency_groups=dt.frequency_groups(inputs.weekly_frequency))
+    people = pop.population_blocks(timed, SETTINGS)
+    return people.groupBy("frequency_band", "frequency_group").agg(
+        F.count_distinct("visit_id").alias("num_visits"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt")
+    )
+
+
 @_query
 def module_impressions(spark, folder):
     staged = _Run(spark, folder).staged

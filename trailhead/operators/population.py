@@ -9,7 +9,8 @@ from ..config import DateWindow, Settings
 from ..functions import classify as fn
 from ..sources.stages import materialise
 from ..sources.tables import Inputs
-from .skew import block_of, hot_keys, spread_join
+from .mappings import valid_per_week
+from .skew import block_of, hot_keys, lookup_join, spread_join
 
 RAW_VISIT = ["dt", "cookie_id", "visit_id"]
 
@@ -33,20 +34,23 @@ def user_weeks(
     weekly_frequency: DataFrame,
     arms: DataFrame | None = None,
     keep_unsegmented: bool = False,
-    groups: dict[str, str] | None = None,
+    groups: dict[str, str] | DataFrame | None = None,
+    lookup_rows: int = 1_000_000,
+    salts: int = 64,
 ) -> DataFrame:
     """Age range, frequency band and, if given, the experiment arm per user and week.
 
+    `groups` maps bands to groups: pairs, or a table of frequency_band, week and frequency_group.
     A user with no frequency row for a week is dropped unless `keep_unsegmented`; their `week` is then NULL.
     """
     # Distinct before the joins, so that copies of a user's rows do not multiply.
     users = profile.select("hid", fn.age_band(F.col("age")).alias("age_range")).distinct()
-    bands = weekly_frequency.select(
-        "hid",
-        F.col("date_of_segmentation").alias("week"),
-        fn.frequency_band(F.col("frequency_band")).alias("frequency_band"),
-        fn.frequency_group(F.col("frequency_band"), groups).alias("frequency_group"),
-    ).distinct()
+    raw = weekly_frequency.select("hid", F.col("date_of_segmentation").alias("week"), "frequency_band")
+    if isinstance(groups, DataFrame):
+        raw = _with_group(raw.distinct(), groups, lookup_rows, salts)
+    else:
+        raw = raw.withColumn("frequency_group", fn.frequency_group(F.col("frequency_band"), groups))
+    bands = raw.withColumn("frequency_band", fn.frequency_band(F.col("frequency_band"))).distinct()
     out = users.join(bands, "hid", "left" if keep_unsegmented else "inner")
     if arms is None:
         return out
@@ -54,6 +58,15 @@ def user_weeks(
     return assigned.withColumn("exp_group", F.coalesce("exp_group", F.lit("unknown")))
 
 
+def _with_group(bands: DataFrame, groups: DataFrame, lookup_rows: int, salts: int) -> DataFrame:
+    """The group of each band in its week; few bands have most rows, so a large table is joined salted."""
+    key = F.struct("frequency_band", "week")
+    named = groups.select(key.alias("_key"), "frequency_group")
+    joined = lookup_join(bands.withColumn("_key", key), named, "_key", ["hid"], lookup_rows, salts).drop("_key")
+    group = F.when(F.col("frequency_band").isNull(), "new").otherwise(F.coalesce("frequency_group", F.lit("other")))
+    return joined.withColumn("frequency_group", group)
+
+
 def in_weeks(weekly_frequency: DataFrame, window: DateWindow) -> DataFrame:
     """The weeks that overlap the window; the table holds all of history."""
     first, last = fn.week_of(F.lit(window.first)), fn.week_of(F.lit(window.last))
@@ -107,12 +120,17 @@ def population_blocks(inputs: Inputs, settings: Settings) -> DataFrame:
         spread_by=["cookie_id", "hid", "block"],
         salts=settings.salts,
     )
+    groups: dict[str, str] | DataFrame | None = dict(settings.frequency_groups) or None
+    if inputs.frequency_groups is not None:
+        groups = valid_per_week(inputs.frequency_groups, "frequency_band", "frequency_group", settings.window)
     users = user_weeks(
         inputs.profile,
         in_weeks(inputs.weekly_frequency, settings.window),
         inputs.arm_assignments,
         settings.keep_unsegmented,
-        dict(settings.frequency_groups) or None,
+        groups,
+        settings.lookup_rows,
+        settings.salts,
     )
     if settings.keep_unsegmented:
         users = _every_week(users, with_platform)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import classify as fn
+from ..operators.skew import lookup_join
 
 
 def totals(users: str = "hid") -> list[Column]:
@@ -18,15 +19,19 @@ def totals(users: str = "hid") -> list[Column]:
     ]
 
 
-def with_page_type(df: DataFrame, placement: str, mapping: DataFrame | None = None) -> DataFrame:
+def with_page_type(
+    df: DataFrame, placement: str, mapping: DataFrame | None = None, lookup_rows: int = 1_000_000, salts: int = 64
+) -> DataFrame:
     """Add `page_type`: from a mapping table of (placement, page_type) if given, else by pattern rules.
 
-    Of several types for one placement the first in order counts.
+    Of several types for one placement the first in order counts. The home page may have most of the rows:
+    a mapping of more than `lookup_rows` placements is joined salted.
     """
     if mapping is None:
         return df.withColumn("page_type", fn.page_type(F.col(placement)))
     named = mapping.groupBy(F.col("placement").alias(placement)).agg(F.min("page_type").alias("page_type"))
-    return df.join(named, placement, "left").withColumn("page_type", F.coalesce("page_type", F.lit("other")))
+    joined = lookup_join(df, named, placement, ["hid", "visit_id"], lookup_rows, salts)
+    return joined.withColumn("page_type", F.coalesce("page_type", F.lit("other")))
 
 
 def on_home(journeys: DataFrame) -> DataFrame:

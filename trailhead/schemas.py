@@ -30,6 +30,7 @@ INPUTS = {
         "series_id:string episode_id:string episode_title:string genre:string"
     ),
     "arm_assignments": _struct("hid:string exp_group:string"),
+    "frequency_groups": _struct("frequency_band:string frequency_group:string valid_from:date valid_to:date"),
     "page_journeys": _struct(
         "destination:string app_type:string dt:string visit_id:string hid:string page_name_sequence:string "
         "page_sequence:string content_id_sequence:string"

@@ -183,6 +183,15 @@ def weekly_frequency(customer: DataFrame) -> DataFrame:
     )
 
 
+def frequency_groups(weekly: DataFrame) -> DataFrame:
+    """Groups of the daily and weekly bands, which change their names in the middle of January."""
+    periods = """stack(2, concat('early-', left(frequency_band, 1)), cast(null AS date), date'2024-01-14',
+        concat('late-', left(frequency_band, 1)), date'2024-01-15', cast(null AS date))
+        AS (frequency_group, valid_from, valid_to)"""
+    bands = weekly.filter("frequency_band < 'D'").select("frequency_band").distinct()
+    return bands.selectExpr("frequency_band", periods)
+
+
 def catalogue(part: DataFrame) -> DataFrame:
     series, brand = "p_partkey div 2", "p_partkey div 4"
     # Some parts have no episode id, and match nothing.

@@ -54,6 +54,7 @@ class Inputs:
     weekly_frequency: DataFrame
     catalogue: DataFrame
     arm_assignments: DataFrame | None = None
+    frequency_groups: DataFrame | None = None
 
     def scoped(self, settings: Settings) -> "Inputs":
         """The same tables, with the dated ones cut to the window and the product."""
