@@ -587,6 +587,7 @@ for _name, _query in (("rec", "hop_funnel"), ("watch", "hop_funnel_watching")):
         SELECTS[_query + _suffix] = (
             f"SELECT click_placement, {TOTALS} FROM {_name}_{_path}_outcomes GROUP BY 1"
         )
+SELECTS["arm_exports"] = f"SELECT * FROM ({SELECTS['user_results']}) r WHERE exp_group IN ('control', 'variation_1')"
 
 
 def _sources(sql: str) -> set[str]:

@@ -16,7 +16,7 @@ from trailhead.plans import attribution as at
 from trailhead.plans import experiment as ex
 from trailhead.plans import reach, reports
 from trailhead.sources import driver_tables as dt
-from trailhead.sources.stages import materialise
+from trailhead.sources.stages import export_arms, materialise, stage_path
 from trailhead.sources.tables import catalogue_snapshot, scoped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,6 +416,14 @@ def engagement_groups(spark, folder):
     return ex.engagement_groups(run.people, run.skipping)
 
 
+@_query
+def arm_exports(spark, folder):
+    """User results of two arms, written to a folder per arm and read back."""
+    run = _Run(spark, folder)
+    results = ex.user_results(run.people, run.skipping)
+    return export_arms(results, stage_path(spark, "arms"), ("control", "variation_1"))
+
+
 # Page sequences
 
 

@@ -329,7 +329,8 @@ def test_user_results_and_export(spark, tmp_path):
     )
     results = ex.user_results(people, journeys)
     assert {r.hid: (r.num_starts, r.num_watched) for r in results.collect()} == {"u1": (1, 1), "u2": (0, 0)}
-    stages.export_arms(results, f"{tmp_path}/arms", ("control",))
+    exported = stages.export_arms(results, f"{tmp_path}/arms", ("control",))
+    assert sorted(exported.columns) == sorted(results.columns) and exported.count() == 1
     assert spark.read.parquet(f"{tmp_path}/arms").select("hid", "exp_group").collect() == [("u1", "control")]
 
 

@@ -15,10 +15,11 @@ def write_stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def export_arms(results: DataFrame, path: str, arms: tuple[str, ...] | None = None) -> None:
-    """One folder per experiment arm, all written by one job."""
+def export_arms(results: DataFrame, path: str, arms: tuple[str, ...] | None = None) -> DataFrame:
+    """One folder per experiment arm, all written by one job; returned read back, so that a filter on
+    `exp_group` opens only that arm's folder. Arms that are not asked for are not written."""
     chosen = results if arms is None else results.filter(F.col("exp_group").isin(*arms))
-    chosen.write.mode("overwrite").partitionBy("exp_group").parquet(path)
+    return write_stage(chosen, path, ("exp_group",))
 
 
 def stage_folder(spark: SparkSession) -> str | None:
@@ -35,12 +36,17 @@ def _app_folder(spark: SparkSession, folder: str) -> str:
     return f"{folder.rstrip('/')}/trailhead/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Compute a stage that several later steps read once, as columnar files that outlive any executor."""
-    folder = stage_folder(df.sparkSession)
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one stage of this application."""
+    folder = stage_folder(spark)
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return write_stage(df, f"{_app_folder(df.sparkSession, folder)}/{name}-{uuid.uuid4().hex}")
+    return f"{_app_folder(spark, folder)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Compute a stage that several later steps read once, as columnar files that outlive any executor."""
+    return write_stage(df, stage_path(df.sparkSession, name))
 
 
 def drop_stages(spark: SparkSession) -> None:
