@@ -478,6 +478,7 @@ SELECTS = {
   UNION ALL SELECT 'title_pages_kept', count(DISTINCT hid) FROM final_b
   UNION ALL SELECT 'population', count(DISTINCT hid) FROM population
   UNION ALL SELECT 'module_impressions', count(DISTINCT hid) FROM module_impressions""",
+    "sketched_module_users": "SELECT click_container, count(DISTINCT hid) AS num_si_users FROM final_b GROUP BY 1",
     "distinct_visits": """SELECT 'title_pages_skipped' AS source, count(DISTINCT dt || visit_id) AS num_visits FROM final_a
   UNION ALL SELECT 'title_pages_kept', count(DISTINCT dt || visit_id) FROM final_b""",
     "visits_by_frequency": "SELECT frequency_band, count(DISTINCT dt || visit_id) AS num_visits FROM final_a GROUP BY 1",

@@ -14,7 +14,7 @@ from trailhead.operators import population as pop
 from trailhead.operators import sequence as sq
 from trailhead.plans import attribution as at
 from trailhead.plans import experiment as ex
-from trailhead.plans import reach, reports
+from trailhead.plans import reach, reports, sketches
 from trailhead.sources import driver_tables as dt
 from trailhead.sources.stages import export_arms, materialise, stage_path
 from trailhead.sources.tables import catalogue_snapshot, scoped
@@ -325,6 +325,13 @@ def distinct_users(spark, folder):
     )
 
 
+@_query
+def sketched_module_users(spark, folder):
+    """Users per container from daily sketches, which are stored and merged."""
+    daily = materialise(sketches.daily_sketches(_Run(spark, folder).keeping, ["click_container"]), "sketches")
+    return sketches.merged_users(daily, ["click_container"], SETTINGS.window)
+
+
 @_query
 def distinct_visits(spark, folder):
     run = _Run(spark, folder)
