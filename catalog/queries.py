@@ -16,7 +16,7 @@ from trailhead.plans import attribution as at
 from trailhead.plans import experiment as ex
 from trailhead.plans import reach, reports, sketches
 from trailhead.sources import driver_tables as dt
-from trailhead.sources.stages import export_arms, materialise, stage_path
+from trailhead.sources.stages import export_arms, materialise, stage_path, write_stage
 from trailhead.sources.tables import catalogue_snapshot, scoped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,17 @@ class _Run:
         """Journeys with title pages kept."""
         return at.build_journeys(self.prepared, SETTINGS, exclude_titles=False)
 
+    @property
+    def both(self) -> DataFrame:
+        """Journeys of both variants from one pass, with the column variant."""
+        return at.build_both(self.prepared, SETTINGS)
+
+    @property
+    def written(self) -> tuple[DataFrame, DataFrame]:
+        """Journeys with title pages skipped and kept, built in one pass and written once, in a folder each."""
+        path = stage_path(self.spark, "journeys")
+        return at.variants(write_stage(self.both, path, ("variant",)))
+
     @property
     def people(self) -> DataFrame:
         return pop.signed_in_population(self.prepared.population)
@@ -103,12 +114,12 @@ class _Run:
         """Rows of source and hid. One hop search serves both pages, one written stage two sources."""
         page = F.when(F.col("family").startswith("rec"), "recommendations_page").otherwise("watching_page")
         found = self.hops(FAMILIES).select(page.alias("source"), "hid")
-        keeping = materialise(self.keeping, "journeys")
+        skipping, keeping = self.written
         return [
             found,
             reach.tagged("title_page_cta", reports.cta_with_clicks(keeping, self.clicks)),
             reach.tagged("end_of_playback", reports.playback_journeys(keeping)),
-            reach.tagged("homepage_modules", reports.module_journeys(self.skipping)),
+            reach.tagged("homepage_modules", reports.module_journeys(skipping)),
         ]
 
 
@@ -285,14 +296,12 @@ def home_containers(spark, folder):
 
 @_query
 def path_comparison(spark, folder):
-    run = _Run(spark, folder)
-    return reports.compare_paths(run.skipping, run.keeping)
+    return reports.compare_variants(_Run(spark, folder).both)
 
 
 @_query
 def via_title_difference(spark, folder):
-    run = _Run(spark, folder)
-    return reports.via_title_difference(run.skipping, run.keeping)
+    return reports.variant_difference(_Run(spark, folder).both)
 
 
 @_query
@@ -315,10 +324,11 @@ def cta_funnel_compat(spark, folder):
 @_query
 def distinct_users(spark, folder):
     run = _Run(spark, folder)
+    skipping, keeping = run.written
     return reports.distinct_users(
         {
-            "title_pages_skipped": run.skipping,
-            "title_pages_kept": run.keeping,
+            "title_pages_skipped": skipping,
+            "title_pages_kept": keeping,
             "population": run.people,
             "module_impressions": run.impressions,
         }
@@ -334,8 +344,8 @@ def sketched_module_users(spark, folder):
 
 @_query
 def distinct_visits(spark, folder):
-    run = _Run(spark, folder)
-    return reports.distinct_visits({"title_pages_skipped": run.skipping, "title_pages_kept": run.keeping})
+    skipping, keeping = _Run(spark, folder).written
+    return reports.distinct_visits({"title_pages_skipped": skipping, "title_pages_kept": keeping})
 
 
 @_query
@@ -591,13 +601,13 @@ def reach_share(spark, folder):
 def reach_measures(spark, folder):
     """Users of each entry point, home page modules apart, who clicked, started and completed."""
     run = _Run(spark, folder)
-    keeping = materialise(run.keeping, "journeys")
+    skipping, keeping = run.written
     flags = ["hid", "start_flag", "watched_flag"]
     hops = run.outcomes(run.hops({x: p for x, p in FAMILIES.items() if x.startswith("rec")}), "rec_page").select(
         F.lit("recommendations_page").alias("source"), *flags
     )
     watching = run.outcomes(run.hops({x: p for x, p in FAMILIES.items() if x.startswith("watch")}), c.WATCHING_PAGE)
-    modules = reports.module_journeys(run.skipping).select(F.concat(F.lit("homepage:"), "click_container").alias("source"), *flags)
+    modules = reports.module_journeys(skipping).select(F.concat(F.lit("homepage:"), "click_container").alias("source"), *flags)
     playback = reports.playback_journeys(keeping).select(F.lit("end_of_playback").alias("source"), *flags)
     cta = reports.cta_with_clicks(keeping, run.clicks).select(F.lit("title_page_cta").alias("source"), *flags)
     rows = hops.unionByName(watching.select(F.lit("watching_page").alias("source"), *flags))

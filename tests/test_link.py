@@ -203,6 +203,45 @@ def test_link_plan_has_one_exchange_per_link(spark):
     assert len(by_visit) == 1, plan
 
 
+def variant_rows(spark, events, block_size):
+    """Both variants in one pass, and each of them by itself."""
+    df = materialise(frame(spark, events, block_size), "events")
+    has_wide = bool(df.filter("wide").head(1))
+    completes, rest = df.filter("kind = 'complete'"), df.filter("kind <> 'complete'")
+    names = (ln.ALL_PATHS, ln.DIRECT)
+    starts = ln.link_clicks_to_starts(ln.both_timelines(rest, has_wide), has_wide, apart=("variant",))
+    both = ln.link_starts_to_completes(materialise(starts, "both"), completes, block_size, has_wide, variants=names)
+    off_title = F.coalesce((F.col("kind") != "standard") | ~F.col("placement").ilike("%tleo%"), F.lit(False))
+    apart = []
+    for name, rows in zip(names, (rest.filter(off_title), rest)):
+        linked = materialise(ln.link_clicks_to_starts(ln.timeline_ordinals(rows, has_wide), has_wide), "one")
+        one = ln.link_starts_to_completes(linked, completes, block_size, has_wide)
+        apart.append(one.withColumn("variant", F.lit(name)).select(*both.columns))
+    return [sorted(map(tuple, x.collect()), key=str) for x in (both, apart[0].unionByName(apart[1]))]
+
+
+@pytest.mark.parametrize("block_size", [10_000, 7, 3])
+@pytest.mark.parametrize("spacing", [[1], [0, 1, 1, 4]])
+def test_both_variants_in_one_pass(spark, block_size, spacing):
+    events = random_events(block_size + len(spacing), visits=40, longest=40, ids=5, spacing=spacing)
+    rng = random.Random(block_size)
+    for e in events:
+        e["placement"] = rng.choice(["iplayer.tleo.page", "page", "page", None])
+    together, apart = variant_rows(spark, events, block_size)
+    assert together == apart and {r[-1] for r in together} != set()
+    assert len({str(r) for r in together}) > 100
+
+
+def test_both_variants_take_one_exchange_per_link(spark):
+    df = frame(spark, [click(1, "e1"), start(2, "e1"), event("v", 5, "complete", "e1")], 10_000)
+    rest, completes = df.filter("kind <> 'complete'"), df.filter("kind = 'complete'")
+    starts = ln.link_clicks_to_starts(ln.both_timelines(rest, False), False, apart=("variant",))
+    both = ln.link_starts_to_completes(starts, completes, 10_000, False, variants=(ln.ALL_PATHS, ln.DIRECT))
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    by_visit = [x for x in plan.splitlines() if "Exchange" in x and "block" in x]
+    assert len(by_visit) == 2, plan
+
+
 def test_lookup_join_paths_agree(spark):
     rows = [(f"e{i % 4}" if i % 7 else None, i) for i in range(200)]
     df = spark.createDataFrame(rows, "content_id string, n int")

@@ -72,6 +72,9 @@ def test_query_matches_sql(spark, oracle, name):
         "starts_linked_completes",
         "final_no_title",
         "funnel",
+        "path_comparison",
+        "via_title_difference",
+        "distinct_users",
         "module_impressions",
         "shared_starts_linked_completes",
     ],

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import classify as fn
-from .skew import block_of, number_rows
+from .skew import block_of, count_rows, number_rows
 
 # The most selective column first: sorts compare it first.
 USER_VISIT = ["visit_id", "hid", "cookie_id", "dt"]
@@ -26,13 +26,15 @@ GROUP = [*USER_VISIT, "wide", "block"]
 # A visit with all its users: one person signs out and another in.
 SHARED_VISIT = ["visit_id", "cookie_id", "dt"]
 
+# The two journey variants: title pages skipped, so that all paths count, and title pages kept.
+ALL_PATHS, DIRECT = "all_paths", "direct"
+
 # Places of a row within its block: carried in from earlier blocks, ordinary, carried in from later ones.
 BEFORE, INSIDE, AFTER = 0, 1, 2
 
 
-def timeline_ordinals(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
-    """Number the clicks and starts of each visit by position; at one position clicks come first."""
-    order = [
+def _timeline_order() -> list[Column]:
+    return [
         F.col("event_position"),
         F.col("kind") == "start",
         F.col("attribute"),
@@ -40,18 +42,45 @@ def timeline_ordinals(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
         F.col("placement"),
         F.col("content_id"),
     ]
+
+
+def timeline_ordinals(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
+    """Number the clicks and starts of each visit by position; at one position clicks come first."""
+    order = _timeline_order()
     if has_wide:
         return number_rows(timeline, USER_VISIT, "block", "wide", order, "ordinal")
     # Partitioned on the visit alone, so that every later window on a visit reuses this exchange.
     return number_rows(timeline.repartition(*USER_VISIT, "block"), USER_VISIT, "block", None, order, "ordinal")
 
 
+def both_timelines(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
+    """The numbered timelines of both journey variants, told apart by the column `variant`.
+
+    `timeline` holds clicks with title pages kept. What the variant without title pages leaves out is
+    not counted in its ordinals, so both numbers are running counts over one order: rows are doubled
+    only behind the exchange. The result is distributed as that of `timeline_ordinals`.
+    """
+    counted = (F.col("kind") != "standard") | fn.is_off_title_page(F.col("placement"))
+    timeline = timeline.withColumn("counted", F.coalesce(counted, F.lit(False)))
+    steps = {"ordinal": F.lit(1), "skipping": F.col("counted").cast("int")}
+    if has_wide:
+        numbered = count_rows(timeline, USER_VISIT, "block", "wide", _timeline_order(), steps)
+    else:
+        at_hand = timeline.repartition(*USER_VISIT, "block")
+        numbered = count_rows(at_hand, USER_VISIT, "block", None, _timeline_order(), steps)
+    skipping = F.struct(F.lit(ALL_PATHS).alias("variant"), F.col("skipping").alias("ordinal"))
+    keeping = F.struct(F.lit(DIRECT).alias("variant"), F.col("ordinal"))
+    found = F.array_compact(F.array(keeping, F.when(F.col("counted"), skipping)))
+    rest = [x for x in timeline.columns if x != "counted"]
+    return numbered.withColumn("found", F.explode(found)).select(*rest, "found.*")
+
+
 # One scan per match key: by position, left events before right ones at the same position.
-SCAN = f"""PARTITION BY {", ".join(GROUP)}, key ORDER BY edge, position, is_right, tie"""
+SCAN_ORDER = "ORDER BY edge, position, is_right, tie"
 RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def _scan(rows: DataFrame) -> DataFrame:
+def _scan(rows: DataFrame, group: list[str]) -> DataFrame:
     """Nearest events on the other side.
 
     `before`        for a right event, the last left event up to it
@@ -61,12 +90,13 @@ def _scan(rows: DataFrame) -> DataFrame:
     """
     left_here = f"edge = {BEFORE} AND tie IS NOT NULL OR edge = {INSIDE} AND NOT is_right"
     right_here = f"edge = {BEFORE} AND seen_right OR edge = {INSIDE} AND is_right"
+    scan = f"PARTITION BY {', '.join(group)}, key {SCAN_ORDER}"
     scanned = rows.selectExpr(
         "*",
-        f"last(CASE WHEN {left_here} THEN struct(position, tie) END, true) OVER ({SCAN} {RUNNING}) AS before",
-        f"max({right_here}) OVER ({SCAN} {RUNNING}) AS right_before",
+        f"last(CASE WHEN {left_here} THEN struct(position, tie) END, true) OVER ({scan} {RUNNING}) AS before",
+        f"max({right_here}) OVER ({scan} {RUNNING}) AS right_before",
         f"lead(CASE WHEN is_right AND edge <> {BEFORE} THEN struct(position, tie, right) END) IGNORE NULLS "
-        f"OVER ({SCAN}) AS after",
+        f"OVER ({scan}) AS after",
     )
     return scanned.filter(F.col("edge") != BEFORE).selectExpr(
         *[x for x in rows.columns if x != "pair"],
@@ -77,16 +107,20 @@ def _scan(rows: DataFrame) -> DataFrame:
     )
 
 
-def _carried_from_earlier(wide: DataFrame) -> DataFrame:
+def _without_block(group: list[str]) -> list[str]:
+    return [x for x in group if x != "block"]
+
+
+def _carried_from_earlier(wide: DataFrame, group: list[str]) -> DataFrame:
     """For each block and key: the last left event of earlier blocks, and whether they had a right one."""
     across = (
-        Window.partitionBy(*USER_VISIT, "wide", "key")
+        Window.partitionBy(*_without_block(group), "key")
         .orderBy("block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     last_left = F.max(F.when(~F.col("is_right"), F.struct("position", "tie")))
     return (
-        wide.groupBy(*GROUP, "key")
+        wide.groupBy(*group, "key")
         .agg(last_left.alias("last_left"), F.max("is_right").alias("has_right"))
         .withColumns(
             {
@@ -96,43 +130,47 @@ def _carried_from_earlier(wide: DataFrame) -> DataFrame:
         )
         .filter(F.col("carried").isNotNull() | F.col("seen_right"))
         .select(
-            *GROUP, "key", F.lit(BEFORE).alias("edge"), F.lit(False).alias("is_right"), "seen_right", "carried.*"
+            *group, "key", F.lit(BEFORE).alias("edge"), F.lit(False).alias("is_right"), "seen_right", "carried.*"
         )
     )
 
 
-def _carried_from_later(scanned: DataFrame) -> DataFrame:
+def _carried_from_later(scanned: DataFrame, group: list[str]) -> DataFrame:
     """For each block and key: the first right event of later blocks, with the best pair of its slot."""
     across = (
-        Window.partitionBy(*USER_VISIT, "wide", "key")
+        Window.partitionBy(*_without_block(group), "key")
         .orderBy(F.col("block").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    slot = Window.partitionBy(*GROUP, "is_right", "position")
+    slot = Window.partitionBy(*group, "is_right", "position")
     first_right = F.min(F.when(F.col("is_right"), F.struct("position", "tie", "right", "pair")))
     return (
         scanned.withColumn("pair", F.min("pair").over(slot))
-        .groupBy(*GROUP, "key")
+        .groupBy(*group, "key")
         .agg(first_right.alias("first_right"))
         .withColumn("carried", F.last("first_right", ignorenulls=True).over(across))
         .filter(F.col("carried").isNotNull())
-        .select(*GROUP, "key", F.lit(AFTER).alias("edge"), F.lit(True).alias("is_right"), "carried.*")
+        .select(*group, "key", F.lit(AFTER).alias("edge"), F.lit(True).alias("is_right"), "carried.*")
     )
 
 
-def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: bool = True) -> DataFrame:
+def link_nearest(
+    rows: DataFrame, has_wide: bool = True, drop_backward_only: bool = True, apart: tuple[str, ...] = ()
+) -> DataFrame:
     """Left rows with their linked right row.
 
     `rows`: the columns of GROUP, position, key, is_right, tie, and the structs left and right, one of
     them NULL; a right event has one row per match key. Among events at one position, `tie` orders them
     in time: at equal distance the later left and the earlier right event are nearest. With
     `has_wide=False` every visit is known to be one block, and `rows` must be partitioned by visit and block.
-    Result: visit columns, wide, position, left, and of the linked event right_position and right.
+    Rows that differ in the columns `apart` are of different timelines and never linked.
+    Result: visit columns, wide, `apart`, position, left, and of the linked event right_position and right.
 
     * A left event whose candidates are all earlier is dropped (unless `drop_backward_only` is False).
     * Of several left events at one position that have candidates, one is kept.
     * Every other left event is kept, linked or not.
     """
+    group = [*GROUP, *apart]
     rows = rows.selectExpr(
         "*",
         f"{INSIDE} AS edge",
@@ -141,20 +179,20 @@ def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: boo
     )
     if has_wide:
         wide = rows.filter(F.col("wide"))
-        earlier = _carried_from_earlier(wide)
-        scanned = _scan(wide.unionByName(earlier, allowMissingColumns=True).repartition(*USER_VISIT, "block"))
-        later = _carried_from_later(scanned)
+        earlier = _carried_from_earlier(wide, group)
+        scanned = _scan(wide.unionByName(earlier, allowMissingColumns=True).repartition(*USER_VISIT, "block"), group)
+        later = _carried_from_later(scanned, group)
         rows = (
             rows.unionByName(earlier, allowMissingColumns=True)
             .unionByName(later, allowMissingColumns=True)
             .repartition(*USER_VISIT, "block")
         )
-    group = ", ".join(GROUP)
+    within = ", ".join(group)
     # A slot is all that happens at one position. Left events look their partner's slot up.
     resolved = (
-        _scan(rows)
+        _scan(rows, group)
         .selectExpr("*", "CASE WHEN is_right THEN position ELSE after.position END AS slot")
-        .selectExpr("*", f"min(pair) OVER (PARTITION BY {group}, slot) AS best")
+        .selectExpr("*", f"min(pair) OVER (PARTITION BY {within}, slot) AS best")
         .filter((F.col("edge") == INSIDE) & ~F.col("is_right"))
         .selectExpr(
             "*",
@@ -162,7 +200,7 @@ def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: boo
             "struct(after.position - position AS distance, -tie AS later_left, after.tie AS right) END AS own",
         )
         .selectExpr(
-            "*", f"row_number() OVER (PARTITION BY {group}, position, own IS NULL ORDER BY own) AS place"
+            "*", f"row_number() OVER (PARTITION BY {within}, position, own IS NULL ORDER BY own) AS place"
         )
     )
     kept = resolved.filter("own IS NULL OR place = 1")
@@ -170,8 +208,7 @@ def link_nearest(rows: DataFrame, has_wide: bool = True, drop_backward_only: boo
         kept = kept.filter("own IS NOT NULL OR NOT coalesce(right_before, false)")
     linked = "CASE WHEN own IS NOT NULL AND own <=> best THEN"
     return kept.selectExpr(
-        *USER_VISIT,
-        "wide",
+        *_without_block(group),
         "position",
         "left",
         f"{linked} after.position END AS right_position",
@@ -232,14 +269,21 @@ def starts_of_all(timeline: DataFrame, has_wide: bool = True) -> DataFrame:
 
 
 def link_clicks_to_starts(
-    timeline: DataFrame, has_wide: bool = True, drop_backward_only: bool = True, across_users: bool = False
+    timeline: DataFrame,
+    has_wide: bool = True,
+    drop_backward_only: bool = True,
+    across_users: bool = False,
+    apart: tuple[str, ...] = (),
 ) -> DataFrame:
     """Clicks of a numbered timeline, each with the start it led to.
 
     With `across_users` the start may be any user's of the visit, as in the reference, whose join leaves
-    the user out. Ordinals and the choice of the nearest remain each user's own.
+    the user out. Ordinals and the choice of the nearest remain each user's own. `apart` names columns
+    that keep timelines apart (`both_timelines`).
     """
     if across_users:
+        if apart:
+            raise ValueError("links across users are made for one variant at a time")
         timeline = starts_of_all(timeline, has_wide)
     is_right = F.col("kind") == "start"
     event = F.struct("attribute", "container", "placement", "content_id")
@@ -247,6 +291,7 @@ def link_clicks_to_starts(
     ordinals = F.col("ordinals") if across_users else F.array(ordinal)
     rows = timeline.select(
         *GROUP,
+        *apart,
         F.col("event_position").alias("position"),
         F.explode(F.when(is_right, start_keys(ordinals)).otherwise(F.array(click_keys(ordinal)))).alias("key"),
         is_right.alias("is_right"),
@@ -254,10 +299,11 @@ def link_clicks_to_starts(
         F.when(~is_right, event).alias("left"),
         F.when(is_right, event).alias("right"),
     )
-    linked = link_nearest(rows, has_wide, drop_backward_only)
+    linked = link_nearest(rows, has_wide, drop_backward_only, apart)
     return linked.select(
         *USER_VISIT,
         "wide",
+        *apart,
         F.col("position").alias("click_event_position"),
         F.col("left.attribute").alias("click_attribute"),
         F.col("left.container").alias("click_container"),
@@ -277,22 +323,26 @@ def link_starts_to_completes(
     has_wide: bool = True,
     drop_backward_only: bool = True,
     across_users: bool = False,
+    variants: tuple[str, ...] = (),
 ) -> DataFrame:
     """Linked clicks, each with the complete of the content it started.
 
     Clicks without a start have no content id, so they match nothing and pass through. With
-    `across_users` the complete may be any user's of the visit.
+    `across_users` the complete may be any user's of the visit. With `variants` the clicks are of several
+    variants (column `variant`), and each of them sees all completes.
     """
+    apart = ("variant",) if variants else ()
     if across_users:
         once = [*SHARED_VISIT, "block", "wide", "event_position", "attribute", "content_id"]
         completes = seen_by_all(completes.select(*once).distinct(), clicks, has_wide)
-    carried = [x for x in clicks.columns if x not in (*USER_VISIT, "wide")]
+    carried = [x for x in clicks.columns if x not in (*USER_VISIT, "wide", *apart)]
     started = F.coalesce("content_start_event_position", "click_event_position")
     block = block_of(started, block_size) if has_wide else F.lit(0).cast("long")
     left = clicks.select(
         *USER_VISIT,
         "wide",
         block.alias("block"),
+        *apart,
         started.alias("position"),
         F.col("content_id").alias("key"),
         F.lit(False).alias("is_right"),
@@ -310,10 +360,15 @@ def link_starts_to_completes(
     both = left.unionByName(right, allowMissingColumns=True)
     if not has_wide:
         both = both.repartition(*USER_VISIT, "block")
-    linked = link_nearest(both, has_wide, drop_backward_only)
+    if variants:
+        # Completes are doubled behind the exchange.
+        each = F.when(F.col("is_right"), F.array(*[F.lit(x) for x in variants])).otherwise(F.array("variant"))
+        both = both.withColumn("variant", F.explode(each))
+    linked = link_nearest(both, has_wide, drop_backward_only, apart)
     return linked.select(
         *USER_VISIT,
         "wide",
+        *apart,
         *[F.col(f"left.{x}").alias(x) for x in carried],
         fn.fill_flag(F.col("right.attribute"), "no-watched-flag").alias("watched_flag"),
         F.col("right_position").alias("content_watched_event_position"),
@@ -345,7 +400,7 @@ def enrich(linked: DataFrame, population: DataFrame, block_size: int, has_wide:
     """Attach user attributes on (dt, user, visit) and turn the flags into 0/1.
 
     The key leaves out the cookie, as in the reference: a visit with two population rows gives two
-    rows per click. `dedupe_population` prevents that.
+    rows per click. `dedupe_population` prevents that. A column `variant` is kept.
     """
     key = ["dt", "hid", "visit_id"]
     attributes = [
@@ -366,4 +421,6 @@ def enrich(linked: DataFrame, population: DataFrame, block_size: int, has_wide:
         "start_flag": fn.flag_to_int(F.col("content_attribute"), c.START_ATTRIBUTE),
         "watched_flag": fn.flag_to_int(F.col("watched_flag"), c.COMPLETE_ATTRIBUTE),
     }
-    return joined.withColumns(flags).select(*FINAL, *[x for x in attributes if x == "exp_group"])
+    return joined.withColumns(flags).select(
+        *FINAL, *[x for x in ("exp_group", "variant") if x in joined.columns]
+    )

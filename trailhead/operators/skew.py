@@ -76,31 +76,42 @@ def lookup_join(
 def number_rows(
     df: DataFrame, keys: list[str], block: str, wide: str | None, order: list[Column], out: str
 ) -> DataFrame:
-    """`row_number` over `keys`, computed one block at a time.
+    """`row_number` over `keys`, computed one block at a time (see `count_rows`)."""
+    if wide is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, block).orderBy(*order)).cast("long"))
+    return count_rows(df, keys, block, wide, order, {out: F.lit(1)})
+
+
+def count_rows(
+    df: DataFrame, keys: list[str], block: str, wide: str | None, order: list[Column], steps: dict[str, Column]
+) -> DataFrame:
+    """Running sums over `keys`, computed one block at a time: one new column for each entry of `steps`.
 
     `block` must rise with `order`. `wide` names a boolean column that is true for groups with more
-    than one block; for those, a row holding the count of all earlier blocks is put in front of each
+    than one block; for those, a row holding the sums of all earlier blocks is put in front of each
     block, so a running sum gives the number within the whole group. With `wide=None` every group
     is known to be a single block.
     """
     scan = Window.partitionBy(*keys, block)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumns({name: step.cast("long") for name, step in steps.items()})
     if wide is None:
-        return df.withColumn(out, F.row_number().over(scan.orderBy(*order)).cast("long"))
+        running = scan.orderBy(*order).rowsBetween(*so_far)
+        return rows.withColumns({name: F.sum(name).over(running) for name in steps})
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.filter(F.col(wide))
+        rows.filter(F.col(wide))
         .groupBy(*keys, wide, block)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_step", F.sum("_n").over(earlier))
-        .filter(F.col("_step").isNotNull())
-        .select(*keys, wide, block, "_step", F.lit(True).alias("_ahead"))
+        .agg(*[F.sum(name).alias(name) for name in steps], F.lit(True).alias("_ahead"))
+        .withColumns({name: F.sum(name).over(earlier) for name in steps})
+        .filter(F.col(next(iter(steps))).isNotNull())
     )
-    rows = df.withColumn("_step", F.lit(1).cast("long")).withColumn("_ahead", F.lit(False))
-    running = scan.orderBy(F.col("_ahead").desc(), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_ahead", F.lit(False))
+    running = scan.orderBy(F.col("_ahead").desc(), *order).rowsBetween(*so_far)
     return (
         rows.unionByName(offsets, allowMissingColumns=True)
         .repartition(*keys, block)
-        .withColumn(out, F.sum("_step").over(running))
+        .withColumns({name: F.sum(name).over(running) for name in steps})
         .filter(~F.col("_ahead"))
-        .drop("_step", "_ahead")
+        .drop("_ahead")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import clicks as ck
@@ -77,3 +78,48 @@ def build_journeys(prepared: Prepared, settings: Settings, exclude_titles: bool)
         settings.block_size,
         prepared.has_wide,
     )
+
+
+def build_both(prepared: Prepared, settings: Settings) -> DataFrame:
+    """The journeys of both variants in one pass, told apart by the column `variant`.
+
+    Events are shuffled once per link for both: clicks and starts are doubled behind the exchange that
+    numbers them, completes behind the one that brings them to the starts.
+    """
+    if settings.link_across_users:
+        pair = {ln.ALL_PATHS: True, ln.DIRECT: False}
+        found = [
+            build_journeys(prepared, settings, skip).withColumn("variant", F.lit(name)) for name, skip in pair.items()
+        ]
+        return found[0].unionByName(found[1])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return materialise(df, name) if prepared.has_wide else df
+
+    starts = ck.play_starts(prepared.events, prepared.catalogue, settings.lookup_rows, settings.salts)
+    clicks = ck.all_clicks(prepared.events, exclude_titles=False)
+    timelines = kept(ln.both_timelines(ck.clicks_and_starts(clicks, starts), prepared.has_wide), "timeline")
+    linked = kept(
+        ln.link_clicks_to_starts(
+            timelines, prepared.has_wide, settings.drop_backward_only, apart=("variant",)
+        ),
+        "starts",
+    )
+    watched = kept(
+        ln.link_starts_to_completes(
+            linked,
+            ck.play_completes(prepared.events),
+            settings.block_size,
+            prepared.has_wide,
+            settings.drop_backward_only,
+            variants=(ln.ALL_PATHS, ln.DIRECT),
+        ),
+        "completes",
+    )
+    return ln.enrich(watched, prepared.population, settings.block_size, prepared.has_wide)
+
+
+def variants(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The journeys of `build_both` with title pages skipped, and those with title pages kept."""
+    skipping, keeping = [both.filter(F.col("variant") == x).drop("variant") for x in (ln.ALL_PATHS, ln.DIRECT)]
+    return skipping, keeping

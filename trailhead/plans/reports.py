@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import classify as fn
+from ..operators.link import ALL_PATHS, DIRECT
 from ..operators.skew import lookup_join
 
 
@@ -49,39 +50,72 @@ def homepage_funnel(journeys: DataFrame, mapping: DataFrame | None = None) -> Da
     return funnel(on_home(journeys), mapping)
 
 
-def compare_paths(skipping: DataFrame, keeping: DataFrame, modules=c.HOME_MODULES) -> DataFrame:
+TOTALS = ("num_si_users", "num_clicks", "num_starts", "num_completes")
+
+
+def _tagged(skipping: DataFrame, keeping: DataFrame) -> DataFrame:
+    tagged = {ALL_PATHS: skipping, DIRECT: keeping}
+    first, second = [df.withColumn("variant", F.lit(name)) for name, df in tagged.items()]
+    return first.unionByName(second)
+
+
+def homepage_variants(journeys: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """The home page funnel of both variants side by side: per page type and container the structs `a`
+    (title pages skipped) and `b` (kept). Containers that only one variant has are left out.
+
+    `journeys` has the column `variant`. Both funnels come from one aggregate.
+    """
+    counted = with_page_type(on_home(journeys), "click_placement", mapping)
+    per_variant = counted.groupBy("page_type", "click_container", "variant").agg(*totals())
+
+    def side(name: str, out: str) -> Column:
+        return F.max(F.when(F.col("variant") == name, F.struct(*TOTALS))).alias(out)
+
+    # A few rows per container by now. Without a container there is no match, as in a join.
+    return (
+        per_variant.filter("page_type IS NOT NULL AND click_container IS NOT NULL")
+        .groupBy("page_type", "click_container")
+        .agg(side(ALL_PATHS, "a"), side(DIRECT, "b"))
+        .filter("a IS NOT NULL AND b IS NOT NULL")
+    )
+
+
+def compare_variants(journeys: DataFrame, modules=c.HOME_MODULES) -> DataFrame:
     """Home page modules side by side: all paths (title pages skipped) and the direct path only."""
-    both, direct = homepage_funnel(skipping).alias("a"), homepage_funnel(keeping).alias("b")
 
     def larger(name: str) -> Column:
         a, b = F.col(f"a.{name}"), F.col(f"b.{name}")
         return F.when(a > b, a).otherwise(b).alias(name)
 
-    return (
-        both.join(direct, ["page_type", "click_container"])
-        .filter(F.col("click_container").isin(*modules))
-        .select(
-            "page_type",
-            "click_container",
-            larger("num_si_users"),
-            larger("num_clicks"),
-            F.col("a.num_starts").alias("both_paths_starts"),
-            F.col("a.num_completes").alias("both_paths_completes"),
-            F.col("b.num_starts").alias("direct_starts"),
-            F.col("b.num_completes").alias("direct_completes"),
-        )
+    return homepage_variants(journeys.filter(F.col("click_container").isin(*modules))).select(
+        "page_type",
+        "click_container",
+        larger("num_si_users"),
+        larger("num_clicks"),
+        F.col("a.num_starts").alias("both_paths_starts"),
+        F.col("a.num_completes").alias("both_paths_completes"),
+        F.col("b.num_starts").alias("direct_starts"),
+        F.col("b.num_completes").alias("direct_completes"),
     )
 
 
-def via_title_difference(skipping: DataFrame, keeping: DataFrame) -> DataFrame:
+def compare_paths(skipping: DataFrame, keeping: DataFrame, modules=c.HOME_MODULES) -> DataFrame:
+    """`compare_variants` for variants that were built apart."""
+    return compare_variants(_tagged(skipping, keeping), modules)
+
+
+def variant_difference(journeys: DataFrame) -> DataFrame:
     """Per home page module, what went through a title page: all paths minus the direct path."""
-    both, direct = homepage_funnel(skipping).alias("a"), homepage_funnel(keeping).alias("b")
-    names = ("num_si_users", "num_clicks", "num_starts", "num_completes")
-    return both.join(direct, ["page_type", "click_container"]).select(
-        "page_type", "click_container", *[(F.col(f"a.{x}") - F.col(f"b.{x}")).alias(f"via_title_{x}") for x in names]
+    return homepage_variants(journeys).select(
+        "page_type", "click_container", *[(F.col(f"a.{x}") - F.col(f"b.{x}")).alias(f"via_title_{x}") for x in TOTALS]
     )
 
 
+def via_title_difference(skipping: DataFrame, keeping: DataFrame) -> DataFrame:
+    """`variant_difference` for variants that were built apart."""
+    return variant_difference(_tagged(skipping, keeping))
+
+
 def playback_journeys(journeys: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Journeys that began at the end of playback, with page type and container group."""
     chosen = with_page_type(journeys, "click_placement", mapping).filter(
