@@ -441,6 +441,7 @@ SELECTS = {
     "module_impressions": "SELECT * FROM module_impressions",
     "catalogue_snapshot": "SELECT * FROM catalogue",
     "standard_clicks": f"SELECT {CLICK_COLUMNS} FROM standard_b",
+    "clicks_by_date": f"SELECT {CLICK_COLUMNS} FROM standard_b",
     "standard_clicks_no_title": f"SELECT {CLICK_COLUMNS} FROM standard_a",
     "autoplay_clicks": f"SELECT {CLICK_COLUMNS}, current_ep_id FROM autoplay",
     "web_autoplay": f"SELECT {CLICK_COLUMNS}, current_ep_id FROM web_autoplay",

@@ -15,6 +15,7 @@ from trailhead.operators import sequence as sq
 from trailhead.plans import attribution as at
 from trailhead.plans import experiment as ex
 from trailhead.plans import reach, reports, sketches
+from trailhead.sources import dated
 from trailhead.sources import driver_tables as dt
 from trailhead.sources.stages import export_arms, materialise, stage_path, write_stage
 from trailhead.sources.tables import catalogue_snapshot, scoped
@@ -129,7 +130,7 @@ class _Run:
 @_query
 def visit_platforms(spark, folder):
     raw = _Run(spark, folder).raw
-    return pop.visit_platforms(raw.hits, raw.activity)
+    return pop.visit_platforms(raw.hits, raw.activity, SETTINGS.hot_rows, SETTINGS.salts)
 
 
 @_query
@@ -178,6 +179,24 @@ def standard_clicks_no_title(spark, folder):
     return ck.standard_clicks(staged.hits, people, SIZE, exclude_titles=True).select(*CLICK)
 
 
+@_query
+def clicks_by_date(spark, folder):
+    """Standard clicks kept by date. Half of one date's hits arrive late, and only that date is built again."""
+    staged = _Run(spark, folder).staged
+    people = materialise(pop.population_blocks(staged, SETTINGS), "population")
+    path = stage_path(spark, "clicks-by-date")
+
+    def build(hits: DataFrame) -> DataFrame:
+        return ck.standard_clicks(hits, people, SIZE, exclude_titles=False).select(*CLICK)
+
+    hits = staged.hits
+    newest = hits.agg(F.max("dt")).head()[0]
+    on_time = hits.filter((F.col("dt") != newest) | (F.col("event_position") % 2 == 0))
+    dated.update_dates(on_time, path, build)
+    dated.update_dates(hits, path, build)
+    return dated.read_dates(spark, path, build(hits).schema)
+
+
 @_query
 def autoplay_clicks(spark, folder):
     staged = _Run(spark, folder).staged
@@ -207,7 +226,7 @@ def all_clicks(spark, folder):
 @_query
 def play_starts(spark, folder):
     prepared = _Run(spark, folder).prepared
-    starts = ck.play_starts(prepared.events, prepared.catalogue, SETTINGS.lookup_rows, SETTINGS.salts)
+    starts = ck.play_starts(prepared.events, prepared.catalogue, SETTINGS.lookup_rows, SETTINGS.salts, SETTINGS.hot_rows)
     return starts.select(*CLICK, "series_id", "brand_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trailhead.config import COMPLETE_ATTRIBUTE, START_ATTRIBUTE
 from trailhead.operators import link as ln
 from trailhead.operators.clicks import lookup_join
-from trailhead.operators.skew import block_of
+from trailhead.operators.skew import block_of, hot_keys
 from trailhead.sources.stages import materialise
 
 from . import brute
@@ -243,13 +243,33 @@ def test_both_variants_take_one_exchange_per_link(spark):
 
 
 def test_lookup_join_paths_agree(spark):
-    rows = [(f"e{i % 4}" if i % 7 else None, i) for i in range(200)]
+    rows = [(f"e{i % 4 if i % 3 else 0}" if i % 7 else None, i) for i in range(400)]
     df = spark.createDataFrame(rows, "content_id string, n int")
-    lookup = spark.createDataFrame([("e0", "s0"), ("e1", "s1"), ("e2", "s1")], "content_id string, series string")
-    small = lookup_join(df, lookup, "content_id", ["n"], max_rows=10, salts=4)
-    large = lookup_join(df, lookup, "content_id", ["n"], max_rows=2, salts=4)
-    assert "Broadcast" in small._jdf.queryExecution().toString()
-    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+    lookup = spark.createDataFrame(
+        [("e0", "s0"), ("e0", "s0"), ("e1", "s1"), ("e2", "s1"), (None, "s9")], "content_id string, series string"
+    )
+    found = {
+        name: lookup_join(df, lookup, "content_id", ["n"], salts=4, **limits)
+        for name, limits in {
+            "broadcast": dict(max_rows=10),
+            "many rows": dict(max_rows=2),
+            "many bytes": dict(max_rows=10, max_bytes=5),
+            "hot": dict(max_rows=2, hot_rows=100),
+        }.items()
+    }
+    assert "Broadcast" in found["broadcast"]._jdf.queryExecution().toString()
+    assert "Broadcast" not in found["many bytes"]._jdf.queryExecution().logical().toString()
+    sides = [sorted(map(tuple, x.collect()), key=str) for x in found.values()]
+    assert all(x == sides[0] for x in sides) and len(sides[0]) == 400
+
+
+def test_only_hot_lookup_rows_are_repeated(spark):
+    df = spark.range(1_000).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), "id")
+    lookup = spark.range(1_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = lookup_join(df, lookup, "k", ["id"], max_rows=2, salts=8, hot_rows=100)
+    assert joined.filter("v = 2 * k").count() == 1_000
+    hot = hot_keys(df.select("k"), ["k"], 100)
+    assert [tuple(x) for x in hot.collect()] == [(0, 600)]
 
 
 def expected_across_users(events):

@@ -64,6 +64,8 @@ def test_query_matches_sql(spark, oracle, name):
 @pytest.mark.parametrize(
     "name",
     [
+        "visit_platforms",
+        "clicks_by_date",
         "signed_in_population",
         "all_clicks",
         "play_starts",

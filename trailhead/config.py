@@ -47,7 +47,7 @@ class Settings:
 
     block_size     width, in event positions, of the slices a visit is cut into, so that
                    no task ever holds more than one slice of one visit
-    lookup_rows    a lookup table is broadcast only if it has at most this many rows
+    lookup_rows    a lookup table is broadcast only if it has at most this many rows (and 64 MB)
     hot_rows       a join key with more rows than this is spread over `salts` tasks
     drop_backward_only  drop clicks whose matching starts all come earlier
     link_across_users   link a click to starts and completes of other users of its visit, as the reference does

@@ -125,11 +125,13 @@ def series_lookup(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def play_starts(events: DataFrame, catalogue: DataFrame, lookup_rows: int, salts: int) -> DataFrame:
+def play_starts(
+    events: DataFrame, catalogue: DataFrame, lookup_rows: int, salts: int, hot_rows: int = 1_000_000
+) -> DataFrame:
     """Start events with the series and brand of what was started, 'unknown' if not in the catalogue."""
     starts = events.filter(F.col("kind") == "start")
     known = lookup_join(
-        starts, series_lookup(catalogue), "content_id", [*RAW_VISIT, "event_position"], lookup_rows, salts
+        starts, series_lookup(catalogue), "content_id", [*RAW_VISIT, "event_position"], lookup_rows, salts, hot_rows
     )
     return known.fillna(c.UNKNOWN, subset=["series_id", "brand_id"])
 

@@ -23,10 +23,18 @@ def _platforms(activity: DataFrame) -> DataFrame:
     )
 
 
-def visit_platforms(hits: DataFrame, activity: DataFrame) -> DataFrame:
-    """Distinct visits among the hits, with the platform the activity table gives them."""
-    visits = hits.select("destination", *RAW_VISIT).distinct()
-    return visits.join(_platforms(activity), ["dt", "visit_id"]).select("destination", *RAW_VISIT, "platform")
+def visit_platforms(
+    hits: DataFrame, activity: DataFrame, hot_rows: int = 1_000_000, salts: int = 64
+) -> DataFrame:
+    """Distinct visits among the hits, with the platform the activity table gives them.
+
+    A (dt, visit id) that very many cookies share is spread over tasks.
+    """
+    visits = materialise(hits.select("destination", *RAW_VISIT).distinct(), "visits")
+    key = ["dt", "visit_id"]
+    hot = hot_keys(visits, key, hot_rows)
+    joined = spread_join(visits, _platforms(activity), key, hot, key, ["cookie_id", "destination"], salts)
+    return joined.select("destination", *RAW_VISIT, "platform")
 
 
 def user_weeks(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.stages import materialise
 
 SALT = "_salt"
+MOST_HOT = 100_000
 
 
 def block_of(position: Column, size: int) -> Column:
@@ -18,14 +19,15 @@ def block_of(position: Column, size: int) -> Column:
 def hot_keys(df: DataFrame, keys: list[str], more_than: int) -> DataFrame | None:
     """Keys with more than `more_than` rows and their row count `hot_n`; None if there are none.
 
-    There are fewer than rows / more_than of them, which bounds the size of the result. It is written
-    once, because both sides of a join look keys up in it. A table of no more than `more_than` rows
-    needs no look at its keys.
+    A key with less than one in MOST_HOT of all rows is never hot, so that there are at most MOST_HOT of
+    them in a table of any size and the result may be broadcast. It is written once, because both sides
+    of a join look keys up in it. A table of no more than `more_than` rows needs no look at its keys.
     """
-    if df.count() <= more_than:
+    rows = df.count()
+    if rows <= more_than:
         return None
     counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n"))
-    hot = counts.filter(F.col("hot_n") > more_than)
+    hot = counts.filter(F.col("hot_n") > max(more_than, rows // MOST_HOT))
     return materialise(hot, "hot") if hot.head(1) else None
 
 
@@ -53,24 +55,45 @@ def spread_join(
     return salted_left.join(salted_right, [*on, SALT], "inner").drop(SALT)
 
 
+def fits_broadcast(table: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether a table has at most `max_rows` rows and `max_bytes` bytes of values, written as text."""
+    sizes = [F.coalesce(F.octet_length(F.col(x).cast("string")), F.lit(0)) for x in table.columns]
+    found = table.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(sizes, F.lit(0)).cast("long")).alias("bytes")).head()
+    return found.n <= max_rows and (found.bytes or 0) <= max_bytes
+
+
 def lookup_join(
-    df: DataFrame, lookup: DataFrame, on: str, spread_by: list[str], max_rows: int, salts: int
+    df: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    spread_by: list[str],
+    max_rows: int,
+    salts: int,
+    hot_rows: int = 1_000_000,
+    max_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Left join to the distinct rows of a lookup table, on a column that a few values may dominate.
 
-    The lookup is broadcast if a count shows that it has at most `max_rows` rows. A larger one is
-    repeated `salts` times and shuffled, and each value's rows (the missing value's too) are spread
-    over the copies.
+    The lookup is broadcast if an aggregate shows that it has at most `max_rows` rows and `max_bytes`
+    bytes. A larger one is shuffled: rows with a value that occurs more than `hot_rows` times are spread
+    over `salts` tasks and only that value's lookup rows are repeated. Rows with a missing value are
+    spread likewise.
     """
-    if lookup.count() <= max_rows:
-        return df.join(F.broadcast(lookup.distinct()), on, "left")
-    copies = lookup.distinct().withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    known = salted.filter(F.col(on).isNotNull()).join(copies, [on, SALT], "left")
-    missing = salted.filter(F.col(on).isNull())
-    return known.unionByName(missing, allowMissingColumns=True).drop(SALT).select(
-        *df.columns, *[x for x in lookup.columns if x != on]
-    )
+    distinct = lookup.distinct()
+    if fits_broadcast(distinct, max_rows, max_bytes):
+        return df.join(F.broadcast(distinct), on, "left")
+    hot = hot_keys(df.select(on), [on], hot_rows)
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    if hot is None:
+        salted = df.withColumn(SALT, F.when(F.col(on).isNull(), spread).otherwise(0).cast("int"))
+        copies = distinct.withColumn(SALT, F.lit(0))
+    else:
+        marked = F.broadcast(hot.select(on, F.lit(True).alias("_hot")))  # at most MOST_HOT rows
+        is_spread = F.col("_hot") | F.col(on).isNull()
+        salted = df.join(marked, on, "left").withColumn(SALT, F.when(is_spread, spread).otherwise(0).cast("int"))
+        each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        copies = distinct.join(marked, on, "left").withColumn(SALT, F.explode(each)).drop("_hot")
+    return salted.join(copies, [on, SALT], "left").select(*df.columns, *[x for x in lookup.columns if x != on])
 
 
 def number_rows(

@@ -41,7 +41,7 @@ def prepare(inputs: Inputs, settings: Settings) -> Prepared:
 
 def timeline(prepared: Prepared, settings: Settings, exclude_titles: bool) -> DataFrame:
     """Numbered clicks and starts. With wide visits, later steps read each stage several times: it is written."""
-    starts = ck.play_starts(prepared.events, prepared.catalogue, settings.lookup_rows, settings.salts)
+    starts = ck.play_starts(prepared.events, prepared.catalogue, settings.lookup_rows, settings.salts, settings.hot_rows)
     both = ck.clicks_and_starts(ck.all_clicks(prepared.events, exclude_titles), starts)
     numbered = ln.timeline_ordinals(both, prepared.has_wide)
     return materialise(numbered, "timeline") if prepared.has_wide else numbered
@@ -96,7 +96,7 @@ def build_both(prepared: Prepared, settings: Settings) -> DataFrame:
     def kept(df: DataFrame, name: str) -> DataFrame:
         return materialise(df, name) if prepared.has_wide else df
 
-    starts = ck.play_starts(prepared.events, prepared.catalogue, settings.lookup_rows, settings.salts)
+    starts = ck.play_starts(prepared.events, prepared.catalogue, settings.lookup_rows, settings.salts, settings.hot_rows)
     clicks = ck.all_clicks(prepared.events, exclude_titles=False)
     timelines = kept(ln.both_timelines(ck.clicks_and_starts(clicks, starts), prepared.has_wide), "timeline")
     linked = kept(

@@ -49,9 +49,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return write_stage(df, stage_path(df.sparkSession, name))
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the stages of this application, once the results built on them are written."""
     folder = stage_folder(spark)
     if folder is not None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_folder(spark, folder))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(spark, _app_folder(spark, folder))
