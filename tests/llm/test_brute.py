@@ -82,6 +82,18 @@ def test_group_larger_than_a_shard_is_divided(spark):
 # Language
 
 
+def test_language_passes_do_not_change_the_answer(spark):
+    words = ["alpha beta gamma", "uno dos tres cuatro", "eins zwei drei vier", "un deux trois quatre", "jeden dwa trzy"]
+    rows = [(i, f"{words[i % 5]} {i % 7}", f"l{i % 5}") for i in range(60)] + [(99, None, "l1"), (98, "12 34", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    answers = [
+        sorted(map(tuple, language.identify(frame, F.lit(True), language.LanguageSettings(pass_languages=n)).collect()))
+        for n in (256, 2, 1)
+    ]
+    assert answers[0] == answers[1] == answers[2]
+    assert {x[1] for x in answers[0]} == {"l0", "l1", "l2", "l3", "l4", "und"}
+
+
 def test_language_is_right_on_held_out_documents(spark):
     frame = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1

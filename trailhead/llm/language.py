@@ -8,8 +8,10 @@ compressed in blocks, all of them, so that a dictionary counts as much at the en
 prediction is rejected if the runner-up is nearly as small.
 
 The training sample is bounded: of each language's distinct texts, those with the most leading zeros in their
-hash, as many zeros as leave about `sample_bytes` (at most twice that, plus one text; there are at most
-`most_languages` languages, the ones with most texts). It does not depend on the order of rows.
+hash, as many zeros as leave about `sample_bytes` (at most twice that, plus one text). It does not depend on the
+order of rows. Every language is learned: `pass_languages` at a time, those with most texts first. The driver and
+each task hold the dictionaries of one pass; a text takes its smallest sizes so far from pass to pass, so the
+answer does not depend on `pass_languages`.
 
 A null text or one without a letter is `und` with score 0. Rows with a null language or text do not teach.
 Repeated rows get equal answers. Without any training text every document is `und`.
@@ -36,13 +38,14 @@ LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 class LanguageSettings:
     """level            zstandard level for texts
     short_level, short_bytes  a higher level for texts up to this length, which finds shorter matches
+    pass_languages   dictionaries held at a time
     block_words      texts are compressed in blocks of this many words
     least_margin     predictions whose size margin is below this share are marked as rejected
     """
 
     dictionary_bytes: int = 1 << 17
     sample_bytes: int = 1 << 18
-    most_languages: int = 256
+    pass_languages: int = 256
     block_words: int = 2_000
     level: int = 3
     short_level: int = 19
@@ -50,35 +53,41 @@ class LanguageSettings:
     least_margin: float = 0.02
 
 
-def training_texts(docs: DataFrame, teaches: Column, settings: LanguageSettings) -> dict[str, list[str]]:
-    """The bounded sample, by language (the one with most texts first), in the order of hashes."""
-    labelled = documents(docs, "lang").filter(teaches & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sample_hash = F.xxhash64("text", F.lit(1))
-    # Number of leading zero bits of the hash: each further one halves the texts that have it.
-    zeros = F.lit(64) - F.length(F.bin(F.when(F.col("hash") != 0, F.col("hash")))).cast("int")
-    distinct = (
-        labelled.select("lang", sample_hash.alias("hash"), F.octet_length("text").alias("bytes"))
-        .groupBy("lang", "hash")
-        .agg(F.max("bytes").alias("bytes"))
-        .withColumn("zeros", F.coalesce(zeros, F.lit(64)))
-    )
-    by_zeros = stage(
-        distinct.groupBy("lang", "zeros").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "language-levels"
+# Number of leading zero bits of the hash: each further one halves the texts that have it.
+ZEROS = "coalesce(64 - length(bin(CASE WHEN hash <> 0 THEN hash END)), 64)"
+
+
+def _labelled(docs: DataFrame, teaches: Column) -> DataFrame:
+    rows = documents(docs, "lang").filter(teaches & F.col("lang").isNotNull() & (F.length("text") > 0))
+    return rows.select("lang", "text", F.xxhash64("text", F.lit(1)).alias("hash")).withColumn("zeros", F.expr(ZEROS))
+
+
+def learned_languages(docs: DataFrame, teaches: Column, settings: LanguageSettings) -> DataFrame:
+    """lang, its place (the one with most texts first) and the least number of zeros of its sample; one row each."""
+    by_zeros = (
+        _labelled(docs, teaches)
+        .groupBy("lang", "hash", "zeros")
+        .agg(F.max(F.octet_length("text")).alias("bytes"))
+        .groupBy("lang", "zeros")
+        .agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
     )
-    most_first = Window.orderBy(F.col("n").desc(), "lang")
-    languages = by_zeros.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("place", F.row_number().over(most_first))
     from_top = Window.partitionBy("lang").orderBy(F.col("zeros").desc())
-    least = (
+    # The most zeros that suffice, else all texts.
+    enough = F.max(F.when(F.col("upto") >= settings.sample_bytes, F.col("zeros")))
+    languages = (
         by_zeros.withColumn("upto", F.sum("bytes").over(from_top))
         .groupBy("lang")
-        # The most zeros that suffice, else all texts.
-        .agg(F.coalesce(F.max(F.when(F.col("upto") >= settings.sample_bytes, F.col("zeros"))), F.lit(0)).alias("least"))
-        .join(languages.filter(F.col("place") <= settings.most_languages), "lang")
+        .agg(F.sum("n").alias("n"), F.coalesce(enough, F.lit(0)).alias("least"))
     )
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "lang"))
+    return stage(languages.select("lang", "least", place.alias("place")), "languages")
+
+
+def training_texts(docs: DataFrame, teaches: Column, languages: DataFrame) -> dict[str, list[str]]:
+    """The bounded samples of these languages, in the order of their places and of hashes."""
     chosen = (
-        labelled.withColumn("hash", sample_hash)
-        .withColumn("zeros", F.coalesce(zeros, F.lit(64)))
-        .join(F.broadcast(least.select("lang", "least", "place")), "lang")  # at most most_languages rows
+        _labelled(docs, teaches)
+        .join(F.broadcast(languages), "lang")  # at most pass_languages rows
         .filter(F.col("zeros") >= F.col("least"))
         .groupBy("place", "lang", "hash")
         .agg(F.min("text").alias("text"))
@@ -104,6 +113,10 @@ def blocks_of(text: str, settings: LanguageSettings) -> list[bytes]:
     return [b" " + b" ".join(dict.fromkeys(words[i : i + size])) + b" " for i in range(0, len(words), size)]
 
 
+# Language with the smallest size, that size, and the runner-up's size.
+Smallest = tuple[str | None, int | None, int | None]
+
+
 class Classifier:
     def __init__(self, raw: dict[str, bytes], settings: LanguageSettings) -> None:
         self.settings, self.langs = settings, list(raw)
@@ -122,30 +135,30 @@ class Classifier:
         coders = self.short if sum(map(len, blocks)) <= self.settings.short_bytes else self.long
         return [sum(len(x.compress(b)) for b in blocks) for x in coders]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and margin: the share by which the runner-up is larger."""
-        if not text or not self.langs or not any(c.isalpha() for c in text):
-            return UNDETERMINED, 0.0
-        found = self.sizes(text)
-        best = min(range(len(found)), key=lambda i: (found[i], i))
-        rest = [x for i, x in enumerate(found) if i != best]
-        return self.langs[best], (1 - found[best] / min(rest)) if rest else 1.0
+    def smallest(self, text: str | None, so_far: Smallest) -> Smallest:
+        """The smallest size with its language, and the runner-up's size, of earlier dictionaries and these."""
+        if not text or not any(c.isalpha() for c in text):
+            return so_far
+        lang, least, second = so_far
+        for name, size in zip(self.langs, self.sizes(text)):
+            if least is None or size < least:
+                lang, least, second = name, size, least
+            elif second is None or size < second:
+                second = size
+        return lang, least, second
 
 
-def _predict(raw: dict[str, bytes], settings: LanguageSettings):
+def _one_pass(raw: dict[str, bytes], settings: LanguageSettings, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(raw, settings)
         for batch in batches:
-            answers = [classifier.predict(x.as_py()) for x in batch.column("text")]
-            margins = [max(0.0, x[1]) for x in answers]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": batch.column("doc"),
-                    "lang_pred": pa.array([x[0] for x in answers], pa.string()),
-                    "score": pa.array(margins, pa.float64()),
-                    "rejected": pa.array([x < settings.least_margin for x in margins]),
-                }
-            )
+            before = zip(*[batch.column(x).to_pylist() for x in ("lang_pred", "least", "second")])
+            found = [classifier.smallest(x.as_py(), y) for x, y in zip(batch.column("text"), before)]
+            out = {"doc": batch.column("doc")} | ({"text": batch.column("text")} if keep_text else {})
+            out["lang_pred"] = pa.array([x[0] for x in found], pa.string())
+            out["least"] = pa.array([x[1] for x in found], pa.int64())
+            out["second"] = pa.array([x[2] for x in found], pa.int64())
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -153,9 +166,32 @@ def _predict(raw: dict[str, bytes], settings: LanguageSettings):
 def identify(docs: DataFrame, teaches: Column, settings: LanguageSettings = LanguageSettings()) -> DataFrame:
     """Per document: doc_id, lang_pred, score (0 to 1, the margin) and rejected (the margin is too narrow).
 
-    `teaches` says of which documents text and lang may be learned. Predictions use the text alone.
+    `teaches` says of which documents text and lang may be learned. Predictions use the text alone. The margin is
+    the share by which the runner-up is larger; 1 if there is only one language.
     """
-    raw = dictionaries(training_texts(docs, teaches, settings), settings)
-    rows = documents(docs).select(F.struct("doc_id").alias("doc"), "text")
-    schema = T.StructType([rows.schema["doc"], *T.StructType.fromDDL("lang_pred string, score double, rejected boolean")])
-    return rows.mapInArrow(_predict(raw, settings), schema).select("doc.doc_id", "lang_pred", "score", "rejected")
+    languages = learned_languages(docs, teaches, settings)
+    passes = max(1, -(-languages.count() // settings.pass_languages))
+    sizes = "lang_pred string, least long, second long"
+    none_yet = [F.lit(None).cast(kind).alias(x) for x, kind in (("lang_pred", "string"), ("least", "long"), ("second", "long"))]
+    rows = documents(docs).select(F.struct("doc_id").alias("doc"), "text", *none_yet)
+    first = [rows.schema["doc"]]
+    for number in range(passes):
+        of_pass = F.ceil(F.col("place") / F.lit(settings.pass_languages)) == number + 1
+        raw = dictionaries(training_texts(docs, teaches, languages.filter(of_pass)), settings)
+        more = number + 1 < passes
+        kept = [rows.schema["text"]] if more else []
+        schema = T.StructType([*first, *kept, *T.StructType.fromDDL(sizes)])
+        rows = rows.mapInArrow(_one_pass(raw, settings, more), schema)
+        # Written between passes, so that no plan and no task holds the dictionaries of two.
+        rows = stage(rows, "language-pass") if more else rows
+    margin = (
+        F.when(F.col("lang_pred").isNull(), 0.0)
+        .when(F.col("second").isNull(), 1.0)
+        .otherwise(1 - F.col("least") / F.col("second"))
+    )
+    return rows.select(
+        "doc.doc_id",
+        F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"),
+        margin.alias("score"),
+        (margin < settings.least_margin).alias("rejected"),
+    )
