@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import documents, packed, stage, unpacked
-from .textops import chunks
+from .textops import PIECE_BYTES, chunks
 
 # Lower-case already; anything in ASCII but letters and digits separates words.
 SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -247,7 +247,7 @@ def indexes(benchmark: DataFrame, settings: LeakSettings) -> Iterator[BlockMaxIn
 
 def _find(index: BlockMaxIndex, settings: LeakSettings, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in chunks(batches):
+        for texts in chunks(batches, limit=PIECE_BYTES):
             found = [(i, item, *best) for i, x in enumerate(leaks_of(texts, index, settings)) for item, best in sorted(x.items())]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -277,7 +277,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = L
 
 def _keep_clean(index: BlockMaxIndex, settings: LeakSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in chunks(batches):
+        for texts in chunks(batches, limit=PIECE_BYTES):
             yield texts.rows.filter(pa.array([not x for x in leaks_of(texts, index, settings)]))
 
     return run

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import documents, row_key, small, stage
-from .textops import LOWER, U64, Texts, chunks, mix, shingles, sorted_sets, span_hashes, word_hashes, words_of
+from .textops import LOWER, PIECE_BYTES, U64, Texts, chunks, mix, shingles, sorted_sets, span_hashes, word_hashes, words_of
 
 
 @dataclass(frozen=True)
@@ -71,13 +71,20 @@ def _shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_blocks(settings: JaccardSettings):
     def counted(values: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(values), return_counts=True)
-        again = n > 1
-        return pa.RecordBatch.from_pydict({"shingle": found[again].view(np.int64), "n": n[again].astype(np.int64)})
+        """Empties `values`, and sorts in place: a block is the most that a task holds, so there is one copy of it."""
+        found = np.concatenate(values)
+        values.clear()
+        found.sort()
+        edge = np.ones(len(found) + 1, bool)
+        np.not_equal(found[1:], found[:-1], out=edge[1:-1])
+        # Where a value follows that is equal to it: first places of those found again.
+        first = np.flatnonzero(edge[:-1] & ~edge[1:])
+        last = np.flatnonzero(~edge[:-1] & edge[1:])
+        return pa.RecordBatch.from_pydict({"shingle": found[first].view(np.int64), "n": last - first + 1})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, np.zeros(0, U64)
-        for texts in chunks(batches):
+        for texts in chunks(batches, limit=PIECE_BYTES):
             values, begin = _shingles(texts, settings.shingle)
             content = span_hashes(texts.prefix_hashes(), texts.bounds[:-1], texts.bounds[1:])
             _, one = np.unique(content, return_index=True)
@@ -159,7 +166,7 @@ def signatures(values: np.ndarray, begin: np.ndarray, words: int, rows: int = 10
 
 def _describe(order: Order, settings: JaccardSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in chunks(batches):
+        for texts in chunks(batches, limit=PIECE_BYTES):
             values, begin = _shingles(texts, settings.shingle)
             values, begin = sorted_sets(order(values), begin)
             n = np.diff(begin)
@@ -184,7 +191,7 @@ def _describe(order: Order, settings: JaccardSettings):
 
 def _whole_sets(order: Order, settings: JaccardSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in chunks(batches):
+        for texts in chunks(batches, limit=PIECE_BYTES):
             values, begin = _shingles(texts, settings.shingle)
             values, begin = sorted_sets(order(values), begin)
             yield pa.RecordBatch.from_pydict(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import documents, packed, small, stage, unpacked
-from .textops import Texts, chunks, mix, shingles, span_hashes, word_hashes, words_of
+from .textops import PIECE_BYTES, Texts, chunks, mix, shingles, span_hashes, word_hashes, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = np.zeros(256, bool)
@@ -121,7 +121,7 @@ def measure_texts(texts: Texts) -> dict[str, np.ndarray]:
 
 def _measure(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in chunks(batches):
+        for texts in chunks(batches, limit=PIECE_BYTES):
             measures = measure_texts(texts)
             columns = {name: texts.rows.column(name) for name in texts.rows.schema.names}
             if not keep_text:

@@ -18,7 +18,8 @@ import random
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import documents, stage
@@ -139,6 +140,14 @@ def _pack_buckets(rooms: list[int], capacity: int, small_bytes: int, may_open: b
     return pack
 
 
+def _large_table(spark: SparkSession, large: list[Row], placed: list[int]) -> DataFrame:
+    """The large groups with their shards. By way of Arrow: a list of tuples would start Python workers to read it."""
+    kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2]
+    columns = [*[[x[name] for x in large] for name in GROUP], placed]
+    table = pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], [*GROUP, "shard"])
+    return spark.createDataFrame(table, "hash long, crc long, length long, piece int, shard int")
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     return documents(docs).select(
@@ -185,8 +194,7 @@ def assign_shards(docs: DataFrame, settings: ShardSettings = ShardSettings()) ->
     )
     new_bin = capacity if settings.shards is None else None
     placed, rooms = best_fit_decreasing([x.bytes for x in large], [capacity] * shards, new_bin)
-    schema = "hash long, crc long, length long, piece int, shard int"
-    large_shards = F.broadcast(spark.createDataFrame([(*x[1:], shard) for x, shard in zip(large, placed)], schema))
+    large_shards = F.broadcast(_large_table(spark, large, placed))
 
     others = units.filter(~is_large)
     n_small, small_bytes = others.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
