@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark import SparkContext
 
-from trailhead.llm import jaccard, quality, sharding
+from trailhead.llm import decontamination, jaccard, quality, sharding
 from trailhead.llm.textops import powers
 
 ORDER = jaccard.Order(np.arange(1 << 42, 1 << 61, 1 << 45, dtype=np.uint64))
@@ -83,3 +83,53 @@ def test_large_groups_need_no_python_workers(spark, monkeypatch):
     rows = sharding.assign_shards(docs, sharding.ShardSettings(shards=2)).collect()
     assert sorted(x.doc_id for x in rows) == list(range(60))
     assert {x.shard for x in rows} == {0, 1}
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.fixture
+def no_limit(spark):
+    spark.conf.unset(BATCH_BYTES)
+    yield spark
+    spark.conf.unset(BATCH_BYTES)
+
+
+def _sizes(batches):
+    for x in batches:
+        yield pa.RecordBatch.from_pydict({"rows": [x.num_rows], "bytes": [x.nbytes]})
+
+
+def test_batches_hold_little(no_limit):
+    from trailhead.llm.tables import in_batches
+
+    docs = no_limit.range(0, 3_000, 1, 1).selectExpr("id AS doc_id", "repeat(concat(id, 'x'), 600) AS text")
+    sizes = in_batches(docs, _sizes, "rows long, bytes long").collect()
+    assert sum(x.rows for x in sizes) == 3_000 and max(x.bytes for x in sizes) < 1_200_000
+    long = no_limit.range(0, 3, 1, 1).selectExpr("id AS doc_id", "repeat('x', 3000000) AS text")
+    assert [x.rows for x in in_batches(long, _sizes, "rows long, bytes long").collect()] == [1, 1, 1]
+
+
+def test_limit_of_the_caller_is_kept(no_limit):
+    from trailhead.llm.tables import in_batches
+
+    no_limit.conf.set(BATCH_BYTES, "100k")
+    docs = no_limit.range(0, 3_000, 1, 1).selectExpr("repeat(concat(id, 'x'), 600) AS text")
+    assert max(x.bytes for x in in_batches(docs, _sizes, "rows long, bytes long").collect()) < 120_000
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        quality.judged,
+        quality.kept_documents,
+        jaccard.one_per_class,
+        lambda docs: decontamination.clean_documents(docs, docs.selectExpr("doc_id AS item_id", "text")),
+        lambda docs: decontamination.find_leaks(docs, docs.selectExpr("doc_id AS item_id", "text")),
+    ],
+    ids=["judged", "kept_documents", "one_per_class", "clean_documents", "find_leaks"],
+)
+def test_operators_bound_their_batches(no_limit, operator):
+    rows = [(i, "en", "web", f"a b c d e f g {i}") for i in range(4)]
+    operator(no_limit.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()
+    assert no_limit.conf.get(BATCH_BYTES, None) == "1m"

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tables import documents, packed, stage, unpacked
+from .tables import documents, in_batches, packed, stage, unpacked
 from .textops import PIECE_BYTES, chunks
 
 # Lower-case already; anything in ASCII but letters and digits separates words.
@@ -229,7 +229,7 @@ def indexes(benchmark: DataFrame, settings: LeakSettings) -> Iterator[BlockMaxIn
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
     items = stage(items.withColumn("number", F.xxhash64("item_id", "text")), "leak-items")
     doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / settings.step) - 1e-9)).alias("doublings")
-    terms = items.select("number", "text").mapInArrow(_term_rows, "number long, n long, terms array<binary>").filter("n > 0")
+    terms = in_batches(items.select("number", "text"), _term_rows, "number long, n long, terms array<binary>").filter("n > 0")
     terms = stage(terms.select("*", doublings), "leak-terms")
     n_items, mean_words = terms.agg(F.count("*"), F.avg("n")).first()
     df = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -271,7 +271,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = L
     )])
     found = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(benchmark, settings):
-        found = found.unionByName(rows.mapInArrow(_find(index, settings, to_arrow_type(kind)), schema))
+        found = found.unionByName(in_batches(rows, _find(index, settings, to_arrow_type(kind)), schema))
     return found.select("doc.doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
@@ -287,5 +287,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, settings: LeakSetting
     """The documents that leak no item, with all their columns."""
     rows = packed(docs)
     for index in indexes(benchmark, settings):
-        rows = rows.mapInArrow(_keep_clean(index, settings), rows.schema)
+        rows = in_batches(rows, _keep_clean(index, settings), rows.schema)
     return unpacked(rows, docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import documents, row_key, small, stage
+from .tables import documents, in_batches, row_key, small, stage
 from .textops import LOWER, PIECE_BYTES, U64, Texts, chunks, mix, shingles, sorted_sets, span_hashes, word_hashes, words_of
 
 
@@ -105,7 +105,7 @@ def _count_blocks(settings: JaccardSettings):
 
 def common_shingles(docs: DataFrame, settings: JaccardSettings) -> np.ndarray:
     """Common shingles, the most common last. At most `common_most`."""
-    counts = docs.select("text").mapInArrow(_count_blocks(settings), "shingle long, n long")
+    counts = in_batches(docs.select("text"), _count_blocks(settings), "shingle long, n long")
     common = (
         counts.groupBy("shingle")
         .agg(F.sum("n").alias("n"))
@@ -265,13 +265,13 @@ def compared(pairs: DataFrame, values: DataFrame, passes, settings: JaccardSetti
         "leader", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")
     )
     sent = dealt.union(dealt.select("leader", F.col("leader").alias("node"), "part").distinct())
-    return (
+    rows = (
         sent.join(values, "node")
         .repartition("leader", "part")
         .sortWithinPartitions("leader", "part", F.col("leader") != F.col("node"))
         .select("leader", "node", "n", "values")
-        .mapInArrow(_compare_to_leaders(passes, settings.percent), "leader long, node long")
     )
+    return in_batches(rows, _compare_to_leaders(passes, settings.percent), "leader long, node long")
 
 
 def _nodes_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -431,7 +431,7 @@ def classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> D
         "prefix_group long, signature array<long>, prefix array<long>"
     )
     keyed = docs.select(F.struct("doc_id").alias("doc"), row_key().alias("key"), "text")
-    described = stage(keyed.mapInArrow(_describe(order, settings), schema), "jaccard-documents")
+    described = stage(in_batches(keyed, _describe(order, settings), schema), "jaccard-documents")
     nodes = described.filter("n > 0").groupBy("node").agg(
         F.first("n").alias("n"),
         F.first("prefix_group").alias("prefix_group"),
@@ -454,7 +454,7 @@ def classes(docs: DataFrame, settings: JaccardSettings = JaccardSettings()) -> D
         of_pairs = prefixes.join(_nodes_of(pairs, nodes), "key").dropDuplicates(["node"])
         possible = stage(compared(pairs, of_pairs, prefixes_may_link, settings), "jaccard-possible")
         sets = keyed.select("key", "text").join(_nodes_of(possible, nodes), "key").dropDuplicates(["node"])
-        sets = sets.mapInArrow(_whole_sets(order, settings), "node long, n long, values array<long>")
+        sets = in_batches(sets, _whole_sets(order, settings), "node long, n long, values array<long>")
         links = stage(compared(possible, sets, sets_link, settings), "jaccard-links")
         if labels is None or links.head(1):
             labels = components(links if labels is None else links.union(labels))

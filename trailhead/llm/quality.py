@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import documents, packed, small, stage, unpacked
+from .tables import documents, in_batches, packed, small, stage, unpacked
 from .textops import PIECE_BYTES, Texts, chunks, mix, shingles, span_hashes, word_hashes, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -135,7 +135,7 @@ def measured(docs: DataFrame, keep_text: bool) -> DataFrame:
     """Columns of `docs` (with or without `text`) and the measures."""
     kept = [x for x in docs.schema if keep_text or x.name != "text"]
     schema = T.StructType(kept + [T.StructField(x, T.LongType()) for x in MEASURES])
-    return docs.mapInArrow(_measure(keep_text), schema)
+    return in_batches(docs, _measure(keep_text), schema)
 
 
 def base_failed(settings: QualitySettings) -> Column:
